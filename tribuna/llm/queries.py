@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tribuna.llm import pairs, sentences, split
+from tribuna.llm import canon, pairs, sentences, split
 from tribuna.session import table
 
 
@@ -23,6 +23,31 @@ def p3_pedacos(spark: SparkSession, folder: str) -> DataFrame:
     return turns.unionByName(hearings)
 
 
+def _canonical(spark: SparkSession, folder: str) -> DataFrame:
+    ref = table(spark, folder, "lista_canonica").where("ref_id is not null").select("campo", "ref_id", "rotulo", "descricao").dropDuplicates(["ref_id"])
+    entries = [r for r in ref.toLocalIterator()]
+    person = table(spark, folder, "publichearingbr_lds").select(F.col("id").alias("id_audiencia"), F.explode("metadados.envolvidos").alias("e"))
+    offices = person.select("id_audiencia", F.col("e.cargo").alias("valor"))
+    parties = table(spark, folder, "base_posturas_classificadas").select("id_audiencia", F.col("filiacao_rede").alias("valor"))
+    out = None
+    for campo, rows, forms, readings in (("cargo", offices, canon.office_forms, canon.office_readings), ("filiacao_rede", parties, canon.party_forms, canon.party_readings)):
+        rows = rows.where(r"valor is not null and valor rlike '(?U)[^\\s\\x1c-\\x1f]'").distinct()
+        expanded = canon.expand([(r.ref_id, r.rotulo, r.descricao) for r in entries if r.campo == campo], forms)
+        part = rows.join(canon.match(rows, "valor", expanded, readings), "valor", "left").select(F.lit(campo).alias("campo"), "id_audiencia", "valor", F.coalesce("ref_id", F.lit(-1)).cast("bigint").alias("ref_id"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every typed office and affiliation of a hearing with its entry, or -1."""
+    return _canonical(spark, folder)
+
+
+def p5_sem_entrada(spark: SparkSession, folder: str) -> DataFrame:
+    """Values that mean no entry, and in how many hearings."""
+    return _canonical(spark, folder).where("ref_id = -1").groupBy("campo", "valor").agg(F.countDistinct("id_audiencia").alias("audiencias"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """The sentences of every turn."""
     return sentences.sentences(table(spark, folder, "df_turnos"), "turno_id", "texto_turno").select(F.col("key").cast("bigint").alias("turno_id"), "inicio", "fim")
@@ -52,7 +77,7 @@ def p1_medidas(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("lift", "pmi")})
 
 
-QUERIES = {"p1_found": p1_found, "p1_medidas": p1_medidas, "p3_found": p3_found, "p3_pedacos": p3_pedacos, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_medidas": p1_medidas, "p3_found": p3_found, "p3_pedacos": p3_pedacos, "p5_found": p5_found, "p5_sem_entrada": p5_sem_entrada, "p6_found": p6_found}
 _TOGETHER = """with m as (
   select distinct upper(trim(regexp_replace(nome, '\\s+', ' ', 'g'))) n, proposicao_alvo || chr(31) || postura_final b
   from base_posturas_classificadas
