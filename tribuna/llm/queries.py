@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tribuna.llm import canon, pairs, sentences, split
+from tribuna.llm import canon, encode, pairs, sentences, split
 from tribuna.session import table
 
 
@@ -77,7 +77,12 @@ def p1_medidas(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("lift", "pmi")})
 
 
-QUERIES = {"p1_found": p1_found, "p1_medidas": p1_medidas, "p3_found": p3_found, "p3_pedacos": p3_pedacos, "p5_found": p5_found, "p5_sem_entrada": p5_sem_entrada, "p6_found": p6_found}
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode.encode(table(spark, folder, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), "ids")
+
+
+QUERIES = {"p1_found": p1_found, "p1_medidas": p1_medidas, "p3_found": p3_found, "p3_pedacos": p3_pedacos, "p5_found": p5_found, "p5_sem_entrada": p5_sem_entrada, "p6_found": p6_found, "p8_ids": p8_ids}
 _TOGETHER = """with m as (
   select distinct upper(trim(regexp_replace(nome, '\\s+', ' ', 'g'))) n, proposicao_alvo || chr(31) || postura_final b
   from base_posturas_classificadas
