@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tribuna.llm import canon, encode, pairs, sentences, split
+from tribuna.llm import canon, encode, mix, pairs, sentences, split
 from tribuna.session import table
 
 
@@ -82,7 +82,23 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode(table(spark, folder, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), "ids")
 
 
-QUERIES = {"p1_found": p1_found, "p1_medidas": p1_medidas, "p3_found": p3_found, "p3_pedacos": p3_pedacos, "p5_found": p5_found, "p5_sem_entrada": p5_sem_entrada, "p6_found": p6_found, "p8_ids": p8_ids}
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    sized = mix.sizes(table(spark, folder, "documents"), "doc_id", "text", "source")
+    return mix.mix(sized, table(spark, folder, "pesos_fontes"), "source", "peso_alvo", "max_repeticoes")
+
+
+def p9_mistura(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix: each document used, and how often."""
+    return _mixed(spark, folder)[0].select(F.col("doc").alias("doc_id"), F.col("fonte").alias("source"), "tokens", "copias")
+
+
+def p9_relatorio(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and reached share of every source, and which fall short, have no target or no documents."""
+    out = _mixed(spark, folder)[1].withColumnRenamed("fonte", "source")
+    return out.withColumns({c: F.round(c, 6) for c in ("repeticoes", "parte_real")})
+
+
+QUERIES = {"p1_found": p1_found, "p1_medidas": p1_medidas, "p3_found": p3_found, "p3_pedacos": p3_pedacos, "p5_found": p5_found, "p5_sem_entrada": p5_sem_entrada, "p6_found": p6_found, "p8_ids": p8_ids, "p9_mistura": p9_mistura, "p9_relatorio": p9_relatorio}
 _TOGETHER = """with m as (
   select distinct upper(trim(regexp_replace(nome, '\\s+', ' ', 'g'))) n, proposicao_alvo || chr(31) || postura_final b
   from base_posturas_classificadas
