@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tribuna.llm import canon, encode, mix, pairs, sentences, split
+from tribuna.llm import canon, encode, mix, names, pairs, sentences, split
 from tribuna.session import table
 
 
+def _spellings(spark: SparkSession, folder: str) -> DataFrame:
+    people = table(spark, folder, "publichearingbr_lds").select(F.explode("metadados.envolvidos").alias("e")).select("e.nome")
+    return names.clusters(names.spellings([people, table(spark, folder, "df_turnos").select("orador_marcador")]))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of spellings of the same person or organisation."""
+    return names.pairs(_spellings(spark, folder))
+
+
+def p2_grupos(spark: SparkSession, folder: str) -> DataFrame:
+    """Every spelling with its cluster, named by its first spelling."""
+    out = _spellings(spark, folder)
+    first = out.groupBy("grupo").agg(F.min("nome").alias("entidade"), F.count("*").alias("grafias"))
+    return out.join(first, "grupo").select("nome", "entidade", "grafias")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Texts in which a cut inside a sentence cannot be avoided."""
     both = (("df_turnos", "turno_id", "texto_turno"), ("publichearingbr_lds", "id", "transcricao"))
@@ -98,7 +115,7 @@ def p9_relatorio(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("repeticoes", "parte_real")})
 
 
-QUERIES = {"p1_found": p1_found, "p1_medidas": p1_medidas, "p3_found": p3_found, "p3_pedacos": p3_pedacos, "p5_found": p5_found, "p5_sem_entrada": p5_sem_entrada, "p6_found": p6_found, "p8_ids": p8_ids, "p9_mistura": p9_mistura, "p9_relatorio": p9_relatorio}
+QUERIES = {"p1_found": p1_found, "p1_medidas": p1_medidas, "p2_found": p2_found, "p2_grupos": p2_grupos, "p3_found": p3_found, "p3_pedacos": p3_pedacos, "p5_found": p5_found, "p5_sem_entrada": p5_sem_entrada, "p6_found": p6_found, "p8_ids": p8_ids, "p9_mistura": p9_mistura, "p9_relatorio": p9_relatorio}
 _TOGETHER = """with m as (
   select distinct upper(trim(regexp_replace(nome, '\\s+', ' ', 'g'))) n, proposicao_alvo || chr(31) || postura_final b
   from base_posturas_classificadas
