@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tribuna.llm import canon, encode, mix, names, pairs, sentences, split
+from tribuna.llm import canon, encode, mix, names, pairs, sentences, speakers, split, subjects
 from tribuna.session import table
 
 
@@ -40,6 +40,16 @@ def p3_pedacos(spark: SparkSession, folder: str) -> DataFrame:
     return turns.unionByName(hearings)
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Where every turn begins and who speaks."""
+    return speakers.speaker_turns(table(spark, folder, "publichearingbr_lds")).select(F.col("key").alias("id_audiencia"), "inicio_char", "nome")
+
+
+def p4_turnos(spark: SparkSession, folder: str) -> DataFrame:
+    """The turns with their clean speech."""
+    return speakers.speaker_turns(table(spark, folder, "publichearingbr_lds")).withColumnRenamed("key", "id_audiencia")
+
+
 def _canonical(spark: SparkSession, folder: str) -> DataFrame:
     ref = table(spark, folder, "lista_canonica").where("ref_id is not null").select("campo", "ref_id", "rotulo", "descricao").dropDuplicates(["ref_id"])
     entries = [r for r in ref.toLocalIterator()]
@@ -115,7 +125,19 @@ def p9_relatorio(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("repeticoes", "parte_real")})
 
 
-QUERIES = {"p1_found": p1_found, "p1_medidas": p1_medidas, "p2_found": p2_found, "p2_grupos": p2_grupos, "p3_found": p3_found, "p3_pedacos": p3_pedacos, "p5_found": p5_found, "p5_sem_entrada": p5_sem_entrada, "p6_found": p6_found, "p8_ids": p8_ids, "p9_mistura": p9_mistura, "p9_relatorio": p9_relatorio}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The subject areas of every document."""
+    t = [table(spark, folder, n) for n in ("documents", "areas_rotulos", "areas_referencia")]
+    return subjects.subject_areas(*t).withColumnRenamed("key", "doc_id")
+
+
+def p10_composicao(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and characters of each area, by source: the composition of the corpus."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", F.length("text").cast("bigint").alias("n"))
+    return p10_found(spark, folder).join(docs, "doc_id").groupBy("area", "source").agg(F.count("*").alias("documentos"), F.sum("n").alias("caracteres"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_medidas": p1_medidas, "p2_found": p2_found, "p2_grupos": p2_grupos, "p3_found": p3_found, "p3_pedacos": p3_pedacos, "p4_found": p4_found, "p4_turnos": p4_turnos, "p5_found": p5_found, "p5_sem_entrada": p5_sem_entrada, "p6_found": p6_found, "p8_ids": p8_ids, "p9_mistura": p9_mistura, "p9_relatorio": p9_relatorio, "p10_found": p10_found, "p10_composicao": p10_composicao}
 _TOGETHER = """with m as (
   select distinct upper(trim(regexp_replace(nome, '\\s+', ' ', 'g'))) n, proposicao_alvo || chr(31) || postura_final b
   from base_posturas_classificadas
