@@ -264,7 +264,7 @@ def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, key
         model = fit(names, [(parts(t), set(a), s, k) for t, a, s, k in zip(pdf["text"], pdf["areas"], pdf["source"], pdf["kind"])])
         return pd.DataFrame({"model": [pickle.dumps(model)]})
 
-    fitted = sample.groupBy(F.lit(0)).applyInPandas(learn, "model binary").collect()
+    fitted = sample.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(learn, "model binary").collect()
     held = documents.sparkSession.sparkContext.broadcast(bytes(fitted[0][0]) if fitted else b"")
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
