@@ -127,22 +127,25 @@ class Model:
         size = np.full(len(self.areas), math.log1p(n))
         return np.stack([np.ones(len(self.areas)), share, (share >= SHARE - 1e-9).astype(float), np.clip((share - SHARE) * 6, -1, 1), prior, form, size, np.full(len(self.areas), float(n > 0))], axis=1), share
 
-    def probability(self, j: int, x: np.ndarray, before: np.ndarray) -> float:
-        a, b = self.calibration[j]
-        z = float(self.chain[j][: x.shape[1]] @ x[j] + self.chain[j][x.shape[1] :] @ before)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a * z + b))))
-
     def decode(self, x: np.ndarray) -> np.ndarray:
-        """The most probable combination of areas, by beam search along the chain."""
-        m = len(self.areas)
+        """The most probable combination of areas, by beam search along the chain.
+
+        A decision with a probability below one in 10,000 is not followed; it could not win.
+        """
+        m, k = len(self.areas), x.shape[1]
+        own = self.calibration[:, 0] * (self.chain[:, :k] * x).sum(axis=1) + self.calibration[:, 1]
         beam = [(0.0, np.zeros(m))]
         for j in range(m):
             grown = []
             for logp, y in beam:
-                p = min(max(self.probability(j, x, y), 1e-9), 1 - 1e-9)
-                on = y.copy()
-                on[j] = 1
-                grown += [(logp + math.log(p), on), (logp + math.log(1 - p), y)]
+                z = float(own[j] + self.calibration[j, 0] * (self.chain[j, k:] @ y))
+                p = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+                if p > 1e-4:
+                    on = y.copy()
+                    on[j] = 1
+                    grown.append((logp + math.log(p), on))
+                if p < 1 - 1e-4:
+                    grown.append((logp + math.log(1 - p), y))
             beam = sorted(grown, key=lambda t: -t[0])[:BEAM]
         return beam[0][1]
 
