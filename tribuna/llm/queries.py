@@ -42,12 +42,12 @@ def p3_pedacos(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Where every turn begins and who speaks."""
-    return speakers.speaker_turns(table(spark, folder, "publichearingbr_lds")).select(F.col("key").alias("id_audiencia"), "inicio_char", "nome")
+    return speakers.speaker_turns(table(spark, folder, "publichearingbr_lds")).select(F.col("key").alias("id_audiencia"), "inicio_char", "nome").distinct()
 
 
 def p4_turnos(spark: SparkSession, folder: str) -> DataFrame:
     """The turns with their clean speech."""
-    return speakers.speaker_turns(table(spark, folder, "publichearingbr_lds")).withColumnRenamed("key", "id_audiencia")
+    return speakers.speaker_turns(table(spark, folder, "publichearingbr_lds"), version="recebido_em").withColumnRenamed("key", "id_audiencia")
 
 
 def _canonical(spark: SparkSession, folder: str) -> DataFrame:

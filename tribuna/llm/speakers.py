@@ -12,14 +12,14 @@
    labels without spoken words are dropped; successive turns of one participant
    become one.
 
-Work is per transcript in Arrow batches next to the scan, with no shuffle but the
-one that makes repeated hearings one.
+Work is per transcript in Arrow batches next to the scan, without any shuffle.
 
 Defined results: null and blank transcripts have no turns; a hearing without
 participants has turns of speakers not identified (empty name); participants with
 null or blank names are never speakers; two participants of equal similarity: the
-first in the list; copies of a hearing count once (the latest by ``recebido_em``,
-if the caller has that column); other columns are ignored.
+first in the list; copies of a hearing give equal rows, which a caller makes
+distinct, or names the column by which the latest version wins; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -195,16 +195,16 @@ def turns(text: str | None, people: list[str | None] | None) -> list[tuple[int,
     return [(at, stored[s] if s >= 0 else "", " ".join(p for p in parts if p)) for at, s, parts in out]
 
 
-def speaker_turns(df: DataFrame, key: str = "id", text: str = "transcricao", people: str = "metadados.envolvidos.nome", version: str | None = "recebido_em") -> DataFrame:
-    """(key, ordem, inicio_char, nome, fala) of every hearing."""
+def speaker_turns(df: DataFrame, key: str = "id", text: str = "transcricao", people: str = "metadados.envolvidos.nome", version: str | None = None) -> DataFrame:
+    """(key, ordem, inicio_char, nome, fala) of every row, or of the latest row of each key if ``version`` names a column."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(k, n, at, who, what) for k, t, p in zip(pdf["key"], pdf["text"], pdf["people"]) for n, (at, who, what) in enumerate(turns(t, list(p) if p is not None else []))]
             yield pd.DataFrame(rows, columns=["key", "ordem", "inicio_char", "nome", "fala"])
 
-    rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(people).alias("people"), (F.col(version) if version else F.lit(0)).alias("v")).where("key is not null and text is not null")
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(people).alias("people"), *([F.col(version).alias("v")] if version else [])).where("key is not null and text is not null")
     if version:
-        last = rows.groupBy("key").agg(F.max("v").alias("v"))
-        rows = rows.join(last.withColumnRenamed("v", "last"), "key").where("v <=> last").drop("last")
-    return rows.drop("v").mapInPandas(run, "key string, ordem bigint, inicio_char bigint, nome string, fala string")
+        whole = rows.groupBy("key").agg(F.max_by(F.struct("text", "people"), F.struct(F.coalesce("v", F.lit("1900-01-01").cast("timestamp")), F.xxhash64("text", "people"))).alias("x"))
+        rows = whole.select("key", "x.text", "x.people")
+    return rows.mapInPandas(run, "key string, ordem bigint, inicio_char bigint, nome string, fala string")
