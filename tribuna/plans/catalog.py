@@ -1,3 +1,360 @@
-"""Queries of the reference operators."""
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+"""Queries of the hearing operators over the public-hearing tables."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tribuna import schema
+from tribuna.functions import text as T
+from tribuna.operators import chunks, flatten, graph, inference, stats, topics, turns
+from tribuna.plans.catalog_sql import SQL  # noqa: F401
+from tribuna.session import cut, shared_folder, table
+from tribuna.sources import hearings as sources
+from tribuna.streaming import hearings as streaming
+
+TERMS = ["debate", "sobre"]
+PATTERN = "vacina|fila de"
+
+
+def _ph(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "publichearingbr_lds")
+
+
+def _bp(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "base_posturas_classificadas")
+
+
+def _dt(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "df_turnos")
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct stored names and offices."""
+    e = _ph(spark, d).select(F.explode("metadados.envolvidos").alias("e"))
+    return e.select(F.col("e.nome").alias("nome"), F.col("e.cargo").alias("cargo")).distinct()
+
+
+def _hearings(spark: SparkSession, d: str) -> DataFrame:
+    return flatten.latest(_ph(spark, d).select("id", "transcricao", "metadados", "recebido_em"))
+
+
+# -- scans, projections, unnesting ----------------------------------------------------
+
+
+def scan_project(spark, d):
+    return _dt(spark, d).select("turno_id", "id_audiencia", F.col("ordem_turno").alias("ordem"))
+
+
+def preview_head(spark, d):
+    return _dt(spark, d).select("turno_id", "orador_marcador").distinct().orderBy("turno_id").limit(20)
+
+
+def constant_columns(spark, d):
+    return _bp(spark, d).select("nome").where("nome is not null").distinct().select("nome", F.lit(15).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("concordancia"))
+
+
+def json_flatten_one(spark, d):
+    return flatten.participants(_ph(spark, d))
+
+
+def json_flatten_two(spark, d):
+    return flatten.opinions(_ph(spark, d))
+
+
+def outer_explode(spark, d):
+    return table(spark, d, "df_props").select("id_audiencia", F.explode_outer(T.split_list(F.col("proposicoes_audiencia"))).alias("proposicao_alvo"))
+
+
+def struct_flatten(spark, d):
+    return _ph(spark, d).select("id", "metadados.*").select("id", "assunto", F.coalesce(F.size("envolvidos"), F.lit(0)).cast("bigint").alias("n"))
+
+
+# -- filters --------------------------------------------------------------------------
+
+
+def filter_nonblank(spark, d):
+    return _ph(spark, d).where(T.strip(T.text_or_empty(F.col("transcricao"))) != "").select("id", F.length("transcricao").cast("bigint").alias("n"))
+
+
+def filter_in(spark, d):
+    return graph.valid(_bp(spark, d)).select("linha_id", "postura_final")
+
+
+def filter_contains_all(spark, d):
+    return topics.with_all_terms(_bp(spark, d), TERMS).select("linha_id", "assunto_audiencia")
+
+
+def filter_regex_ci(spark, d):
+    return topics.like_any(_bp(spark, d), PATTERN).select("linha_id", "assunto_audiencia")
+
+
+def filter_quantifiers(spark, d):
+    e = _ph(spark, d).where("metadados.envolvidos is not null")
+    filled = lambda x: F.coalesce(x["cargo"].isNotNull(), F.lit(False))
+    return e.select("id", F.exists("metadados.envolvidos", filled).alias("algum"), F.forall("metadados.envolvidos", filled).alias("todos"))
+
+
+# -- scalar functions -----------------------------------------------------------------
+
+
+def clean_text(spark, d):
+    return _ph(spark, d).select("id", T.clean_text(F.col("transcricao")).alias("limpo"))
+
+
+def strip_text(spark, d):
+    return _names(spark, d).select("nome").distinct().select("nome", T.strip(F.col("nome")).alias("aparado"))
+
+
+def title_case(spark, d):
+    return _names(spark, d).select("nome").distinct().select("nome", T.title_case(F.col("nome")).alias("titulo"))
+
+
+def fold_accents(spark, d):
+    return _names(spark, d).select("nome").distinct().select("nome", T.fold_accents(F.col("nome")).alias("dobrado"))
+
+
+def normalize_name(spark, d):
+    return _names(spark, d).select("nome").distinct().select("nome", T.normalize_name(F.col("nome")).alias("norma"))
+
+
+def clean_marker(spark, d):
+    names = _dt(spark, d).select("orador_marcador").distinct().select(F.concat(F.lit("O SR. DEPUTADO "), "orador_marcador", F.lit(" (PLUZ - SP) ")).alias("marcador"))
+    return names.select("marcador", T.clean_marker(F.col("marcador")).alias("nome"))
+
+
+def affiliation(spark, d):
+    return _names(spark, d).select("cargo").distinct().select("cargo", T.affiliation(F.col("cargo")).alias("filiacao_rede"))
+
+
+def stance_normalize(spark, d):
+    said = _bp(spark, d).select(F.coalesce("postura_final", F.lit("talvez")).alias("p"), "linha_id").select("linha_id", F.concat(F.lower("p"), F.lit(". "), F.when(F.col("linha_id") % 2 == 0, "não a favor").otherwise("")).alias("resposta"))
+    return said.select("linha_id", "resposta", T.stance(F.col("resposta")).alias("postura"))
+
+
+def parse_prefixed_lines(spark, d):
+    text = F.concat(F.lit("Claro!\nPROP: "), F.replace("proposicoes_audiencia", F.lit(" | "), F.lit("\nPROP: ")), F.lit("\n PROP: recuada\nfim"))
+    rows = table(spark, d, "df_props").select("id_audiencia", F.posexplode(T.prefixed_lines(text)).alias("pos", "proposicao"))
+    return rows.select("id_audiencia", F.col("pos").cast("bigint").alias("pos"), "proposicao")
+
+
+# -- markers, turns, chunks -----------------------------------------------------------
+
+
+def markers_positions(spark, d):
+    m = turns.markers(_hearings(spark, d))
+    return m.select("id_audiencia", F.col("inicio").cast("bigint").alias("inicio"), F.col("fim").cast("bigint").alias("fim"), "marcador", "orador_marcador")
+
+
+def known_name_semi(spark, d):
+    people = flatten.participants(_hearings(spark, d))
+    return turns.accept(turns.markers(_hearings(spark, d)), turns.known_names(people)).select("norma").distinct()
+
+
+def token_containment_join(spark, d):
+    heard = _dt(spark, d).select("turno_id", "id_audiencia", "orador_marcador").distinct().withColumn("tem", T.tokens(T.normalize_name(F.col("orador_marcador"))))
+    people = flatten.participants(_hearings(spark, d)).withColumn("palavras", T.tokens(T.normalize_name(F.col("nome")), 3))
+    return heard.join(people, "id_audiencia").where(T.contains_name(F.col("tem"), F.col("palavras"))).select("turno_id", "part_ord", "nome")
+
+
+def _turned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    h = cut(_hearings(spark, d))
+    people = flatten.participants(h)
+    return turns.extract(h, people), people
+
+
+def turns_numbered(spark, d):
+    return _turned(spark, d)[0].select("id_audiencia", "ordem_turno", "orador_marcador", "texto_turno", "inicio_char", "fim_char")
+
+
+def turns_attributed(spark, d):
+    return turns.attribute(*_turned(spark, d)).select("id_audiencia", "part_ord", "nome", "ordem_turno", "inicio_char", "fim_char")
+
+
+def turns_speaker_ordinal(spark, d):
+    return turns.attribute(*_turned(spark, d), ordinal="speaker").select("id_audiencia", "part_ord", "ordem_turno", "inicio_char")
+
+
+def participants_without_turns(spark, d):
+    turned, people = _turned(spark, d)
+    counted = turns.attribute(turned, people).groupBy("id_audiencia", "part_ord").agg(F.count("*").alias("n"))
+    return people.join(counted, ["id_audiencia", "part_ord"], "left").agg(F.count_if(F.col("n").isNull()).alias("sem_turno"), F.count("*").alias("participantes"))
+
+
+def chunk_turns(spark, d):
+    rows = _dt(spark, d).select("turno_id", "texto_turno").dropDuplicates(["turno_id"])
+    return chunks.chunks(rows, "texto_turno", ["turno_id"], ["turno_id"]).select("turno_id", "ordem_chunk", "chunks")
+
+
+def chunk_attributed(spark, d):
+    """Chunks numbered within hearing, participant's name and turn, as the reference does."""
+    turned, people = _turned(spark, d)
+    rows = turns.attribute(turned, people)
+    return chunks.chunks(rows, "texto_turno", ["id_audiencia", "nome", "ordem_turno"], ["part_ord"]).groupBy("id_audiencia", "nome", "ordem_turno").agg(F.count("*").alias("chunks"), F.max("ordem_chunk").alias("ultimo"), F.sum(F.length("chunks")).alias("caracteres"))
+
+
+# -- aggregations and joins -----------------------------------------------------------
+
+
+def group_concat_ordered(spark, d):
+    return inference.mining_input(flatten.opinions(_hearings(spark, d)))
+
+
+def merge_inner(spark, d):
+    one = table(spark, d, "df_props").groupBy("id_audiencia").agg(F.max("proposicoes_audiencia").alias("proposicoes_audiencia"))
+    return flatten.opinions(_hearings(spark, d)).join(one, "id_audiencia").select("id_audiencia", "part_ord", "op_ord", "proposicoes_audiencia")
+
+
+def pair_opinions_propositions(spark, d):
+    return inference.pair_up(flatten.opinions(_hearings(spark, d)), table(spark, d, "df_props")).select("id_audiencia", "part_ord", "op_ord", "proposicao_alvo")
+
+
+def lookup_left_default(spark, d):
+    colours = F.create_map(*[F.lit(x) for pair in schema.COLOURS.items() for x in pair])
+    return _bp(spark, d).select("filiacao_rede").distinct().select("filiacao_rede", F.coalesce(F.element_at(colours, F.coalesce("filiacao_rede", F.lit(""))), F.lit(schema.OTHER_COLOUR)).alias("cor"))
+
+
+def distinct_pairs(spark, d):
+    return _bp(spark, d).select("id_audiencia", "assunto_audiencia").distinct()
+
+
+def distinct_values(spark, d):
+    return turns.known_names(flatten.participants(_ph(spark, d))).select("conhecido")
+
+
+def row_counts(spark, d):
+    return _bp(spark, d).agg(F.count("*").alias("linhas"), F.count("proposicao_alvo").alias("com_proposicao"), F.countDistinct("id_audiencia").alias("audiencias"))
+
+
+def top10_propositions(spark, d):
+    return stats.volumes(_bp(spark, d), "proposicao_alvo", 10)
+
+
+def top10_speakers(spark, d):
+    return stats.volumes(_bp(spark, d), "nome", 10)
+
+
+def group_volume(spark, d):
+    return stats.volumes(_bp(spark, d), "filiacao_rede")
+
+
+def crosstab_margins(spark, d):
+    out = stats.crosstab(_bp(spark, d), "filiacao_rede", "postura_final")
+    return out.select("filiacao_rede", F.col("A FAVOR").alias("a_favor"), F.col("CONTRA").alias("contra"), F.col("ERRO API").alias("erro_api"), F.col("NEUTRO").alias("neutro"), F.col(schema.TOTAL).alias("total_geral")).orderBy(F.desc("total_geral"), "filiacao_rede")
+
+
+# -- inference ------------------------------------------------------------------------
+
+
+def propose_offline(spark, d):
+    mined = inference.mine(inference.mining_input(flatten.opinions(_hearings(spark, d))), inference.offline_miner, waits=())
+    return mined.select("id_audiencia", "proposicoes_audiencia", "erro")
+
+
+def stance_detect_offline(spark, d):
+    pairs = inference.pair_up(flatten.opinions(_hearings(spark, d)), table(spark, d, "df_props"))
+    return inference.detect(pairs, inference.offline_judge, waits=()).select("id_audiencia", "part_ord", "op_ord", "proposicao_alvo", "postura_final")
+
+
+# -- graph ----------------------------------------------------------------------------
+
+
+def graph_nodes(spark, d):
+    return graph.nodes(graph.valid(_bp(spark, d)), "linha_id")
+
+
+def edges_pairwise(spark, d):
+    return graph.edges_pairwise(_bp(spark, d), "linha_id")
+
+
+def edges_algebraic(spark, d):
+    return graph.edges(_bp(spark, d))
+
+
+def edges_classified(spark, d):
+    return graph.classify(graph.edges(_bp(spark, d)))
+
+
+def edges_between_classes(spark, d):
+    """The compact form: edges between classes of speakers, with the sizes of both."""
+    members, profile = graph.classes(graph.counts(_bp(spark, d)))
+    size = members.groupBy("classe").agg(F.count("*").alias("n"))
+    e = graph.class_edges(profile)
+    a, b = size.withColumnRenamed("classe", "a").withColumnRenamed("n", "n_a"), size.withColumnRenamed("classe", "b").withColumnRenamed("n", "n_b")
+    return e.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "concordancia", "discordancia", "neutro")
+
+
+def graph_connected_nodes(spark, d):
+    b = _bp(spark, d)
+    return graph.connected(graph.nodes(graph.valid(b), "linha_id"), graph.counts(b)).select("nome", "group")
+
+
+def graph_size(spark, d):
+    """Nodes with an edge and edges, the latter counted from classes without forming them."""
+    b = _bp(spark, d)
+    points = graph_connected_nodes(spark, d).agg(F.count("*").alias("nos"))
+    members, profile = graph.classes(graph.counts(b))
+    size = members.groupBy("classe").agg(F.count("*").alias("n"))
+    e = graph.class_edges(profile).select("a", "b").join(size.select(F.col("classe").alias("a"), F.col("n").alias("x")), "a").join(size.select(F.col("classe").alias("b"), F.col("n").alias("y")), "b")
+    lines = e.agg(F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), (F.col("x") * (F.col("x") - 1) / 2).cast("bigint")).otherwise(F.col("x") * F.col("y"))), F.lit(0)).alias("arestas"))
+    return points.crossJoin(lines)
+
+
+# -- topics ---------------------------------------------------------------------------
+
+
+def topic_first_match(spark, d):
+    return topics.first_hearing(flatten.participants(_hearings(spark, d)), TERMS, ["id_audiencia", "part_ord"])
+
+
+def topic_turns(spark, d):
+    turned, people = _turned(spark, d)
+    return topics.inspect(turned, people, TERMS, PATTERN, ["id_audiencia", "part_ord"])[0]
+
+
+def topic_fallback(spark, d):
+    people = flatten.participants(_hearings(spark, d))
+    return topics.like_any(people, PATTERN).select("id_audiencia", "assunto_audiencia").distinct()
+
+
+# -- sources and sinks ----------------------------------------------------------------
+
+
+def _place(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tribuna-{uuid.uuid4().hex}"
+
+
+def csv_roundtrip(spark, d):
+    path = _place(spark)
+    sources.write_stances(_bp(spark, d), path)
+    back = sources.read_stances(spark, path)
+    return back.groupBy("id_audiencia", "nome", "proposicao_alvo", "postura_final").agg(F.count("*").alias("n"))
+
+
+def jsonl_roundtrip(spark, d):
+    path = _place(spark)
+    _ph(spark, d).select("id", "transcricao", "metadados").write.mode("overwrite").json(path)
+    return sources.read_hearings(spark, path).select("id", F.col("metadados.assunto").alias("assunto"), F.length("transcricao").cast("bigint").alias("n"))
+
+
+def stream_opinions(spark, d):
+    """Hearings as a stream of JSON Lines, run to the end of what is there."""
+    path = _place(spark)
+    _ph(spark, d).select("id", "transcricao", "metadados").write.mode("overwrite").json(f"{path}/in")
+    query = streaming.opinions(streaming.read(spark, f"{path}/in")).writeStream.format("parquet").option("checkpointLocation", f"{path}/at").trigger(availableNow=True).start(f"{path}/out")
+    query.awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("id_audiencia", "part_ord", "op_ord", "opiniao_limpa")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        scan_project, preview_head, constant_columns, json_flatten_one, json_flatten_two, outer_explode, struct_flatten, filter_nonblank, filter_in, filter_contains_all, filter_regex_ci, filter_quantifiers,
+        clean_text, strip_text, title_case, fold_accents, normalize_name, clean_marker, affiliation, stance_normalize, parse_prefixed_lines, markers_positions, known_name_semi, token_containment_join,
+        turns_numbered, turns_attributed, turns_speaker_ordinal, participants_without_turns, chunk_turns, chunk_attributed, group_concat_ordered, merge_inner, pair_opinions_propositions, lookup_left_default,
+        distinct_pairs, distinct_values, row_counts, top10_propositions, top10_speakers, group_volume, crosstab_margins, propose_offline, stance_detect_offline, graph_nodes, edges_pairwise, edges_algebraic,
+        edges_classified, edges_between_classes, graph_connected_nodes, graph_size, topic_first_match, topic_turns, topic_fallback, csv_roundtrip, jsonl_roundtrip, stream_opinions,
+    )
+}
