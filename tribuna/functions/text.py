@@ -59,9 +59,8 @@ def fold_accents(c: Column) -> Column:
     """Compatibility decomposition without combining marks, by a generated ``translate`` table."""
     source, target, many = _folding()
     whole = F.translate(c, source, target)
-    several = whole
-    for ch, out in many.items():
-        several = F.replace(several, F.lit(ch), F.lit(out))
+    table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    several = F.array_join(F.transform(F.split(whole, ""), lambda ch: F.coalesce(F.element_at(table, ch), ch)), "")
     return F.when(c.rlike("[" + "".join(many) + "]"), several).otherwise(whole)
 
 
