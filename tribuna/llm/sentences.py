@@ -381,8 +381,10 @@ def _long(df: DataFrame, size: int, block: int, lines: bool) -> DataFrame:
     by = Window.partitionBy("key").orderBy("k")
     seen = F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1))
     events = events.withColumn("stops", F.transform("stops", lambda x: F.when(x < 0, seen).otherwise(x)))
-    total = F.max("last").over(Window.partitionBy("key"))
-    points = events.select("key", F.explode(F.concat(F.transform("starts", lambda x: F.struct(x.alias("at"), F.lit(1).alias("s"))), F.transform("stops", lambda x: F.struct(x.alias("at"), F.lit(0).alias("s"))))).alias("p"), total.alias("total"))
+    # The end of the document is known before chunks without any start or end drop out.
+    events = events.withColumn("total", F.max("last").over(Window.partitionBy("key")))
+    both = F.concat(F.transform("starts", lambda x: F.struct(x.alias("at"), F.lit(1).alias("s"))), F.transform("stops", lambda x: F.struct(x.alias("at"), F.lit(0).alias("s"))))
+    points = events.select("key", "total", F.explode(both).alias("p"))
     points = points.select("key", "total", "p.at", "p.s")
     nxt = F.lead("at").over(Window.partitionBy("key").orderBy("at", "s"))
     return points.withColumn("stop", F.coalesce(nxt, F.col("total"))).where("s = 1").select("key", F.col("at").alias("inicio"), F.col("stop").alias("fim"))
