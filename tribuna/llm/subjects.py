@@ -50,6 +50,7 @@ SLOTS = 1 << 20
 ROUNDS = 4
 BEAM = 8
 ODD = re.compile(r"[­​-‏‪-‮⁠︀-️﻿\U0001f000-\U0001faff☀-➿]+")
+MARKS = re.compile("[\u0300-\u036f]+")
 TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,60}>")
 WORD = re.compile(r"[^\W\d_]{2,}|[^\W\d_]")
 
@@ -64,8 +65,7 @@ def clean(text: str) -> str:
 
 
 def fold(s: str) -> str:
-    s = unicodedata.normalize("NFKD", s)
-    return "".join(c for c in s if not unicodedata.combining(c)).lower()
+    return MARKS.sub("", unicodedata.normalize("NFKD", s)).lower()
 
 
 def terms(sentence: str) -> np.ndarray:
@@ -97,24 +97,29 @@ class Model:
 
     # -- sentences --
 
-    def scores(self, sentence: np.ndarray) -> np.ndarray:
-        """What the terms of a sentence say about each area."""
-        at = np.searchsorted(self.slots, sentence)
-        at = at[(at < len(self.slots)) & (self.slots[np.minimum(at, max(len(self.slots) - 1, 0))] == sentence)] if len(self.slots) else at[:0]
-        return self.weights[at].sum(axis=0) if len(at) else np.zeros(len(self.areas))
-
-    def posterior(self, sentence: np.ndarray) -> np.ndarray:
-        """Share of a sentence for each area: 1 for the best, split among ties, 0 for all where none stands out."""
-        s = self.scores(sentence)
-        best = s.max() if len(s) else 0.0
-        if best < THRESHOLD:
-            return np.zeros(len(self.areas))
-        top = (s >= best - 1e-9).astype(float)
-        return top / top.sum()
+    def scores(self, sentences: list[np.ndarray]) -> np.ndarray:
+        """What the terms of each sentence say about each area: sentences by areas."""
+        said = np.zeros((len(sentences), len(self.areas)))
+        if not len(self.slots) or not sentences:
+            return said
+        every = np.concatenate(sentences)
+        at = np.minimum(np.searchsorted(self.slots, every), len(self.slots) - 1)
+        known = self.slots[at] == every
+        owner = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])[known]
+        np.add.at(said, owner, self.weights[at[known]])
+        return said
 
     def shares(self, sentences: list[np.ndarray]) -> tuple[np.ndarray, float]:
-        """Share of each area among the sentences that have one, and their number."""
-        p = np.sum([self.posterior(s) for s in sentences], axis=0) if sentences else np.zeros(len(self.areas))
+        """Share of each area among the sentences that have one, and their number.
+
+        A sentence counts for its best area, split among ties, and for none where nothing stands out.
+        """
+        said = self.scores(sentences)
+        if not said.size:
+            return np.zeros(len(self.areas)), 0.0
+        best = said.max(axis=1, keepdims=True)
+        top = (said >= best - 1e-9) & (best >= THRESHOLD)
+        p = (top / np.maximum(top.sum(axis=1, keepdims=True), 1)).sum(axis=0)
         n = float(p.sum())
         return (p / n if n else p), n
 
@@ -258,7 +263,8 @@ def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, key
     names = [r[0] for r in areas.select(area).where(F.col(area).isNotNull()).distinct().collect()]
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source"), F.col(kind).alias("kind")).where("key is not null")
     kept = labels.select(F.col(key).alias("key"), F.col(area).alias("area")).where(F.col("key").isNotNull() & F.col("area").isin(names)).groupBy("key").agg(F.sort_array(F.collect_set("area")).alias("areas"))
-    sample = rows.join(kept.orderBy(F.xxhash64("key"), "key").limit(labelled), "key").dropDuplicates(["key"]).select("key", "text", "source", "kind", "areas")
+    # The sample's keys are bounded by ``labelled``, so they go to the texts and not the texts to them.
+    sample = rows.join(F.broadcast(kept.orderBy(F.xxhash64("key"), "key").limit(labelled)), "key").dropDuplicates(["key"]).select("key", "text", "source", "kind", "areas")
 
     def learn(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         import pickle
