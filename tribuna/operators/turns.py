@@ -15,12 +15,13 @@ MARKER = r"(?iU)(\b(?:O\s+SR\.?|A\s+SRA\.?)\s+[^()\n-]{2,100}(?:\([^\n)]{1,140}\
 def markers(hearings: DataFrame, key: str = "id", text: str = "transcricao") -> DataFrame:
     """Every marker of a transcript: start and end in code points, the marker and the name in it."""
     texts = hearings.select(F.col(key).alias("id_audiencia"), F.col(text).alias("t")).where(T.strip(T.text_or_empty(F.col(text))) != "")
-    cut = texts.select("id_audiencia", F.length("t").alias("tamanho"), F.regexp_extract_all("t", F.lit(MARKER), F.lit(0)).alias("m"), F.transform(F.split("t", MARKER, -1), F.length).alias("gap"))
-    # The start of marker i is what lies before it: all gaps up to it and all markers before it.
-    rows = cut.select("id_audiencia", "tamanho", "gap", "m", F.posexplode("m").alias("i", "whole"))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    start = total(F.slice("gap", F.lit(1), F.col("i") + 1)) + total(F.transform(F.slice("m", F.lit(1), F.col("i")), F.length))
-    found = rows.select("id_audiencia", "tamanho", start.alias("inicio"), (start + F.length("whole")).alias("fim"), F.regexp_replace("whole", rf"(?U){T.BLANK}*-{T.BLANK}*$", "").alias("marcador"))
+    gaps = F.transform(F.split("t", MARKER, -1), F.length)
+    # From here on only markers and lengths move, not transcripts.
+    rows = texts.select("id_audiencia", F.length("t").alias("tamanho"), F.posexplode(F.arrays_zip(F.regexp_extract_all("t", F.lit(MARKER), F.lit(0)).alias("m"), gaps.alias("g"))).alias("i", "x")).where("x.m is not null")
+    rows = rows.select("id_audiencia", "tamanho", "i", F.col("x.m").alias("m"), F.col("x.g").alias("g"), F.length("x.m").alias("l"))
+    # A marker ends behind all gaps and markers up to and with it.
+    end = F.sum(F.col("g") + F.col("l")).over(Window.partitionBy("id_audiencia").orderBy("i"))
+    found = rows.withColumn("fim", end).select("id_audiencia", "tamanho", (F.col("fim") - F.col("l")).alias("inicio"), "fim", F.regexp_replace("m", rf"(?U){T.BLANK}*-{T.BLANK}*$", "").alias("marcador"))
     return found.withColumn("orador_marcador", T.clean_marker(F.col("marcador")))
 
 
@@ -50,7 +51,7 @@ def turns(hearings: DataFrame, accepted: DataFrame, key: str = "id", text: str =
     spans = accepted.withColumn("ate", F.coalesce(nxt, F.col("tamanho"))).select("id_audiencia", "inicio", "fim", "ate", "orador_marcador")
     texts = hearings.select(F.col(key).alias("id_audiencia"), F.col(text).alias("t"))
     rows = texts.join(spans, "id_audiencia")
-    said = rows.select("id_audiencia", "orador_marcador", T.clean_text(F.substring(F.col("t"), F.col("fim") + 1, F.col("ate") - F.col("fim"))).alias("texto_turno"), F.col("inicio").cast("bigint").alias("inicio_char"), F.col("ate").cast("bigint").alias("fim_char")).where("texto_turno <> ''")
+    said = rows.select("id_audiencia", "orador_marcador", T.clean_text(F.substring(F.col("t"), (F.col("fim") + 1).cast("int"), (F.col("ate") - F.col("fim")).cast("int"))).alias("texto_turno"), F.col("inicio").cast("bigint").alias("inicio_char"), F.col("ate").cast("bigint").alias("fim_char")).where("texto_turno <> ''")
     order = F.row_number().over(Window.partitionBy("id_audiencia").orderBy("inicio_char")) - 1
     return said.withColumn("ordem_turno", order.cast("bigint"))
 
