@@ -108,9 +108,10 @@ def mix(sized: DataFrame, targets: DataFrame, source: str, weight: str, most: st
     mixed = border.select(*columns).unionByName(rest.select(*columns)).where("copias > 0")
 
     reached = mixed.groupBy("fonte").agg(F.sum(F.col("tokens") * F.col("copias")).alias("usados"))
-    whole = reached.agg(F.sum("usados").alias("todos"))
     all_ = want.join(have, want.fonte.eqNullSafe(have.fonte), "full").select(F.coalesce(want.fonte, have.fonte).alias("fonte"), "peso", "maximo", F.coalesce("tem", F.lit(0)).alias("tem"), F.coalesce("documentos", F.lit(0)).alias("documentos"))
-    report = all_.join(reached, "fonte", "left").join(F.broadcast(plan.select("fonte", "falta")), "fonte", "left").crossJoin(F.broadcast(whole)).withColumn("usados", F.coalesce("usados", F.lit(0)))
+    report = all_.join(reached, "fonte", "left").join(F.broadcast(plan.select("fonte", "falta")), "fonte", "left").withColumn("usados", F.coalesce("usados", F.lit(0)))
+    # One row a source, so the total over all of them is a window of that size.
+    report = report.withColumn("todos", F.sum("usados").over(Window.partitionBy(F.lit(0))))
     share = F.coalesce(F.col("usados") / F.nullif(F.col("todos"), F.lit(0)), F.lit(0.0))
     state = F.when(F.coalesce("peso", F.lit(0.0)) <= 0, "sem alvo").when(F.col("documentos") == 0, "sem documentos").when(F.coalesce("falta", F.lit(True)), "falta").otherwise("ok")
     report = report.select("fonte", "documentos", F.col("tem").alias("tokens_fonte"), F.coalesce("peso", F.lit(0.0)).alias("peso_alvo"), F.coalesce("maximo", F.lit(0)).alias("max_repeticoes"), F.col("usados").alias("tokens_mistura"), F.coalesce(F.col("usados") / F.nullif(F.col("tem"), F.lit(0)), F.lit(0.0)).alias("repeticoes"), share.alias("parte_real"), state.alias("estado"))

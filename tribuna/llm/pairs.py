@@ -38,7 +38,7 @@ def pairs(df: DataFrame, item: str, basket: str, least: int = 6, block: int = BL
     key = F.concat_ws(":", F.xxhash64("basket").cast("string"), F.hash("basket").cast("string"))
     rows = cut(rows.select("item", key.alias("basket")).distinct())
     sizes = rows.groupBy("basket").agg(F.count("*").alias("size"))
-    n_baskets = sizes.agg(F.count("*").alias("baskets"))
+    n_baskets = sizes.count()  # one number
     items = rows.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     kept = cut(rows.join(items, "item").join(sizes, "basket"))
     # The largest baskets of each item. The bound on the rank is applied before the shuffle, so an item
@@ -61,6 +61,6 @@ def pairs(df: DataFrame, item: str, basket: str, least: int = 6, block: int = BL
     from_a = candidates.select("a", "b").join(aside.withColumnRenamed("item", "a"), "a").join(kept.select(F.col("item").alias("b"), "basket"), ["b", "basket"])
     from_b = candidates.select("a", "b").join(aside.withColumnRenamed("item", "b"), "b").join(prefix.select(F.col("item").alias("a"), "basket"), ["a", "basket"])
     extra = from_a.select("a", "b").unionByName(from_b.select("a", "b")).groupBy("a", "b").agg(F.count("*").alias("more"))
-    whole = candidates.join(extra, ["a", "b"], "left").withColumn("n_ab", F.col("seen") + F.coalesce("more", F.lit(0))).where(F.col("n_ab") >= least)
+    whole = candidates.join(extra, ["a", "b"], "left").withColumn("n_ab", F.col("seen") + F.coalesce("more", F.lit(0))).where(F.col("n_ab") >= least).withColumn("baskets", F.lit(n_baskets).cast("bigint"))
     lift = F.col("n_ab") * F.col("baskets") / (F.col("n_a") * F.col("n_b"))
-    return whole.crossJoin(F.broadcast(n_baskets)).select("a", "b", "n_ab", "n_a", "n_b", "baskets", lift.alias("lift"), F.log2(lift).alias("pmi"))
+    return whole.select("a", "b", "n_ab", "n_a", "n_b", "baskets", lift.alias("lift"), F.log2(lift).alias("pmi"))

@@ -82,8 +82,6 @@ def person(name: str, inner: str) -> tuple[str, str]:
     bare = re.sub(r"^(?:sr|sra|senhor|senhora|dep|sen|deputad[oa]|senador|senadora|ver|vereador|vereadora)\.?\s+", "", f)
     if CHAIR.fullmatch(bare):
         return "cadeira", re.split(r"\.\s|\s-\s|/", inner)[0].strip() if inner and not re.fullmatch(r"[A-Z]{2,6}\s*[-/]\s*[A-Z]{2}", inner.strip()) else ""
-    m = re.match(r"(?:dr|dra|prof|profa|eng|enga|cel|gen)\.\s", inner.lower()) if inner else None
-    del m
     if UNKNOWN.fullmatch(bare):
         return "ninguem", ""
     return "pessoa", TITLES_BEFORE.sub("", name, count=1).strip(" .-")
@@ -113,12 +111,11 @@ def labels(text: str, people: list[str]) -> list[Label]:
         found.append(Label(m.start(), m.end(), m["name"].strip(), m["inner"] or "", True, True))
     taken = [(x.at, x.end) for x in found]
     for s in START.finditer(text):
-        at = s.end()
-        if s["end"] and not ends(text, s.start("end"), s.end("end")):
-            continue
-        m = PLAIN.match(text, at)
+        m = PLAIN.match(text, s.end())
         if not m or any(a <= m.start() < b or m.start() <= a < m.end() for a, b in taken):
             continue
+        if s["end"] and not ends(text, s.start("end"), s.end("end")):
+            continue
         line = not s["end"]
         kind, name = person(m["name"], m["inner"] or "")
         if kind == "pessoa":
