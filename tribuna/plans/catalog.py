@@ -265,10 +265,6 @@ def graph_nodes(spark, d):
     return graph.nodes(graph.valid(_bp(spark, d)), "linha_id")
 
 
-def edges_pairwise(spark, d):
-    return graph.edges_pairwise(_bp(spark, d), "linha_id")
-
-
 def edges_algebraic(spark, d):
     return graph.edges(_bp(spark, d))
 
@@ -299,7 +295,8 @@ def graph_size(spark, d):
     size = members.groupBy("classe").agg(F.count("*").alias("n"))
     e = graph.class_edges(profile).select("a", "b").join(size.select(F.col("classe").alias("a"), F.col("n").alias("x")), "a").join(size.select(F.col("classe").alias("b"), F.col("n").alias("y")), "b")
     lines = e.agg(F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), (F.col("x") * (F.col("x") - 1) / 2).cast("bigint")).otherwise(F.col("x") * F.col("y"))), F.lit(0)).alias("arestas"))
-    return points.crossJoin(lines)
+    none = F.lit(None).cast("bigint")
+    return points.select("nos", none.alias("arestas")).unionByName(lines.select(none.alias("nos"), "arestas")).agg(F.max("nos").alias("nos"), F.max("arestas").alias("arestas"))
 
 
 # -- topics ---------------------------------------------------------------------------
@@ -354,7 +351,7 @@ QUERIES = {
         scan_project, preview_head, constant_columns, json_flatten_one, json_flatten_two, outer_explode, struct_flatten, filter_nonblank, filter_in, filter_contains_all, filter_regex_ci, filter_quantifiers,
         clean_text, strip_text, title_case, fold_accents, normalize_name, clean_marker, affiliation, stance_normalize, parse_prefixed_lines, markers_positions, known_name_semi, token_containment_join,
         turns_numbered, turns_attributed, turns_speaker_ordinal, participants_without_turns, chunk_turns, chunk_attributed, group_concat_ordered, merge_inner, pair_opinions_propositions, lookup_left_default,
-        distinct_pairs, distinct_values, row_counts, top10_propositions, top10_speakers, group_volume, crosstab_margins, propose_offline, stance_detect_offline, graph_nodes, edges_pairwise, edges_algebraic,
+        distinct_pairs, distinct_values, row_counts, top10_propositions, top10_speakers, group_volume, crosstab_margins, propose_offline, stance_detect_offline, graph_nodes, edges_algebraic,
         edges_classified, edges_between_classes, graph_connected_nodes, graph_size, topic_first_match, topic_turns, topic_fallback, csv_roundtrip, jsonl_roundtrip, stream_opinions,
     )
 }

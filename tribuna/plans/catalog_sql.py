@@ -153,7 +153,6 @@ SQL: dict[str, str] = {
     "propose_offline": f"with {LATEST}, {opinions('hs')}, l as (select id_audiencia, list(opiniao_limpa order by part_ord, op_ord) o from ops group by id_audiencia, assunto_audiencia) select id_audiencia, replace(o[1], '|', '/') || case when o[len(o)] <> o[1] then ' | ' || replace(o[len(o)], '|', '/') else '' end proposicoes_audiencia, false erro from l",
     "stance_detect_offline": f"with {PAIRED} select id_audiencia, part_ord, op_ord, proposicao_alvo, case when regexp_matches(lower(opiniao_limpa), 'favorável|defendo|melhora') then 'A FAVOR' when regexp_matches(lower(opiniao_limpa), 'contra|ninguém|piorou') then 'CONTRA' else 'NEUTRO' end postura_final from paired",
     "graph_nodes": f"with {NODES} select * from nodes",
-    "edges_pairwise": f"with {EDGES} select * from edges",
     "edges_algebraic": f"with {EDGES} select * from edges",
     "edges_classified": f"""with {EDGES}, k as (select *, case when concordancia > discordancia and concordancia >= neutro then 1 when discordancia > concordancia and discordancia >= neutro then 2 else 3 end k from edges)
       select src, dst, concordancia, discordancia, neutro, ['rgba(0, 0, 255, 0.4)', 'rgba(255, 0, 0, 0.4)', 'rgba(169, 169, 169, 0.2)'][k] color, [concordancia, discordancia, greatest(neutro, 1)][k] as "value",
