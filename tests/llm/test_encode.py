@@ -41,9 +41,24 @@ def test_overlong_run():
     assert coder.bpe.decode(ids) == run
 
 
+def test_parts_are_the_text_and_cut_at_word_starts():
+    coder = encode.Coder(PATH)
+    for t in texts(20):
+        for piece in (5, 40):
+            parts = list(encode.cut_up(t, piece))
+            assert "".join(p for p, _ in parts) == t
+            ids, level = [], []
+            for i, (p, glued) in enumerate(parts):
+                if not glued and level:
+                    ids, level = ids + coder.joined(level), []
+                of_word = glued or i + 1 < len(parts) and parts[i + 1][1]
+                level.append(coder.halves(p.encode()) if of_word else coder.text(p))
+            assert ids + (coder.joined(level) if level else []) == coder.bpe.encode_ordinary(t), (t, piece)
+
+
 def test_documents(spark):
     long = " ".join(texts(20))
-    rows = [(1, "Olá mundo", "x"), (2, None, "x"), (3, "", "x"), (4, long, "x"), (5, "z" * 3000 + " fim", "x"), (6, "  \n ", "x")]
+    rows = [(1, "Olá mundo", "x"), (2, None, "x"), (3, "", "x"), (4, long, "x"), (5, "z" * 3000 + " fim", "x"), (7, "中文字符" * 700, "x"), (8, "a's " + "-" * 2000 + "'re" + "7" * 1900, "x"), (6, "  \n ", "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, key string")
     got = {r.key: list(r.ids) for r in encode.encode(df, "doc_id", "text", piece=500, word=64).collect()}
     whole = encode.Coder(PATH).bpe

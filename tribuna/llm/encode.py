@@ -4,10 +4,11 @@ Texts up to ``piece`` characters are encoded where they are read, in Arrow
 batches. A longer text is cut into pieces that are encoded in parallel. Between
 two pieces lies one of two kinds of joint:
 
-* before white space that follows other text, where this tokenizer's pattern
-  always starts a new word, so nothing can merge across it;
-* inside a run without any white space, where halves are encoded on their own and
-  joined as a tree: around each join a window of tokens is decoded and encoded
+* before white space that follows other text, or behind a run of letters or
+  digits, where this tokenizer's pattern always starts a new word, so nothing can
+  merge across it;
+* inside a word that is too long itself, where halves are encoded on their own, in
+  parallel if the word is longer than a piece, and joined as a tree: around each join a window of tokens is decoded and encoded
   again, and grows on either side until its first and last token are the ones
   that were there, at the same place. Every pair of neighbours then stands in
   some encoding side by side, and a sequence of BPE tokens whose neighbours all
@@ -27,7 +28,7 @@ from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FOLDER = "/opt/tokenizers"
@@ -40,6 +41,8 @@ WINDOW = 8
 #: Fixed value: the public pattern that cuts text into words before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 JOINT = re.compile(r"(?<=\S)(?=\s)")
+#: Where the pattern starts a new word whatever stands around: before white space, and behind a run of letters or digits.
+WORD_START = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\p{L}\s])|(?<=\p{N})(?=[^\p{N}\s])")
 
 
 @lru_cache(maxsize=4)
@@ -85,7 +88,10 @@ class Coder:
 
     def halves(self, word: bytes) -> list[int]:
         """One word as a tree: encode the leaves, then join neighbours level by level."""
-        level = [self.leaf(word[i : i + self.word]) for i in range(0, len(word), self.word)]
+        return self.joined([self.leaf(word[i : i + self.word]) for i in range(0, len(word), self.word)])
+
+    def joined(self, level: list[list[int]]) -> list[int]:
+        """Encodings of successive parts of one word, joined level by level."""
         while len(level) > 1:
             level = [self.join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0]
@@ -122,29 +128,71 @@ def encode(df: DataFrame, key: str, text: str, folder: str = FOLDER, piece: int
     return small.unionByName(_long(rows.where(F.length("text") > piece), path, kind, piece, word))
 
 
+def cut_up(text: str, piece: int) -> Iterator[tuple[str, bool]]:
+    """Parts of a long text, and whether a part continues the word of the one before.
+
+    A part ends at the first joint behind ``piece`` characters. A word that alone is longer than that, which no
+    joint divides, is cut anywhere; its parts are halves for the tree.
+    """
+    start = 0
+    while start < len(text):
+        m = WORD_START.search(text, start + piece) if start + piece < len(text) else None
+        stop = m.start() if m else len(text)
+        if stop - start <= 2 * piece:
+            yield text[start:stop], False
+        else:
+            done, blanks = start, []
+            for m in regex.finditer(PATTERN, text, pos=start, endpos=stop):
+                if m.end() - m.start() > piece:
+                    # White space in front of it was cut into words with this one in view: word by word, then.
+                    edges = [*blanks, m.start()]
+                    if edges[0] > done:
+                        yield text[done : edges[0]], False
+                    for i, j in zip(edges, edges[1:]):
+                        yield text[i:j], False
+                    for i in range(m.start(), m.end(), piece):
+                        yield text[i : min(i + piece, m.end())], i > m.start()
+                    done, blanks = m.end(), []
+                elif m.group().isspace():
+                    blanks.append(m.start())
+                else:
+                    blanks = []
+            if stop > done:
+                yield text[done:stop], False
+        start = stop
+
+
 def _long(rows: DataFrame, path: str, kind: str, piece: int, word: int) -> DataFrame:
-    """Long texts: nominal pieces, moved to the next joint, encoded in parallel and joined per document."""
+    """Long texts: parts of all documents encoded in parallel, then joined per document."""
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for key, text in zip(pdf["key"], pdf["text"]):
-                start, n, out = 0, 0, []
-                while start < len(text):
-                    m = JOINT.search(text, start + piece) if start + piece < len(text) else None
-                    stop = m.start() if m else len(text)
-                    # A stretch without a joint is one word run; the tree inside the coder takes it.
-                    out.append((key, n, text[start:stop]))
-                    start, n = stop, n + 1
-                yield pd.DataFrame(out, columns=["key", "n", "part"])
+                yield pd.DataFrame([(key, n, part, glued) for n, (part, glued) in enumerate(cut_up(text, piece))], columns=["key", "n", "part", "glued"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = Coder(path, word)
         for pdf in batches:
-            yield pd.DataFrame({"key": pdf["key"], "doc": pdf["doc"], "n": pdf["n"], "ids": [coder.text(t) for t in pdf["part"]]})
-
-    cut = rows.mapInPandas(parts, f"key {kind}, n int, part string")
-    spread = cut.withColumn("doc", F.col("key")).repartition(F.xxhash64("key", "n"))
-    ids = spread.mapInPandas(run, f"key {kind}, doc {kind}, n int, ids array<int>")
+            # A part that continues a word, or is continued, is bytes of one word.
+            whole = [coder.halves(t.encode()) if w else coder.text(t) for t, w in zip(pdf["part"], pdf["of_word"])]
+            yield pd.DataFrame({"key": pdf["key"], "n": pdf["n"], "glued": pdf["glued"], "ids": whole})
+
+    def tree(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        coder, out = Coder(path, word), []
+        level: list[list[int]] = []
+        for glued, ids in pdf.sort_values("n")[["glued", "ids"]].itertuples(index=False):
+            if not glued and level:
+                out += coder.joined(level)
+                level = []
+            level.append(list(ids))
+        return pd.DataFrame({"key": [key[0]], "ids": [out + coder.joined(level)]})
+
+    cut = rows.mapInPandas(parts, f"key {kind}, n int, part string, glued boolean")
     # Equal copies of a row collapse here: their parts are equal.
-    one = ids.groupBy("key", "n").agg(F.first("ids").alias("ids"))
-    return one.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"])).alias("ids"))
+    spread = cut.groupBy("key", "n").agg(F.first("part").alias("part"), F.first("glued").alias("glued"))
+    nxt = F.lead("glued").over(Window.partitionBy("key").orderBy("n"))
+    marked = spread.withColumn("of_word", F.col("glued") | F.coalesce(nxt, F.lit(False))).repartition(F.xxhash64("key", "n"))
+    ids = marked.mapInPandas(run, f"key {kind}, n int, glued boolean, ids array<int>")
+    ids = ids.withColumn("trees", F.max("glued").over(Window.partitionBy("key")))
+    plain = ids.where("not trees").groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return plain.unionByName(ids.where("trees").select("key", "n", "glued", "ids").groupBy("key").applyInPandas(tree, f"key {kind}, ids array<int>"))
