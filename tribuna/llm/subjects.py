@@ -34,6 +34,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -68,11 +69,17 @@ def fold(s: str) -> str:
     return MARKS.sub("", unicodedata.normalize("NFKD", s)).lower()
 
 
+@lru_cache(maxsize=200_000)
+def slot(word: str) -> int:
+    return zlib.crc32(word.encode()) % SLOTS
+
+
 def terms(sentence: str) -> np.ndarray:
-    """Hashed words and word pairs of a sentence."""
+    """Hashed words of three letters and more, and hashed pairs of neighbouring words, of a sentence."""
     words = WORD.findall(fold(HESITATION.sub("", sentence)))
-    pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
-    return np.unique(np.array([zlib.crc32(t.encode()) % SLOTS for t in (*(w for w in words if len(w) > 2), *pairs)], dtype=np.int64))
+    h = np.array([slot(w) for w in words], dtype=np.int64)
+    long = np.array([len(w) > 2 for w in words], dtype=bool)
+    return np.unique(np.concatenate([h[long], SLOTS + (h[:-1] * 1_000_003 + h[1:]) % (7 * SLOTS)]))
 
 
 def parts(text: str | None) -> list[np.ndarray]:
@@ -135,7 +142,7 @@ class Model:
     def decode(self, x: np.ndarray) -> np.ndarray:
         """The most probable combination of areas, by beam search along the chain.
 
-        A decision with a probability below one in 10,000 is not followed; it could not win.
+        The beam keeps the ``BEAM`` best beginnings, and of those the ones within a factor of 200 of the best.
         """
         m, k = len(self.areas), x.shape[1]
         own = self.calibration[:, 0] * (self.chain[:, :k] * x).sum(axis=1) + self.calibration[:, 1]
@@ -145,13 +152,17 @@ class Model:
             for logp, y in beam:
                 z = float(own[j] + self.calibration[j, 0] * (self.chain[j, k:] @ y))
                 p = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-                if p > 1e-4:
-                    on = y.copy()
-                    on[j] = 1
-                    grown.append((logp + math.log(p), on))
-                if p < 1 - 1e-4:
-                    grown.append((logp + math.log(1 - p), y))
-            beam = sorted(grown, key=lambda t: -t[0])[:BEAM]
+                if p > 1e-12:
+                    grown.append((logp + math.log(p), y, 1.0))
+                if p < 1 - 1e-12:
+                    grown.append((logp + math.log(1 - p), y, 0.0))
+            best = max(g[0] for g in grown)
+            beam = []
+            for logp, y, on in sorted((g for g in grown if g[0] > best - 5.3), key=lambda t: -t[0])[:BEAM]:
+                if on:
+                    y = y.copy()
+                    y[j] = on
+                beam.append((logp, y))
         return beam[0][1]
 
     def areas_of(self, sentences: list[np.ndarray], source: str | None = None, kind: str | None = None) -> list[str]:
