@@ -185,6 +185,16 @@ def tables(flat: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def variants(flat: DataFrame) -> DataFrame:
+    """How often each structural variant occurs in each table: (tabela, variante, linhas)."""
+    return flat.groupBy("tabela", "variante").agg(F.count("*").alias("linhas"))
+
+
+def subtype(flat: DataFrame, tabela: str, variante: str) -> DataFrame:
+    """The typed table of one variant, with the supertype key and the link to the parent."""
+    return flat.where((F.col("tabela") == tabela) & (F.col("variante") == variante)).drop("tabela", "variante")
+
+
 def spoken_paths(flat: DataFrame, origin: str) -> DataFrame:
     """Opinions and replies with a non-blank text, as (origem, chave, caminho), each once."""
     return flat.where(F.col("tabela").isin("opiniao", "replica") & not_blank(F.col("texto"))).select(F.lit(origin).alias("origem"), "chave", "caminho").distinct()

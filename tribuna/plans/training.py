@@ -22,5 +22,11 @@ def p7_participantes(spark: SparkSession, folder: str) -> DataFrame:
     return nested.tables(typed.unionByName(raw))["participantes"].distinct()
 
 
-QUERIES = {"p7_found": p7_found, "p7_participantes": p7_participantes}
+def p7_variantes(spark: SparkSession, folder: str) -> DataFrame:
+    """The structural variants of the raw lines and how often each occurs."""
+    return nested.variants(nested.flatten_json(table(spark, folder, "hearings_raw"), "raw_id", "linha"))
+
+
+QUERIES = {"p7_found": p7_found, "p7_participantes": p7_participantes, "p7_variantes": p7_variantes}
+#: The typed half of the first query is plain unnesting; the raw half has no fixed shape for SQL to state.
 SQL: dict[str, str] = {}
