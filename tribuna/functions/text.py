@@ -59,7 +59,8 @@ def fold_accents(c: Column) -> Column:
     """Compatibility decomposition without combining marks, by a generated ``translate`` table."""
     source, target, many = _folding()
     whole = F.translate(c, source, target)
-    table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    # One literal that folds into a map, instead of hundreds of expressions to analyse.
+    table = F.str_to_map(F.lit("\x02".join(f"{a}\x01{b}" for a, b in many.items())), F.lit("\x02"), F.lit("\x01"))
     several = F.array_join(F.transform(F.split(whole, ""), lambda ch: F.coalesce(F.element_at(table, ch), ch)), "")
     return F.when(c.rlike("[" + "".join(many) + "]"), several).otherwise(whole)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tribuna import schema
 from tribuna.functions import text as T
+from tribuna.session import cut
 
 #: Fixed value: a marker is a form of address, a name of 2 to 100 characters, perhaps a bracket, and a hyphen.
 MARKER = r"(?iU)(\b(?:O\s+SR\.?|A\s+SRA\.?)\s+[^()\n-]{2,100}(?:\([^\n)]{1,140}\))?)\s*-\s*"
@@ -70,5 +71,8 @@ def attribute(turned: DataFrame, people: DataFrame, ordinal: str = "hearing") ->
 
 
 def extract(hearings: DataFrame, people: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """All steps up to the turns; ``known`` overrides the names of the corpus."""
-    return turns(hearings, accept(markers(hearings), known_names(people) if known is None else known))
+    """All steps up to the turns; ``known`` overrides the names of the corpus.
+
+    Markers are short rows made by scanning every transcript, and are used twice, so they are kept.
+    """
+    return turns(hearings, accept(cut(markers(hearings)), known_names(people) if known is None else known))

@@ -21,7 +21,6 @@ def local_session(cpus: int = 8, partitions: int | None = None) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(partitions or cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
