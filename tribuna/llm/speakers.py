@@ -56,13 +56,9 @@ WORDS = re.compile(r"\w")
 
 
 def clean(text: str) -> str:
-    """Speech without time marks, annotations and hesitations, blanks collapsed."""
-    return " ".join(HESITATION.sub("", SKIPPED.sub(" ", text)).split())
-
-
-def spoken(text: str) -> bool:
-    """Whether any word is left."""
-    return bool(WORDS.search(SKIPPED.sub(" ", text)))
+    """Speech without time marks, annotations and hesitations, blanks collapsed; empty if no word is left without them."""
+    left = SKIPPED.sub(" ", text)
+    return " ".join(HESITATION.sub("", left).split()) or left.strip() if WORDS.search(left) else ""
 
 
 class Label:
@@ -75,6 +71,7 @@ class Label:
 TITLES_BEFORE = re.compile(rf"(?i:(?:{TITLE})\b\.?\s+)*")
 
 
+@lru_cache(maxsize=100_000)
 def person(name: str, inner: str) -> tuple[str, str]:
     """What a label says: ("cadeira", name or "") for the chair, ("ninguem", "") or ("pessoa", name)."""
     f = folded(name).strip(" .")
@@ -178,7 +175,8 @@ def turns(text: str | None, people: list[str | None] | None) -> list[tuple[int,
         if chairs[i] is not None:
             presiding = chairs[i]
         speech = text[x.end : marks[i + 1].at if i + 1 < len(marks) else len(text)]
-        if not spoken(speech):
+        speech = clean(speech)
+        if not speech:
             continue
         speaker = -1
         if kind == "cadeira":
@@ -186,10 +184,10 @@ def turns(text: str | None, people: list[str | None] | None) -> list[tuple[int,
         elif kind == "pessoa":
             speaker = who.get(name, -1)
         if speaker >= 0 and out and out[-1][1] == speaker:
-            out[-1][2].append(clean(speech))
+            out[-1][2].append(speech)
         else:
-            out.append((x.at, speaker, [clean(speech)]))
-    return [(at, stored[s] if s >= 0 else "", " ".join(p for p in parts if p)) for at, s, parts in out]
+            out.append((x.at, speaker, [speech]))
+    return [(at, stored[s] if s >= 0 else "", " ".join(parts)) for at, s, parts in out]
 
 
 def speaker_turns(df: DataFrame, key: str = "id", text: str = "transcricao", people: str = "metadados.envolvidos.nome", version: str | None = None) -> DataFrame:
