@@ -51,6 +51,9 @@ SLOTS = 1 << 20
 ROUNDS = 4
 BEAM = 8
 ODD = re.compile(r"[­​-‏‪-‮⁠︀-️﻿\U0001f000-\U0001faff☀-➿]+")
+#: A private character that no pattern here takes for a letter or a blank.
+SEPARATOR = "\ue000"
+DIGITS = re.compile("[0-9]+")
 MARKS = re.compile("[\u0300-\u036f]+")
 TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,60}>")
 WORD = re.compile(r"[^\W\d_]{2,}|[^\W\d_]")
@@ -74,21 +77,22 @@ def slot(word: str) -> int:
     return zlib.crc32(word.encode()) % SLOTS
 
 
+@lru_cache(maxsize=50_000)
 def terms(sentence: str) -> np.ndarray:
-    """Hashed words of three letters and more, and hashed pairs of neighbouring words, of a sentence."""
-    words = WORD.findall(fold(HESITATION.sub("", sentence)))
+    """Hashed words of three letters and more, and hashed pairs of neighbouring words, of a folded sentence."""
+    words = WORD.findall(sentence)
     h = np.array([slot(w) for w in words], dtype=np.int64)
     long = np.array([len(w) > 2 for w in words], dtype=bool)
     return np.unique(np.concatenate([h[long], SLOTS + (h[:-1] * 1_000_003 + h[1:]) % (7 * SLOTS)]))
 
 
 def parts(text: str | None) -> list[np.ndarray]:
-    """The terms of every sentence of a text."""
+    """The terms of every sentence of a text. Digits are no part of a word, so sentences that differ in them are alike."""
     if not isinstance(text, str) or not text.strip():
         return []
     s = clean(text)
-    out = [terms(s[a:b]) for a, b in units(s, lines=True)]
-    return [x for x in out if len(x)]
+    whole = SEPARATOR.join(s[a:b] for a, b in units(s, lines=True))
+    return [x for x in map(terms, DIGITS.sub("", fold(HESITATION.sub("", whole))).split(SEPARATOR)) if len(x)]
 
 
 @dataclass
@@ -145,25 +149,23 @@ class Model:
         The beam keeps the ``BEAM`` best beginnings, and of those the ones within a factor of 200 of the best.
         """
         m, k = len(self.areas), x.shape[1]
-        own = self.calibration[:, 0] * (self.chain[:, :k] * x).sum(axis=1) + self.calibration[:, 1]
-        beam = [(0.0, np.zeros(m))]
+        own = (self.calibration[:, 0] * (self.chain[:, :k] * x).sum(axis=1) + self.calibration[:, 1]).tolist()
+        after = (self.calibration[:, :1] * self.chain[:, k:]).tolist()
+        beam: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
         for j in range(m):
             grown = []
-            for logp, y in beam:
-                z = float(own[j] + self.calibration[j, 0] * (self.chain[j, k:] @ y))
+            for logp, on in beam:
+                z = own[j]
+                for i in on:
+                    z += after[j][i]
                 p = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
                 if p > 1e-12:
-                    grown.append((logp + math.log(p), y, 1.0))
+                    grown.append((logp + math.log(p), (*on, j)))
                 if p < 1 - 1e-12:
-                    grown.append((logp + math.log(1 - p), y, 0.0))
-            best = max(g[0] for g in grown)
-            beam = []
-            for logp, y, on in sorted((g for g in grown if g[0] > best - 5.3), key=lambda t: -t[0])[:BEAM]:
-                if on:
-                    y = y.copy()
-                    y[j] = on
-                beam.append((logp, y))
-        return beam[0][1]
+                    grown.append((logp + math.log(1 - p), on))
+            least = max(grown)[0] - 5.3
+            beam = sorted((g for g in grown if g[0] > least), reverse=True)[:BEAM]
+        return np.isin(np.arange(m), beam[0][1]).astype(float)
 
     def areas_of(self, sentences: list[np.ndarray], source: str | None = None, kind: str | None = None) -> list[str]:
         if not len(self.slots):
