@@ -43,6 +43,14 @@ def test_shares_and_report(spark):
     assert {d: r.copias for d, r in again.items() if r.fonte == "grande"} == {d: r.copias for d, r in mixed.items() if r.fonte == "grande"}
 
 
+def test_empty_documents_stay_within_the_maximum(spark):
+    docs = [(i, "a", 0) for i in range(300)] + [(1000, "a", 10)]
+    mixed, _ = run(spark, docs, [("a", 1.0, 2)], total=500)
+    assert {r.copias for r in mixed.values()} == {2} and len(mixed) == 301
+    mixed, _ = run(spark, docs, [("a", 1.0, 2)], total=15)
+    assert {r.copias for d, r in mixed.items() if d < 1000} == {1}
+
+
 def test_fraction_is_near(spark):
     docs = [(i, "a", 1 + i % 7) for i in range(5000)] + [(9000 + i, "b", 50) for i in range(100)]
     _, report = run(spark, docs, [("a", 0.3, 9), ("b", 0.7, 9)])

@@ -104,7 +104,9 @@ def mix(sized: DataFrame, targets: DataFrame, source: str, weight: str, most: st
     # A document belongs to the fraction if its middle does.
     border = border.withColumn("mais", (F.col("ate") + F.col("tokens") / 2 <= F.col("resto")).cast("int"))
     rest = docs.where("not edge").withColumn("mais", F.col("inside").cast("int"))
-    columns = ["doc", "fonte", "tokens", (F.col("inteiras") + F.col("mais")).cast("bigint").alias("copias")]
+    # An empty document adds nothing to a fraction and takes no part in it.
+    more = F.when(F.col("tokens") > 0, F.col("mais")).otherwise(0)
+    columns = ["doc", "fonte", "tokens", (F.col("inteiras") + more).cast("bigint").alias("copias")]
     mixed = border.select(*columns).unionByName(rest.select(*columns)).where("copias > 0")
 
     reached = mixed.groupBy("fonte").agg(F.sum(F.col("tokens") * F.col("copias")).alias("usados"))
