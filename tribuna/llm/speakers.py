@@ -50,14 +50,20 @@ PLAIN = re.compile(
 )
 START = re.compile(rf"(?:^|\n)[ \t\r\f\v\xa0]*(?:{LEAD}[ \t\xa0]*)*|(?P<end>[.!?…。！？।؟]+)[\"”»')\]]*[ \t\xa0]+(?:{LEAD}[ \t\xa0]*)*|{LEAD}[ \t\xa0]+")
 SKIPPED = re.compile(rf"{TIME}|(?<![\d:.,])\d{{1,2}}:\d{{2}}:\d{{2}}(?:[.,]\d{{1,3}})?(?![\d:])|{NOTE}|\((?:risos?|pausa|palmas|aplausos|inaud[ií]vel|m[uú]sica|choro|sil[eê]ncio)\)|\[[^\[\]\n]{{1,80}}\]|\*[^*\n]{{2,60}}\*")
+MARKED = re.compile(r"[\[(（<*]|[0-9](?=:[0-9]{2}:)")
 #: Hesitations, with the dots or commas they bring along.
 HESITATION = re.compile(r"(?<![\w])(?:ahn|uhm|hum|hãã?|ãh|éé+|eh+|tá|né|tipo|assim, ó|é(?=\.\.\.))(?:\.\.\.|…|,)\s*", re.I)
 WORDS = re.compile(r"\w")
 
 
+def unmarked(text: str) -> str:
+    """A text with a blank in place of every time mark and annotation; most texts have none, which a plain search tells."""
+    return SKIPPED.sub(" ", text) if MARKED.search(text) else text
+
+
 def clean(text: str) -> str:
     """Speech without time marks, annotations and hesitations, blanks collapsed; empty if no word is left without them."""
-    left = SKIPPED.sub(" ", text)
+    left = unmarked(text)
     return " ".join(HESITATION.sub("", left).split()) or left.strip() if WORDS.search(left) else ""
 
 

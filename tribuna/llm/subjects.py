@@ -34,7 +34,6 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -43,7 +42,7 @@ from pyspark.sql import functions as F
 
 from tribuna.llm.canon import mended
 from tribuna.llm.sentences import units
-from tribuna.llm.speakers import FORMAL, HESITATION, SKIPPED
+from tribuna.llm.speakers import FORMAL, HESITATION, unmarked
 
 SHARE = 1 / 3
 LABELLED = 10_000
@@ -56,43 +55,57 @@ SEPARATOR = "\ue000"
 DIGITS = re.compile("[0-9]+")
 MARKS = re.compile("[\u0300-\u036f]+")
 TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,60}>")
-WORD = re.compile(r"[^\W\d_]{2,}|[^\W\d_]")
+WORD = re.compile(r"[^\W\d_]+|\ue000")
 
 
 def clean(text: str) -> str:
     """A text as it can be read: encodings mended, compatibility forms folded, odd characters gone."""
     s = ODD.sub(" ", unicodedata.normalize("NFC", mended(text)))
     if "<" in s or "&" in s:
-        s = SKIPPED.sub(" ", html.unescape(TAG.sub(" ", s)))
+        s = unmarked(html.unescape(TAG.sub(" ", s)))
     # A speaker's label says who speaks, not what about.
-    return FORMAL.sub("\n", SKIPPED.sub(" ", s))
+    return FORMAL.sub("\n", unmarked(s))
 
 
 def fold(s: str) -> str:
     return MARKS.sub("", unicodedata.normalize("NFKD", s)).lower()
 
 
-@lru_cache(maxsize=200_000)
-def slot(word: str) -> int:
-    return zlib.crc32(word.encode()) % SLOTS
+class Slots(dict):
+    """Hashed words, remembered: twice the slot, plus one for words of three letters and more."""
 
+    def __missing__(self, word: str) -> int:
+        value = zlib.crc32(word.encode()) % SLOTS * 2 + (len(word) > 2)
+        if len(self) < 500_000:
+            self[word] = value
+        return value
 
-@lru_cache(maxsize=50_000)
-def terms(sentence: str) -> np.ndarray:
-    """Hashed words of three letters and more, and hashed pairs of neighbouring words, of a folded sentence."""
-    words = WORD.findall(sentence)
-    h = np.array([slot(w) for w in words], dtype=np.int64)
-    long = np.array([len(w) > 2 for w in words], dtype=bool)
-    return np.unique(np.concatenate([h[long], SLOTS + (h[:-1] * 1_000_003 + h[1:]) % (7 * SLOTS)]))
+
+SLOT = Slots({SEPARATOR: -1})
+WIDE = 8 * SLOTS
 
 
 def parts(text: str | None) -> list[np.ndarray]:
-    """The terms of every sentence of a text. Digits are no part of a word, so sentences that differ in them are alike."""
+    """The terms of every sentence of a text: hashed words of three letters and more, and hashed pairs of neighbouring words.
+
+    Digits are no part of a word, so sentences that differ in them are alike.
+    """
     if not isinstance(text, str) or not text.strip():
         return []
     s = clean(text)
     whole = SEPARATOR.join(s[a:b] for a, b in units(s, lines=True))
-    return [x for x in map(terms, DIGITS.sub("", fold(HESITATION.sub("", whole))).split(SEPARATOR)) if len(x)]
+    words = WORD.findall(DIGITS.sub("", fold(HESITATION.sub("", whole))))
+    code = np.fromiter((SLOT[w] for w in words), np.int64, len(words))
+    gap = code < 0
+    owner, h = np.cumsum(gap), code >> 1
+    one = (code & 1).astype(bool) & ~gap
+    two = ~gap[:-1] & ~gap[1:]
+    both = SLOTS + (h[:-1][two] * 1_000_003 + h[1:][two]) % (7 * SLOTS)
+    found = np.unique(np.concatenate([owner[one] * WIDE + h[one], owner[:-1][two] * WIDE + both]))
+    if not len(found):
+        return []
+    sentence = found // WIDE
+    return np.split(found % WIDE, np.flatnonzero(np.diff(sentence)) + 1)
 
 
 @dataclass
