@@ -50,6 +50,24 @@ def test_the_join_loses_no_link(spark, data):
     assert found == {tuple(sorted(p)) for p in itertools.combinations(all_, 2) if names.similarity(*p) >= names.LINK}
 
 
+def _errors(word):
+    """Every word one typing error away: swaps, letters left out, doubled and changed."""
+    swaps = {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)}
+    return sorted((swaps | {word[:i] + x + word[i + 1 :] for i in range(len(word)) for x in ("", "W", word[i] * 2)}) - {word})
+
+
+def test_the_join_loses_no_error(spark):
+    """One error at every place of the core and of the given name, two in a long core, and pet names and initials beside them."""
+    made = {f"ANA {v} SILVA" for core in ("TRIVO", "TETRIMU", "TETRIMUN", "TETRIMUNEBO") for v in [core, *_errors(core)]}
+    made |= {f"ANA {v} SILVA" for w in _errors("BOSIGATO")[::4] for v in _errors(w)[::3]}
+    made |= {f"{v} DROVUPUP" for v in _errors("LEANDRA")} | {"LEANDRA DROVUPUP", "L. DROVUPPU", "DROVUPPU", "MARIA L. DROVUPU"}
+    made |= {"FRANCISCA PRUVETRI", "CHICA PRUVERTI", "FRNACISCA PRUVETI", "FEDERAÇÃO PRUVETRI DOS USUÁRIOS", "FED. PRUVETIR DOS USUÁRIOS", "FED. PRVUETRI", "ASSOC. BO", "ASSOC. BU", "LUDI ROGA SIMELA", "LUDIROGASIMELO"}
+    spelled = people(spark, *sorted(made))
+    all_ = [r.nome for r in spelled.collect()]
+    found = {tuple(sorted((r.x, r.y))) for r in names.edges(spelled).join(spelled.selectExpr("id a", "nome x"), "a").join(spelled.selectExpr("id b", "nome y"), "b").collect()}
+    assert found == {p for p in itertools.combinations(sorted(all_), 2) if names.similarity(*p) >= names.LINK}
+
+
 def test_large_components_are_cut(spark):
     spelled = people(spark, "ANA PRUMICRI PINTO", "ANNA PRUMICRI PINTO", "ANA PRUMICRY PINTO", "ana prumicri pinto")
     whole = names.clusters(spelled)

@@ -7,7 +7,10 @@
    Features are ordered from rare to common; a spelling is indexed only under its
    *prefix*, the features without which the rest has a norm below ``REST``, because
    two vectors that reach a higher cosine share a prefix feature, and what they share
-   beyond adds no more than that norm. There is no cap on partners.
+   beyond adds no more than that norm. There is no cap on partners. One error can
+   change nearly all n-grams of a short part, so the pairs within the errors that
+   the check accepts are joined as well, over the parts with letters left out:
+   together no pair with a similarity above 0 is lost.
 3. Each pair is checked part by part (title, given names, family names, initials,
    pet names, swapped order, missing or joined blanks, one typing error), which
    gives a similarity in [0, 1] with 0 for contradictions.
@@ -26,7 +29,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -320,16 +323,82 @@ def candidates(spellings: DataFrame, cosine: float = COSINE) -> DataFrame:
     return met.where(F.col("dot") + F.greatest("ra", "rb") >= cosine).select("a", "b")
 
 
+def without(text: str, most: int) -> set[str]:
+    """``text`` with up to ``most`` of its letters left out: two texts that many errors apart have one of these in common."""
+    out = {text}
+    for _ in range(most):
+        out |= {t[:i] + t[i + 1 :] for t in out for i in range(len(t))}
+    return out
+
+
+def core_keys(core: str) -> set[str]:
+    """What a core shares with every core that ``_core`` takes for it."""
+    return without(core, 0 if len(core) < 5 else 1 if len(core) < 8 else 2)
+
+
+def joined_keys(kind: str, joined: str) -> set[str]:
+    """What a spelling without blanks shares with every one that is the same or, where that counts, one error away."""
+    return {f"={joined}"} | ({f"{kind}:{t}" for t in without(joined, 1)} if kind or len(joined) > 8 else set())
+
+
+def given_keys(name: Name) -> tuple[list[str], list[str]]:
+    """Keys of the given names for the left and the right side of a join: two names that ``_word`` doesn't contradict meet in one direction at least."""
+    right, left = {"*"}, set()
+    for w in filter(None, (name.first, name.second)):
+        meant = {w, *PET_NAMES.get(w, "").split()}
+        whole = {f"d:{t}" for m in meant for t in without(m, 1)} if len(w) > 1 else {f"i:{w}"}
+        left |= whole
+        right |= {f"i:{m[0]}" for m in meant} | (whole if w == name.first else set())
+    return sorted(left or {"*"}), sorted(right)
+
+
+def neighbours(spellings: DataFrame) -> DataFrame:
+    """Pairs of ids (a < b) that can have a similarity above 0 by their parts: all that do, and some more."""
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            names = [read(t) for t in pdf["nome"]]
+            sides = [given_keys(n) for n in names]
+            yield pd.DataFrame({"id": pdf["id"], "kind": [n.kind or "" for n in names], "core": [n.core for n in names], "joined": [n.joined for n in names], "l": [x for x, _ in sides], "r": [y for _, y in sides]})
+
+    def close(words: DataFrame, keys: Callable[[str, str], set[str]], check: Callable[[str, str], bool]) -> DataFrame:
+        """(u, kind, w): distinct words of a kind with those near them, themselves included."""
+
+        def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame({"kind": pdf["kind"], "w": pdf["w"], "k": [sorted(keys(x, w)) for x, w in zip(pdf["kind"], pdf["w"])]})
+
+        def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pdf[[check(u, w) for u, w in zip(pdf["u"], pdf["w"])]]
+
+        keyed = words.mapInPandas(spread, "kind string, w string, k array<string>").select("kind", "w", F.explode("k").alias("k")).select("kind", "w", F.xxhash64("k").alias("k"))
+        u = keyed.select(F.col("kind").alias("ukind"), F.col("w").alias("u"), "k")
+        return u.join(keyed.hint("merge"), "k").select("ukind", "u", "kind", "w").distinct().mapInPandas(checked, "ukind string, u string, kind string, w string")
+
+    rows = cut(spellings.select("id", "nome").mapInPandas(parts, "id bigint, kind string, core string, joined string, l array<string>, r array<string>"))
+    cores = close(rows.select("kind", F.col("core").alias("w")).distinct(), lambda _, w: core_keys(w), lambda u, w: _core(u, w) > 0).where("ukind = kind")
+    left = rows.select(F.col("id").alias("x"), F.col("kind").alias("ukind"), F.col("core").alias("u"), F.explode("l").alias("g")).join(cores, ["ukind", "u"]).select("x", F.xxhash64("kind", "w", "g").alias("k"))
+    right = rows.select(F.col("id").alias("y"), "kind", "core", F.explode("r").alias("g")).select("y", F.xxhash64("kind", "core", "g").alias("k"))
+    # Behind explode() a side is larger than Spark believes, so no broadcast.
+    by_parts = left.join(right.hint("merge"), "k").select("x", "y")
+    # Blanks or parts read otherwise: the letters alone.
+    letters = close(rows.select("kind", F.col("joined").alias("w")).distinct(), joined_keys, lambda u, w: u == w or distance(u, w) == 1)
+    x, y = rows.select(F.col("id").alias("x"), F.col("kind").alias("ukind"), F.col("joined").alias("u")), rows.select(F.col("id").alias("y"), "kind", F.col("joined").alias("w"))
+    by_letters = x.join(letters, ["ukind", "u"]).join(y.hint("merge"), ["kind", "w"]).select("x", "y")
+    return by_parts.unionByName(by_letters).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def edges(spellings: DataFrame, cosine: float = COSINE, least: float = LINK) -> DataFrame:
     """Candidate pairs whose parts agree: (a, b, s)."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf["s"] = [similarity(x, y) for x, y in zip(pdf["x"], pdf["y"])]
+            pdf["s"] = [similarity(min(x, y), max(x, y)) for x, y in zip(pdf["x"], pdf["y"])]
             yield pdf.loc[pdf["s"] >= least, ["a", "b", "s"]]
 
     x, y = (spellings.select(F.col("id").alias(n), F.col("nome").alias(m)) for n, m in (("a", "x"), ("b", "y")))
-    return candidates(spellings, cosine).join(x, "a").join(y, "b").mapInPandas(check, "a bigint, b bigint, s double")
+    return candidates(spellings, cosine).unionByName(neighbours(spellings)).distinct().join(x, "a").join(y, "b").mapInPandas(check, "a bigint, b bigint, s double")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
