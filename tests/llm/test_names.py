@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import itertools
+import random
 
+import numpy as np
 import pytest
 
 from tribuna.llm import names
@@ -76,6 +78,40 @@ def test_large_components_are_cut(spark):
     assert small.count() == whole.count() == 3
 
 
+def test_the_size_of_a_component_changes_nothing(spark):
+    """Typing errors, initials and names left out around some cores that are near each other: the same clusters in rounds and in one task."""
+    draw = random.Random(5)
+    given, family = ("MARIA", "MARCIA", "MARIO", "M.", "ANA", "ANNA", "A.", "MARIA ANA", "LEANDRA", "LAENDRA", "LEANDRO", ""), ("SILVA", "SOUZA", "S.", "", "")
+    cores = ["SILVA", "TETRIMUN", "TETRIMU", "TETIRMUN", "TETRIMUNO", "TETRIMANO", "TERTIMANO"]
+    made = sorted({" ".join(f"{draw.choice(given)} {draw.choice(cores)} {draw.choice(family)}".split()) for _ in range(32)})
+    spelled = people(spark, *made)
+    names_ = [r.nome for r in spelled.orderBy("nome").collect()]
+    want = [names_[i] for i in names.linkage(names_)]
+    for most in (4, 3000):
+        got = {r.nome: r.grupo for r in names.clusters(spelled, most=most).collect()}
+        first: dict[int, str] = {}
+        for n in names_:
+            first.setdefault(got[n], n)
+        assert [first[got[n]] for n in names_] == want
+
+
+def test_merged_is_average_linkage():
+    """Against the plain way: look at all pairs of clusters, merge the nearest, the first among equals."""
+    draw = random.Random(3)
+    for m in (1, 2, 5, 12, 30):
+        s = np.zeros((m, m))
+        for p, q in itertools.combinations(range(m), 2):
+            s[p, q] = s[q, p] = names.units(draw.choice((0, 0, 0.3, 0.65, 0.81, 0.9, 0.95, 1)))
+        groups = [[i] for i in range(m)]
+        while len(groups) > 1:
+            mean, p, q = max((s[np.ix_(groups[p], groups[q])].sum() / (len(groups[p]) * len(groups[q])), -p, -q) for p, q in itertools.combinations(range(len(groups)), 2))
+            if mean < names.LINK * names.UNITS:
+                break
+            groups[-p] += groups.pop(-q)
+        got = names.merged(s, np.ones(m))
+        assert all(got[i] == min(g) for g in groups for i in g)
+
+
 def test_empty(spark):
     assert names.pairs(names.clusters(people(spark))).collect() == []
     assert names.clusters(people(spark, "JOÃO SÓ")).count() == 1

@@ -15,9 +15,11 @@
    pet names, swapped order, missing or joined blanks, one typing error), which
    gives a similarity in [0, 1] with 0 for contradictions.
 4. Pairs of similarity ``LINK`` or more connect components; inside each, spellings
-   are grouped by average linkage down to ``LINK``. A component with more than
-   ``COMPONENT`` spellings is first cut at a stricter similarity, so no task holds an
-   unbounded group.
+   are grouped by average linkage down to ``LINK``, over all similarities above 0.
+   A component with more than ``COMPONENT`` spellings is merged in distributed
+   rounds of nearest pairs until it has come apart into smaller ones, with the same
+   result, so no task holds an unbounded group. Spellings with the same parts are
+   one from the start.
 
 Defined results: null and blank names and those in ``NOBODY`` are no spellings;
 repeated rows count once; a spelling that could be two persons goes to the closer
@@ -46,6 +48,10 @@ COSINE = 0.25
 REST = 0.1
 LINK = 0.5
 COMPONENT = 3000
+#: A similarity of 1 in the whole units that are summed.
+UNITS = 10**9
+#: Rounds of merging between two looks whether a large component has come apart.
+ROUNDS = 4
 
 # What stands in a speaker field for a role or for nobody known.
 NOBODY = (
@@ -247,35 +253,58 @@ def similarity(x: str, y: str) -> float:
     return core * first * second * _word(a.last, b.last)
 
 
+def parts(text: str) -> str:
+    """All that ``similarity`` sees of a spelling: those alike in it are one from the start."""
+    name = read(text)
+    return repr([getattr(name, x) for x in Name.__slots__])
+
+
+def units(s: float) -> int:
+    """A similarity in whole units, whose sums are exact in any order."""
+    return round(s * UNITS)
+
+
+def merged(total: np.ndarray, size: np.ndarray, least: float = LINK) -> list[int]:
+    """Average linkage of groups in order: ``total`` has the sums of similarities between them, in units. The first group of each one's cluster."""
+    total, size, least = total.copy(), size.astype(float), least * UNITS
+    mean = total / np.outer(size, size)
+    np.fill_diagonal(mean, -1)
+    best, label = mean.argmax(1), np.arange(len(size))
+    top = mean[label, best]
+    while len(size) > 1:
+        p = int(top.argmax())
+        if top[p] < least:
+            break
+        q = int(best[p])
+        total[p] += total[q]
+        total[:, p] = total[p]
+        size[p] += size[q]
+        label[label == q] = p
+        new = total[p] / (size[p] * size)
+        new[mean[p] < 0] = -1  # itself and what has gone
+        mean[p], mean[:, p] = new, new
+        mean[q], mean[:, q], top[q] = -1, -1, -1
+        for r in np.flatnonzero(((best == p) | (best == q) | (np.arange(len(size)) == p)) & (top >= 0)):
+            best[r] = mean[r].argmax()
+            top[r] = mean[r, best[r]]
+    return label.tolist()
+
+
 def linkage(names: list[str], least: float = LINK) -> list[int]:
     """Average-linkage clusters of some spellings, as the index of each cluster's first member."""
-    names_at = sorted(range(len(names)), key=lambda i: names[i])
-    m = len(names)
-    s = np.eye(m)
+    alike: dict[str, list[int]] = {}
+    for i in sorted(range(len(names)), key=lambda i: names[i]):
+        alike.setdefault(parts(names[i]), []).append(i)
+    groups = list(alike.values())
+    size, m = np.array([len(g) for g in groups]), len(groups)
+    total = np.zeros((m, m))
     for p in range(m):
         for q in range(p + 1, m):
-            i, j = names_at[p], names_at[q]
-            s[p, q] = s[q, p] = similarity(names[i], names[j])
-    size = np.ones(m)
-    alive = np.ones(m, bool)
-    label = list(range(m))
-    np.fill_diagonal(s, -1)
-    while alive.sum() > 1:
-        at = int(np.argmax(s))
-        p, q = divmod(at, m)
-        if s[p, q] < least:
-            break
-        p, q = min(p, q), max(p, q)
-        s[p] = (s[p] * size[p] + s[q] * size[q]) / (size[p] + size[q])
-        s[:, p] = s[p]
-        s[p, p] = -1
-        s[q], s[:, q] = -1, -1
-        size[p] += size[q]
-        alive[q] = False
-        label = [p if x == q else x for x in label]
-    out = [0] * m
-    for p, i in enumerate(names_at):
-        out[i] = names_at[label[p]]
+            total[p, q] = total[q, p] = units(similarity(names[groups[p][0]], names[groups[q][0]])) * size[p] * size[q]
+    out = [0] * len(names)
+    for g, p in zip(groups, merged(total, size, least) if m else []):
+        for i in g:
+            out[i] = groups[p][0]
     return out
 
 
@@ -403,46 +432,96 @@ def edges(spellings: DataFrame, cosine: float = COSINE, least: float = LINK) ->
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, comp): connected components by the least id, with pointer jumping; every round is cut off."""
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    now = cut(nodes.select("id", F.col("id").alias("comp")))
+    both = _cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    now = _cut(nodes.select("id", F.col("id").alias("comp")))
     while True:
         around = both.join(now.select(F.col("id").alias("b"), F.col("comp").alias("c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
         nxt = now.join(around, "id", "left").select("id", F.least("comp", F.coalesce("c", "comp")).alias("comp"), F.col("comp").alias("old"))
         up = nxt.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        nxt = cut(nxt.join(up, "comp").select("id", F.col("up").alias("comp"), "old"))
+        nxt = _cut(nxt.join(up, "comp").select("id", F.col("up").alias("comp"), "old"))
         changed = nxt.where("comp <> old").limit(1).count()
         now = nxt.select("id", "comp")
         if not changed:
             return now
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """Cut without the estimates of size that a checkpoint still carries: products of products, they take longer from round to round than the work."""
+    kept = cut(df)
+    spark = kept.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(kept._jdf.toJavaRDD(), kept._jdf.schema()), spark)
+
+
+def _round(links: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """One round of average linkage at once everywhere: the links after it, and which group went into which.
+
+    Two groups that are each other's nearest stay so whatever else merges, as a mean is never above the larger of
+    the two it comes from; so the order of the merges, one by one or in rounds, makes no difference.
+    """
+    near = F.struct(-F.col("t") / (F.col("na") * F.col("nb")), F.least("xa", "xb"), F.greatest("xa", "xb")).cast("struct<far:double,lo:string,hi:string>")
+    both = links.withColumn("near", near).where(F.col("near.far") <= -least * UNITS)
+    # Who has no link this near cannot be the nearest of another one.
+    nearest = both.select(F.explode(F.array("a", "b")).alias("id"), "near", "a", "b", "na", "nb", "xa").groupBy("id").agg(F.min_by(F.struct("near", "a", "b", "na", "nb", "xa"), "near").alias("best")).select("best.*")
+    pairs = nearest.groupBy("a", "b").agg(F.count("*").alias("k"), *(F.first(c).alias(c) for c in ("near", "na", "nb", "xa"))).where("k = 2")
+    first = F.col("xa") == F.col("near.lo")
+    gone = pairs.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("id"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("to"), F.col("near.lo").alias("x"), (F.col("na") + F.col("nb")).alias("n"))
+    gone = _cut(gone)
+    moved = gone.unionByName(gone.select(F.col("to").alias("id"), "to", "x", "n"))
+    for c in "ab":
+        links = links.join(moved.select(F.col("id").alias(c), "to", "x", "n"), c, "left")
+        links = links.select(F.coalesce("to", c).alias(c), F.coalesce("x", f"x{c}").alias(f"x{c}"), F.coalesce("n", f"n{c}").alias(f"n{c}"), *(x for x in links.columns if x not in (c, f"x{c}", f"n{c}", "to", "x", "n")))
+    turned = F.col("a") > F.col("b")
+    ordered = links.where("a <> b").select("t", *(F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("xa", "xb"), ("xb", "xa"), ("na", "nb"), ("nb", "na"))))
+    return _cut(ordered.groupBy("a", "b").agg(F.sum("t").alias("t"), *(F.first(c).alias(c) for c in ("xa", "xb", "na", "nb")))), gone.select("id", "to")
+
+
+def linked(nodes: DataFrame, links: DataFrame, least: float = LINK, most: int = COMPONENT) -> DataFrame:
+    """(id, grupo) of the groups (id, nome, n) that are linked: average linkage over their similarities (a, b, s), where those not given are 0."""
+    ends = [nodes.select(F.col("id").alias(c), F.col("nome").alias(f"x{c}"), F.col("n").alias(f"n{c}")) for c in "ab"]
+    links = links.join(ends[0], "a").join(ends[1], "b").withColumn("t", F.round(F.col("s") * UNITS).cast("bigint") * F.col("na") * F.col("nb")).drop("s")
+    links, now, done = _cut(links), nodes.select("id", F.col("id").alias("grupo")), None
+
+    def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("nome", ignore_index=True)
+        at = pd.Series(left.index, left["grupo"])
+        total, a, b = np.zeros((len(left), len(left))), at.loc[right["a"]].to_numpy(), at.loc[right["b"]].to_numpy()
+        total[a, b] = total[b, a] = right["t"]
+        ids = left["grupo"].to_numpy()
+        return pd.DataFrame({"grupo": ids, "to": ids[merged(total, left["n"].to_numpy(), least)]})
+
+    while True:
+        # No groups merge but along links whose mean is high enough, now or after other merges.
+        live = links.where(F.col("t") / (F.col("na") * F.col("nb")) >= least * UNITS)
+        ends = live.select(F.explode(F.array(*(F.struct(F.col(c).alias("id"), F.col(f"x{c}").alias("nome"), F.col(f"n{c}").alias("n")) for c in "ab"))).alias("e")).select("e.*").distinct()
+        comp = components(ends, live)
+        named = _cut(comp.join(comp.groupBy("comp").agg(F.count("*").alias("k")), "comp").join(ends, "id").withColumnRenamed("id", "grupo"))
+        inside = links.join(named.select(F.col("grupo").alias("a"), F.col("comp").alias("ca"), "k"), "a").join(named.select(F.col("grupo").alias("b"), "comp"), "b").where("ca = comp").drop("ca")
+        small = named.where(F.col("k") <= most).groupBy("comp").cogroup(inside.where(F.col("k") <= most).select("comp", "a", "b", "t").groupBy("comp"))
+        ready = small.applyInPandas(finish, "grupo bigint, to bigint")
+        large = named.where(F.col("k") > most).select("grupo")
+        rest = now.join(large, "grupo", "left_anti").join(ready, "grupo", "left").select("id", F.coalesce("to", "grupo").alias("grupo"))
+        done = rest if done is None else done.unionByName(rest)
+        if large.limit(1).count() == 0:
+            return done
+        links, now = _cut(inside.where(F.col("k") > most).drop("comp", "k")), now.join(large, "grupo", "left_semi")
+        for _ in range(ROUNDS):
+            links, gone = _round(links, least)
+            now = _cut(now.join(gone.withColumnRenamed("id", "grupo"), "grupo", "left").select("id", F.coalesce("to", "grupo").alias("grupo")))
+
+
 def clusters(spellings: DataFrame, cosine: float = COSINE, least: float = LINK, most: int = COMPONENT) -> DataFrame:
     """(id, nome, grupo) of every spelling: ``grupo`` is the id of one member of its cluster."""
-    spellings = cut(spellings)
-    links = cut(edges(spellings, cosine, least))
-
-    def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["id"].tolist()
-        pdf["grupo"] = [ids[i] for i in linkage(pdf["nome"].tolist(), least)]
-        return pdf[["id", "nome", "grupo"]]
-
-    nodes, done = spellings.join(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), None
-    alone = spellings.join(nodes, "id", "left_anti").select("id", "nome", F.col("id").alias("grupo"))
-    for strict in (least, 0.8, 0.95, 1.0):
-        comp = components(nodes, links.where(F.col("s") >= strict))
-        sizes = comp.groupBy("comp").agg(F.count("*").alias("n"))
-        named = cut(comp.join(sizes, "comp").join(spellings, "id"))
-        small = named.where(F.col("n") <= most).groupBy("comp").applyInPandas(group, "id bigint, nome string, grupo bigint")
-        done = small if done is None else done.unionByName(small)
-        large = named.where(F.col("n") > most)
-        if large.limit(1).count() == 0:
-            break
-        if strict == 1.0:  # the same letters throughout: one cluster whatever its size
-            done = done.unionByName(large.select("id", "nome", F.col("comp").alias("grupo")))
-            break
-        nodes = large.select("id", "nome")
-        links = links.join(nodes.select(F.col("id").alias("a")), "a", "left_semi")
-    return alone.unionByName(done)
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(parts=[parts(t) for t in pdf["nome"]])
+
+    rows = cut(spellings.select("id", "nome").mapInPandas(told, "id bigint, nome string, parts string"))
+    alike = cut(rows.groupBy("parts").agg(F.min(F.struct("nome", "id")).alias("first"), F.count("*").alias("n")))
+    nodes = alike.select("first.id", "first.nome", "n")
+    groups = linked(nodes, cut(edges(nodes, cosine, 1 / UNITS)), least, most)
+    found = alike.select("parts", F.col("first.id").alias("first")).join(groups.withColumnRenamed("id", "first"), "first")
+    return rows.join(found, "parts").select("id", "nome", "grupo")
 
 
 def spellings(columns: list[DataFrame]) -> DataFrame:
