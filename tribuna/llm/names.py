@@ -1,25 +1,26 @@
 """Variant spellings of people's and organisations' names, linked.
 
-1. Every distinct spelling becomes a vector of character n-grams of the rarest part
-   of the name, told apart by the initial of the given name, and weighted by inverse
-   document frequency over all spellings.
+1. Every distinct spelling becomes a vector of padded character n-grams of all words
+   of the name, weighted by inverse document frequency over all spellings. N-grams
+   are hashed into ``SLOTS`` slots, so the table of their weights has a size bound
+   and can be broadcast whatever the corpus.
 2. A distributed sparse join finds all pairs with a cosine of ``COSINE`` or more.
    Features are ordered from rare to common; a spelling is indexed only under its
-   *prefix*, the features without which the rest has a norm below ``REST``, because
-   two vectors that reach a higher cosine share a prefix feature, and what they share
-   beyond adds no more than that norm. There is no cap on partners. One error can
-   change nearly all n-grams of a short part, so the pairs within the errors that
-   the check accepts are joined as well, over the parts with letters left out:
-   together no pair with a similarity above 0 is lost.
-3. Each pair is checked part by part (title, given names, family names, initials,
-   pet names, swapped order, missing or joined blanks, one typing error), which
-   gives a similarity in [0, 1] with 0 for contradictions.
-4. Pairs of similarity ``LINK`` or more connect components; inside each, spellings
-   are grouped by average linkage down to ``LINK``, over all similarities above 0.
-   A component with more than ``COMPONENT`` spellings is merged in distributed
-   rounds of nearest pairs until it has come apart into smaller ones, with the same
-   result, so no task holds an unbounded group. Spellings with the same parts are
-   one from the start.
+   *prefix*, the features before the rest has a norm below ``COSINE``: two unit
+   vectors that share no prefix feature cannot reach it. A feature with many
+   spellings is cut into blocks, and every pair of blocks is a join key of its own.
+   There is no cap on partners; ``nearest`` is the top-n view of the same pairs.
+3. An exact check of the words follows and takes away pairs that contradict each
+   other: words of both names that stand on the same side of the rarest shared word
+   and match nothing. Words match if equal, a typing error or two apart, an initial,
+   an abbreviation, or a pet name. No list of names is used: which word is the rare
+   one comes from the weights, and which side it is on from the two spellings.
+4. Spellings are grouped by average linkage of their cosines down to ``LINK``, where
+   pairs that are apart or contradict each other count 0. It is done inside connected
+   components; a component with more than ``COMPONENT`` spellings is merged in
+   distributed rounds of nearest pairs until it has come apart into smaller ones,
+   with the same result, so no task holds an unbounded group. Spellings with the
+   same words are one from the start.
 
 Defined results: null and blank names and those in ``NOBODY`` are no spellings;
 repeated rows count once; a spelling that could be two persons goes to the closer
@@ -31,27 +32,32 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tribuna.llm.canon import distance, folded
 from tribuna.session import cut
 
 GRAM = 4
-COSINE = 0.25
-#: A spelling is indexed until the norm of its other features is below this.
-REST = 0.1
-LINK = 0.5
+COSINE = 0.35
+LINK = 0.27
+#: Slots for hashed n-grams and words: the bound on the table of weights.
+SLOTS = 1 << 20
+#: Spellings under one feature that are joined in one task.
+BLOCK = 2000
 COMPONENT = 3000
 #: A similarity of 1 in the whole units that are summed.
 UNITS = 10**9
 #: Rounds of merging between two looks whether a large component has come apart.
 ROUNDS = 4
+#: How much the initial of a word says, against one n-gram.
+INITIAL = 0.3
 
 # What stands in a speaker field for a role or for nobody known.
 NOBODY = (
@@ -62,32 +68,10 @@ NOBODY = (
 # Titles before names.
 TITLES = frozenset("dr dra prof profa eng enga cel sr sra srs sras dep sen min ver des gen cap maj ten frei padre dom dona deputado deputada senador senadora ministro ministra vereador vereadora doutor doutora professor professora senhor senhora secretario secretaria relator relatora".split())
 PARTICLES = frozenset("de da do dos das e".split())
-# Common given names.
-GIVEN = frozenset(
-    "ana antonia antonio augusto barbara beatriz benicio caetano cecilia cesar clarice damiao debora dulce eduardo estela eunice evaristo fabricio fatima "
-    "fernando flavia francisca francisco genoveva gloria gregorio heitor helena hortencia inacio iracema ivone joaquim jose jussara lazaro leonidas leticia "
-    "lucia luis marcia marcio maria mauro monica natalia nestor odete osvaldo otavio patricia patricio quiteria raimundo regina roberto rogerio sergio sonia "
-    "teodoro terezinha ulisses ursula valdir valeria vinicius wagner zeferino zuleide joao pedro paulo carlos rita rosa tereza miguel rafael luiz marta sandra".split()
-)
-# Common family names.
-FAMILY = frozenset(
-    "almeida araujo assuncao barbosa borges campos cardoso carvalho cavalcante correia dias farias ferreira freitas gomes lima machado martins mendes monteiro "
-    "moreira nunes oliveira pereira pinto ribeiro rocha silva souza teixeira santos costa alves rodrigues castro ramos barros".split()
-)
-KNOWN = GIVEN | FAMILY
-# Pet names and whose they are.
+# Portuguese pet names whose letters do not tell whose they are; the others follow from rules.
 PET_NAMES = {
-    "teo": "teodoro", "guto": "augusto", "mariazinha": "maria", "beto": "roberto", "lena": "helena", "val": "valeria valdir", "re": "regina renata", "bia": "beatriz", "lucinha": "lucia",
-    "nati": "natalia", "moniquinha": "monica", "vini": "vinicius", "tete": "terezinha tereza", "aninha": "ana", "mundinho": "raimundo", "serginho": "sergio", "dami": "damiao", "nando": "fernando",
-    "paty": "patricia", "soninha": "sonia", "cica": "cecilia", "toninha": "antonia", "roger": "rogerio", "flavinha": "flavia", "fafa": "fatima", "lulu": "luis lucia", "chica": "francisca",
-    "dudu": "eduardo", "edu": "eduardo", "toninho": "antonio", "tonho": "antonio", "le": "leticia", "leti": "leticia", "quim": "joaquim", "quincas": "joaquim", "chiquinho": "francisco", "chico": "francisco",
-    "luisinho": "luis", "zeca": "jose", "ze": "jose", "marcinho": "marcio", "marcinha": "marcia", "zefa": "zeferino", "zuzu": "zuleide", "nanda": "fernanda", "gigi": "regina", "leo": "leonidas leonardo",
-}
-# Kinds of organisations and their short forms.
-ORGANISATIONS = {
-    "associacao": "associacao", "assoc": "associacao", "ass": "associacao", "federacao": "federacao", "fed": "federacao", "sindicato": "sindicato", "sind": "sindicato", "fundacao": "fundacao", "fund": "fundacao",
-    "conselho": "conselho", "cons": "conselho", "instituto": "instituto", "inst": "instituto", "confederacao": "confederacao", "conf": "confederacao", "uniao": "uniao", "movimento": "movimento", "mov": "movimento",
-    "cooperativa": "cooperativa", "coop": "cooperativa", "centro": "centro", "rede": "rede", "comite": "comite",
+    "chico": "francisco", "chica": "francisca", "chiquinho": "francisco", "chiquinha": "francisca", "ze": "jose", "zeca": "jose", "zezinho": "jose", "juca": "jose", "quincas": "joaquim", "quinzinho": "joaquim",
+    "bia": "beatriz", "tonho": "antonio", "toninho": "antonio", "toninha": "antonia", "totonho": "antonio", "tonico": "antonio", "cica": "cecilia", "lulu": "luis luisa lucia", "duda": "eduardo eduarda", "dede": "andre", "guga": "gustavo",
 }
 
 
@@ -100,25 +84,16 @@ def spelling(c: Column) -> Column:
 # -- reading a name -------------------------------------------------------------------
 
 
-class Name:
-    """A spelling in parts: ``kind`` of organisation or None, ``core``, given names, family name, and what else it says."""
-
-    __slots__ = ("kind", "core", "first", "second", "last", "rest", "joined")
-
-    def __init__(self, kind: str | None, core: str, first: str, second: str, last: str, rest: tuple[str, ...], joined: str) -> None:
-        self.kind, self.core, self.first, self.second, self.last, self.rest, self.joined = kind, core, first, second, last, rest, joined
-
+def sounded(word: str) -> str:
+    """One way to write what sounds alike: ph, th, y, w and k as in today's spelling, doubled letters once."""
+    for old, new in (("ph", "f"), ("th", "t"), ("y", "i"), ("w", "v"), ("k", "c")):
+        word = word.replace(old, new)
+    return re.sub(r"(.)\1+", r"\1", word)
 
-def near(word: str, known: frozenset[str] | dict) -> str | None:
-    """The first known word, by code points, that is one typing error away."""
-    if len(word) < 3:
-        return None
-    letters = set(word)
-    return min((k for k in known if abs(len(k) - len(word)) <= 1 and (k[0] == word[0] or k[-1] == word[-1]) and len(k) > 2 and len(letters ^ set(k)) <= 2 and distance(word, k) == 1), default=None)
 
-
-@lru_cache(maxsize=100_000)
-def read(text: str) -> Name:
+@lru_cache(maxsize=200_000)
+def words(text: str) -> tuple[str, ...]:
+    """The words of a name in order, without titles, particles and acronyms; ``Last, First`` turned round. Initials are one letter."""
     s = folded(text)
     s = re.sub(r"\(\s*[^()]{2,8}\s*\)", " ", s)
     s = re.sub(r"^[a-z]{3,6}\s+-\s+", " ", s)
@@ -126,137 +101,144 @@ def read(text: str) -> Name:
     if comma and after.strip():
         s = f"{after} {before}"
     # "E" is a particle, "E." an initial; an initial stays a capital until those are gone.
-    words = [w[0].upper() if len(w) == 2 and w[1] == "." else w.rstrip(".") for w in re.findall(r"[a-z0-9]+\.?", s)]
-    if words and len(words[0]) == 1:
-        words[0] = words[0].upper()
-    while len(words) > 1 and words[0] in TITLES:
-        words = words[1:]
-    if not words:
-        words = re.findall(r"[^\W_]+", s) or [s.strip()]
-    joined = "".join(w for w in words if w not in PARTICLES).lower()
-    kind = ORGANISATIONS.get(words[0]) or (near(words[0], ORGANISATIONS) and ORGANISATIONS[near(words[0], ORGANISATIONS)] if words[0] not in GIVEN and len(words[0]) > 6 else None)
-    if kind is None and words[0] not in GIVEN:
-        for k in ("associacao", "federacao", "sindicato", "fundacao", "conselho", "instituto"):
-            if words[0].startswith(k) and len(words[0]) > len(k) + 4:
-                kind, words = k, [k, words[0][len(k) :], *words[1:]]
-                break
-    if kind:
-        return _organisation(kind, words[1:], joined)
-    return _person([w.lower() for w in words if w not in PARTICLES] or words, joined)
-
-
-def _organisation(kind: str, words: list[str], joined: str) -> Name:
-    i = 0
-    while i < len(words) and words[i] not in PARTICLES:
-        i += 1
-    if i:
-        core, rest = "".join(words[:i]), words[i:]
-    else:
-        core, rest = (words[-1], words[:-1]) if words else ("", [])
-    return Name(kind, core, "", "", "", tuple(w for w in rest if w not in PARTICLES), joined)
-
-
-def _person(words: list[str], joined: str) -> Name:
-    if words[0] not in GIVEN and words[0] not in PET_NAMES and not any(w in GIVEN for w in words):
-        # A blank left out behind the given name.
-        for g in sorted(GIVEN, key=len, reverse=True):
-            if words[0].startswith(g) and len(words[0]) >= len(g) + 5:
-                words = [g, words[0][len(g) :], *words[1:]]
-                break
-    known: list[tuple[str, str]] = []
-    for w in words:
-        known.append(("i" if len(w) == 1 else "g" if w in GIVEN or w in PET_NAMES and not known else "f" if w in FAMILY else "?", w))
-    unknown = [i for i, (k, _) in enumerate(known) if k == "?"]
-    # More than one unknown word: those a typing error away from a common name are that.
-    for i in list(unknown):
-        if len(unknown) < 2:
-            break
-        w = known[i][1]
-        g, f = near(w, GIVEN), near(w, FAMILY)
-        rest = sum(len(known[j][1]) for j in unknown if j != i)
-        if rest < 6 or not (g or f):  # what is left would be no name of its own
-            continue
-        known[i] = ("g" if g and (i == 0 or not f) else "f", w)
-        unknown.remove(i)
-    if len(unknown) > 1 and not any(k in "gi" for k, _ in known[: unknown[-1]]) and len(known[unknown[0]][1]) > 2 and sum(len(known[i][1]) for i in unknown[1:]) > 5:
-        # A given name that is not among the common ones.
-        known[unknown[0]] = ("g", known[unknown[0]][1])
-        unknown = unknown[1:]
-    if unknown:
-        core = "".join(known[i][1] for i in unknown)
-        at = unknown[0]
-    else:
-        at = max((i for i, (k, _) in enumerate(known) if k == "f"), default=len(known) - 1)
-        core = known[at][1]
-        unknown = [at]
-    given = [w for i, (k, w) in enumerate(known) if i not in unknown and (k == "g" or k == "i" and i < at)]
-    family = [w for i, (k, w) in enumerate(known) if i not in unknown and (k == "f" or k == "i" and i > at)]
-    return Name(None, core, given[0] if given else "", given[1] if len(given) > 1 else "", family[-1] if family else "", tuple(family[:-1]), joined)
-
-
-def _word(a: str, b: str) -> float:
-    """Similarity of two given or family names; 0 for a contradiction."""
-    if not a or not b:
-        return 0.95
+    found = [w[0].upper() if len(w) == 2 and w[1] == "." else w.rstrip(".") for w in re.findall(r"[a-z0-9]+\.?", s)]
+    if found and len(found[0]) == 1:
+        found[0] = found[0].upper()
+    while len(found) > 1 and found[0] in TITLES:
+        found = found[1:]
+    kept = [sounded(w.lower()) for w in found if w not in PARTICLES]
+    return tuple(kept or re.findall(r"[^\W_]+", s) or [s.strip()])
+
+
+def grams(named: tuple[str, ...]) -> dict[str, float]:
+    """Padded n-grams of every word, how often, and the words' initials."""
+    out: Counter[str] = Counter()
+    for w in named:
+        out[f"^{w[:1]}"] += INITIAL
+        if len(w) > 1:
+            padded = f"^{w}$"
+            for i in range(max(1, len(padded) - GRAM + 1)):
+                out[padded[i : i + GRAM]] += 1
+    return out
+
+
+# -- whether two names contradict each other ------------------------------------------
+
+
+DIMINUTIVE = re.compile(r"(?:zinh|inh)[oa]$")
+
+
+def pet_name(short: str, name: str) -> bool:
+    """Whether ``short`` can be a pet name of ``name``: in the table, a diminutive, a doubled syllable, or a shortened form."""
+    if any(t[0] == name if len(name) == 1 else agree(t, name) >= 3 for t in PET_NAMES.get(short, "").split()):
+        return True
+    stem = DIMINUTIVE.sub("", short) if short[-3:-1] == "nh" else short
+    half = len(stem) // 2
+    if len(stem) >= 4 and len(stem) % 2 == 0 and stem[:half] == stem[half:]:
+        stem = stem[:half]
+    if stem != short and len(stem) > 1 and (stem in name or len(stem) > 3 and name.startswith(stem[:-2])):
+        return True
+    if len(short) >= len(name) or len(short) < 2:
+        return False
+    if name.startswith(short) or 3 <= len(short) <= len(name) - 2 and name.endswith(short):
+        return True
+    if 3 <= len(short) <= 5 and len(short) < len(name) - 1 and short[-1] == name[-1]:
+        rest = iter(name)
+        if all(c in rest for c in short):
+            return True
+    return 3 <= len(short) <= 4 and len(name) >= 5 and name[:2] == short[:2]
+
+
+@lru_cache(maxsize=400_000)
+def agree(a: str, b: str) -> int:
+    """How well two words agree: 4 equal, 3 typing errors apart, 2 pet name or abbreviation, 1 initial, 0 not."""
     if a == b:
-        return 1.0
+        return 4
     if len(a) == 1 or len(b) == 1:
-        pets = PET_NAMES.get(a if len(b) == 1 else b)
-        return 0.9 if a[0] == b[0] or pets and any(p[0] in (a[0], b[0]) and p[0] == (a if len(a) == 1 else b)[0] for p in pets.split()) else 0.0
-    pa, pb = PET_NAMES.get(a, a).split(), PET_NAMES.get(b, b).split()
-    if set(pa) & set(pb):
-        return 0.9
-    for x, y in ((a, b), (b, a)):
-        if x in PET_NAMES and y not in KNOWN and any(distance(p, y) == 1 for p in PET_NAMES[x].split()):
-            return 0.8
-    typed = a not in KNOWN or b not in KNOWN
-    return 0.85 if typed and min(len(a), len(b)) > 2 and distance(a, b) == 1 else 0.0
-
-
-def _core(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    # An error changes at most two letters of the sets; most pairs of other names end here.
-    if min(len(a), len(b)) < 5 or abs(len(a) - len(b)) > 2 or len(set(a) ^ set(b)) > 4:
-        return 0.0
-    d = distance(a, b)
-    return 0.9 if d == 1 else 0.65 if d == 2 and min(len(a), len(b)) > 7 else 0.0
+        one, whole = (a, b) if len(a) == 1 else (b, a)
+        return 1 if one == whole[:1] or whole in PET_NAMES and pet_name(whole, one) else 0
+    short = min(len(a), len(b))
+    if a[:-1] == b[:-1] and {a[-1], b[-1]} == {"a", "o"}:  # Márcia is not Márcio
+        return 0
+    # An error changes at most two letters of the sets; most pairs of other words end here.
+    if short > 2 and abs(len(a) - len(b)) <= 2 and len(set(a) ^ set(b)) <= 4:
+        d = distance(a, b)
+        if d == 1 or d == 2 and short > 7:
+            return 3
+    return 2 if pet_name(a, b) or pet_name(b, a) else 0
+
+
+def joined(x: list[str], y: list[str]) -> list[str]:
+    """``x`` with neighbours put together that are one word of ``y``, but for a typing error."""
+    out, i = [], 0
+    while i < len(x):
+        both = x[i] + x[i + 1] if i + 1 < len(x) else ""
+        if len(both) > 5 and min(len(x[i]), len(x[i + 1])) > 1 and x[i] not in y and x[i + 1] not in y and any(abs(len(w) - len(both)) <= 1 and agree(w, both) >= 3 for w in y):
+            out.append(both)
+            i += 2
+        else:
+            out.append(x[i])
+            i += 1
+    return out
+
+
+def parted(x: list[str], y: list[str]) -> list[str]:
+    """``x`` with words taken apart that begin or end with a word of ``y`` (but for an error in a long one)."""
+    out = []
+    for w in x:
+        for t in sorted((t for t in y if 3 <= len(t) <= len(w) - 3 and not re.fullmatch(r"z?inh[oa]", w[len(t) :])), key=len, reverse=True):
+            head, tail = w[: len(w) - len(t)], w[len(w) - len(t) :]
+            if w.startswith(t):
+                out += [t, w[len(t) :]]
+                break
+            if tail == t or len(t) > 5 and agree(tail, t) >= 3:
+                out += [head, tail]
+                break
+        else:
+            out.append(w)
+    return out
 
 
+def compatible(x: tuple[str, ...], y: tuple[str, ...], weight: dict[str, float] | None = None) -> bool:
+    """Whether two names, as words, can be the same one's. ``weight``: how rare each word is (without it, the longer the rarer)."""
+    a, b = "".join(x), "".join(y)
+    if a == b or len(x) != len(y) and len(a) > 9 and abs(len(a) - len(b)) <= 1 and agree(a, b) >= 3 and distance(a, b) == 1:
+        return True
+    p, q = joined(list(x), list(y)), joined(list(y), list(x))
+    p, q = parted(p, q), parted(q, p)
+    at = {}
+    for level, _, i, j in sorted(((agree(v, w), -abs(i - j), -i, -j) for i, v in enumerate(p) for j, w in enumerate(q)), reverse=True):
+        if level and -i not in at and -j not in at.values():
+            at[-i] = -j
+    # Words that are joined or taken apart here have no weight of their own: as rare as can be.
+    rare = lambda v, w: min((weight or {}).get(v, math.inf), (weight or {}).get(w, math.inf))
+    shared = [(rare(p[i], q[j]), len(p[i]), -i, -j) for i, j in at.items() if agree(p[i], q[j]) >= 3]
+    if not shared:
+        return False
+    most, _, i, j = max(shared)
+    i, j = -i, -j
+    # An initial does not stand for a first word from the other side of the rare one.
+    at = {k: m for k, m in at.items() if min(len(p[k]), len(q[m])) > 1 or k and m or not i or not j or (k < i) == (m < j)}
+    sides = []
+    for name, core, used in ((p, i, set(at)), (q, j, set(at.values()))):
+        before, after = list(range(core)), list(range(core + 1, len(name)))
+        if not before and after:  # the rare word first: the name is turned round
+            before, after = [after[-1]], after[:-1]
+        rarer = [k for k in range(len(name)) if k not in used and len(name[k]) > 3 and (weight or {}).get(name[k], 0) > most]
+        sides.append([set(before) - used, set(after) - used, rarer])
+    return not any(u and v for u, v in zip(*sides))
+
+
+@lru_cache(maxsize=200_000)
 def similarity(x: str, y: str) -> float:
-    """How likely two spellings mean the same one: 1 the same letters, 0 a contradiction."""
-    a, b = read(x), read(y)
-    if a.joined == b.joined:
-        return 1.0
-    if (a.kind is None) != (b.kind is None) or a.kind != b.kind:
+    """How alike two spellings are, without a corpus: 0 for a contradiction, else from 0.5 to 1 with the cosine of their n-grams."""
+    a, b = words(x), words(y)
+    # Most pairs have no word in common, nor a beginning or end of one, which a plain look tells.
+    if not any(len(v) > 1 and len(w) > 1 and (v[0] == w[0] or v[-1] == w[-1]) and agree(v, w) for v in a for w in b) or not compatible(a, b):
         return 0.0
-    core = _core(a.core, b.core)
-    if a.kind:
-        if not core:
-            return 0.9 if len(set(a.joined) ^ set(b.joined)) <= 2 and distance(a.joined, b.joined) <= 1 else 0.0
-        if a.rest and b.rest:
-            ra, rb = "".join(sorted(a.rest)), "".join(sorted(b.rest))
-            core *= 1.0 if ra == rb else 0.9 if distance("".join(a.rest), "".join(b.rest)) <= 2 else 0.0
-        return core
-    if not core:
-        # One error in a spelling whose blanks or parts were read otherwise.
-        return 0.9 if len(a.joined) > 9 and abs(len(a.joined) - len(b.joined)) <= 1 and len(set(a.joined) ^ set(b.joined)) <= 2 and distance(a.joined, b.joined) == 1 else 0.0
-    if not (a.first and b.first):
-        return 0.7 * core * _word(a.last, b.last)
-    first = _word(a.first, b.first)
-    second = _word(a.second, b.second)
-    if not first and a.second and not b.second and _word(a.second, b.first):
-        # The first of two given names left out.
-        first, second = 0.6, 0.95
-    elif not first and b.second and not a.second and _word(b.second, a.first):
-        first, second = 0.6, 0.95
-    return core * first * second * _word(a.last, b.last)
-
-
-def parts(text: str) -> str:
-    """All that ``similarity`` sees of a spelling: those alike in it are one from the start."""
-    name = read(text)
-    return repr([getattr(name, x) for x in Name.__slots__])
+    u, v = grams(a), grams(b)
+    dot = sum(n * v.get(g, 0.0) for g, n in u.items())
+    return 0.5 + 0.5 * min(1.0, dot / math.sqrt(sum(n * n for n in u.values()) * sum(n * n for n in v.values())))
 
 
 def units(s: float) -> int:
@@ -290,144 +272,94 @@ def merged(total: np.ndarray, size: np.ndarray, least: float = LINK) -> list[int
     return label.tolist()
 
 
-def linkage(names: list[str], least: float = LINK) -> list[int]:
-    """Average-linkage clusters of some spellings, as the index of each cluster's first member."""
-    alike: dict[str, list[int]] = {}
-    for i in sorted(range(len(names)), key=lambda i: names[i]):
-        alike.setdefault(parts(names[i]), []).append(i)
-    groups = list(alike.values())
-    size, m = np.array([len(g) for g in groups]), len(groups)
-    total = np.zeros((m, m))
-    for p in range(m):
-        for q in range(p + 1, m):
-            total[p, q] = total[q, p] = units(similarity(names[groups[p][0]], names[groups[q][0]])) * size[p] * size[q]
-    out = [0] * len(names)
-    for g, p in zip(groups, merged(total, size, least) if m else []):
-        for i in g:
-            out[i] = groups[p][0]
-    return out
+# -- the distributed part -------------------------------------------------------------
 
 
-# -- the distributed part -------------------------------------------------------------
+def _slot(c: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
 
 
-def grams(text: str) -> list[str]:
-    """Features of a spelling: the rarest part of the name as a whole, and its padded character n-grams under the initial of the given name (of each one a pet name can stand for) or the kind of organisation."""
-    name = read(text)
-    under = [name.kind] if name.kind else sorted({p[0] for p in PET_NAMES.get(name.first, name.first or "*").split()})
-    core = f"^{name.core}$"
-    return sorted({f"={name.core}", *(f"{u}:{core[i : i + GRAM]}" for u in under for i in range(max(1, len(core) - GRAM + 1)))})
+def read(spellings: DataFrame) -> DataFrame:
+    """(id, nome, palavras) of (id, nome)."""
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(palavras=[list(words(t)) for t in pdf["nome"]])
+
+    return spellings.select("id", "nome").mapInPandas(told, "id bigint, nome string, palavras array<string>")
 
 
-def candidates(spellings: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """Pairs of ids (a < b) whose weighted n-gram vectors can have at least this cosine: all that do, and the few the bound cannot tell."""
+def vectors(nodes: DataFrame) -> DataFrame:
+    """(id, palavras, raro, v): the words of each name, how rare each is, and its unit vector, the rarest feature first."""
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "grams": [grams(t) for t in pdf["nome"]]})
-
-    rows = spellings.select("id", "nome").mapInPandas(cut_up, "id bigint, grams array<string>").select("id", F.explode("grams").alias("g")).select("id", F.xxhash64("g").alias("g"))
-    rows = rows.distinct()
-    total = F.lit(float(spellings.count()))  # one number
-    weights = rows.groupBy("g").agg(F.count("*").alias("df")).where("df > 1").select("g", F.log(1 + total / F.col("df")).alias("w"))
-    # A gram of one spelling only joins nothing but counts in its norm, with the largest weight there is.
-    vectors = rows.join(weights, "g", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("w", F.log(1 + total)).alias("w"), "g")), asc=False).alias("v"))
+            found = [(i, -1, f"g{g}", n) for i, w in zip(pdf["id"], pdf["palavras"]) for g, n in grams(tuple(w)).items()]
+            found += [(i, k, f"w{t}", 0.0) for i, w in zip(pdf["id"], pdf["palavras"]) for k, t in enumerate(w)]
+            yield pd.DataFrame(found, columns=["id", "k", "f", "n"])
+
+    rows = cut(nodes.select("id", "palavras").mapInPandas(cut_up, "id bigint, k int, f string, n double").withColumn("g", _slot("f")).drop("f"))
+    total = F.lit(float(nodes.count()))  # one number
+    often = rows.groupBy("g", "id").agg(F.lit(1).alias("one")).groupBy("g").agg(F.count("*").alias("df"))
+    # At most SLOTS rows, whatever the corpus.
+    rows = rows.join(F.broadcast(often.select("g", F.log(1 + total / F.col("df")).alias("rare"))), "g")
+    found = rows.groupBy("id").agg(F.collect_list(F.struct("k", "g", "rare", "n")).alias("x"))
+    grown = F.aggregate("x", F.lit(0.0), lambda s, e: s + F.pow(e["rare"] * e["n"], F.lit(2)), lambda s: F.sqrt(s))
+    vector = F.transform(F.filter("x", lambda e: e["k"] < 0), lambda e: F.struct(e["rare"].alias("rare"), e["g"].alias("g"), (e["rare"] * e["n"] / F.col("norm")).alias("w")))
+    known = F.transform(F.array_sort(F.filter("x", lambda e: e["k"] >= 0)), lambda e: e["rare"])
+    found = found.withColumn("norm", grown).select("id", known.alias("raro"), F.sort_array(vector, asc=False).alias("v"))
+    return nodes.select("id", "nome", "palavras").join(found, "id")
+
+
+def candidates(rows: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+    """Pairs of ids (a < b) whose vectors can have at least this cosine: all that do, and the few the bound cannot tell."""
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for i, v in zip(pdf["id"], pdf["v"]):
                 w = np.array([x["w"] for x in v])
-                w /= math.sqrt((w * w).sum())
-                left = np.sqrt(np.maximum((w * w)[::-1].cumsum()[::-1], 0))  # norm from each feature on
-                keep = int((left >= min(REST, cosine)).sum())
+                left = np.sqrt((w * w)[::-1].cumsum()[::-1])  # norm from each feature on
+                keep = int((left >= cosine - 1e-9).sum())
                 rest = float(left[keep]) if keep < len(w) else 0.0
                 out += [(v[k]["g"], i, float(w[k]), rest) for k in range(keep)]
             yield pd.DataFrame(out, columns=["g", "id", "w", "rest"])
 
-    index = vectors.mapInPandas(prefixes, "g bigint, id bigint, w double, rest double")
-    x, y = (index.select("g", F.col("id").alias(n), F.col("w").alias(f"w{n}"), F.col("rest").alias(f"r{n}")) for n in "ab")
-    met = x.join(y, "g").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.first("ra").alias("ra"), F.first("rb").alias("rb"))
-    # What the prefixes do not share can add no more than the norms of the rests, each against a whole vector.
-    return met.where(F.col("dot") + F.greatest("ra", "rb") >= cosine).select("a", "b")
-
-
-def without(text: str, most: int) -> set[str]:
-    """``text`` with up to ``most`` of its letters left out: two texts that many errors apart have one of these in common."""
-    out = {text}
-    for _ in range(most):
-        out |= {t[:i] + t[i + 1 :] for t in out for i in range(len(t))}
-    return out
-
-
-def core_keys(core: str) -> set[str]:
-    """What a core shares with every core that ``_core`` takes for it."""
-    return without(core, 0 if len(core) < 5 else 1 if len(core) < 8 else 2)
-
-
-def joined_keys(kind: str, joined: str) -> set[str]:
-    """What a spelling without blanks shares with every one that is the same or, where that counts, one error away."""
-    return {f"={joined}"} | ({f"{kind}:{t}" for t in without(joined, 1)} if kind or len(joined) > 8 else set())
-
-
-def given_keys(name: Name) -> tuple[list[str], list[str]]:
-    """Keys of the given names for the left and the right side of a join: two names that ``_word`` doesn't contradict meet in one direction at least."""
-    right, left = {"*"}, set()
-    for w in filter(None, (name.first, name.second)):
-        meant = {w, *PET_NAMES.get(w, "").split()}
-        whole = {f"d:{t}" for m in meant for t in without(m, 1)} if len(w) > 1 else {f"i:{w}"}
-        left |= whole
-        right |= {f"i:{m[0]}" for m in meant} | (whole if w == name.first else set())
-    return sorted(left or {"*"}), sorted(right)
+    index = cut(rows.select("id", "v").mapInPandas(prefixes, "g int, id bigint, w double, rest double"))
+    size = index.groupBy("g").agg(F.count("*").alias("m")).where("m > 1")
+    # A feature alone joins nothing. One with many spellings is cut into blocks, and pairs of blocks are keys of their own.
+    index = index.join(F.broadcast(size), "g").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("at", F.pmod(F.hash("id"), F.col("blocks"))).drop("m")
+    x = index.select("g", F.col("at").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.col("id").alias("a"), F.col("w").alias("wa"), F.col("rest").alias("ra"))
+    y = index.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("at").alias("j"), F.col("id").alias("b"), F.col("w").alias("wb"), F.col("rest").alias("rb"))
+    met = x.join(y.hint("merge"), ["g", "i", "j"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.first("ra").alias("ra"), F.first("rb").alias("rb"))
+    # Behind the shorter prefix everything is rest: it can add no more than that rest's norm against a whole vector.
+    return met.where(F.col("dot") + F.greatest("ra", "rb") >= cosine - 1e-9).select("a", "b")
 
 
-def neighbours(spellings: DataFrame) -> DataFrame:
-    """Pairs of ids (a < b) that can have a similarity above 0 by their parts: all that do, and some more."""
+def edges(nodes: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+    """Pairs of names (id, nome, palavras) with at least this cosine that do not contradict each other: (a, b, s)."""
+    rows = cut(vectors(nodes))
 
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            names = [read(t) for t in pdf["nome"]]
-            sides = [given_keys(n) for n in names]
-            yield pd.DataFrame({"id": pdf["id"], "kind": [n.kind or "" for n in names], "core": [n.core for n in names], "joined": [n.joined for n in names], "l": [x for x, _ in sides], "r": [y for _, y in sides]})
-
-    def close(words: DataFrame, keys: Callable[[str, str], set[str]], check: Callable[[str, str], bool]) -> DataFrame:
-        """(u, kind, w): distinct words of a kind with those near them, themselves included."""
-
-        def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield pd.DataFrame({"kind": pdf["kind"], "w": pdf["w"], "k": [sorted(keys(x, w)) for x, w in zip(pdf["kind"], pdf["w"])]})
-
-        def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield pdf[[check(u, w) for u, w in zip(pdf["u"], pdf["w"])]]
-
-        keyed = words.mapInPandas(spread, "kind string, w string, k array<string>").select("kind", "w", F.explode("k").alias("k")).select("kind", "w", F.xxhash64("k").alias("k"))
-        u = keyed.select(F.col("kind").alias("ukind"), F.col("w").alias("u"), "k")
-        return u.join(keyed.hint("merge"), "k").select("ukind", "u", "kind", "w").distinct().mapInPandas(checked, "ukind string, u string, kind string, w string")
-
-    rows = cut(spellings.select("id", "nome").mapInPandas(parts, "id bigint, kind string, core string, joined string, l array<string>, r array<string>"))
-    cores = close(rows.select("kind", F.col("core").alias("w")).distinct(), lambda _, w: core_keys(w), lambda u, w: _core(u, w) > 0).where("ukind = kind")
-    left = rows.select(F.col("id").alias("x"), F.col("kind").alias("ukind"), F.col("core").alias("u"), F.explode("l").alias("g")).join(cores, ["ukind", "u"]).select("x", F.xxhash64("kind", "w", "g").alias("k"))
-    right = rows.select(F.col("id").alias("y"), "kind", "core", F.explode("r").alias("g")).select("y", F.xxhash64("kind", "core", "g").alias("k"))
-    # Behind explode() a side is larger than Spark believes, so no broadcast.
-    by_parts = left.join(right.hint("merge"), "k").select("x", "y")
-    # Blanks or parts read otherwise: the letters alone.
-    letters = close(rows.select("kind", F.col("joined").alias("w")).distinct(), joined_keys, lambda u, w: u == w or distance(u, w) == 1)
-    x, y = rows.select(F.col("id").alias("x"), F.col("kind").alias("ukind"), F.col("joined").alias("u")), rows.select(F.col("id").alias("y"), "kind", F.col("joined").alias("w"))
-    by_letters = x.join(letters, ["ukind", "u"]).join(y.hint("merge"), ["kind", "w"]).select("x", "y")
-    return by_parts.unionByName(by_letters).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
+            out = []
+            for r in pdf.itertuples(index=False):
+                v = {x["g"]: x["w"] for x in r.va}
+                s = sum(v.get(x["g"], 0.0) * x["w"] for x in r.vb)
+                if s >= cosine:
+                    (x, rx), (y, ry) = sorted(((tuple(r.pa), tuple(r.qa)), (tuple(r.pb), tuple(r.qb))))
+                    if compatible(x, y, dict(zip((*x, *y), (*rx, *ry)))):
+                        out.append((r.a, r.b, min(1.0, s)))
+            yield pd.DataFrame(out, columns=["a", "b", "s"])
 
-def edges(spellings: DataFrame, cosine: float = COSINE, least: float = LINK) -> DataFrame:
-    """Candidate pairs whose parts agree: (a, b, s)."""
+    x, y = (rows.select(F.col("id").alias(n), F.col("palavras").alias(f"p{n}"), F.col("raro").alias(f"q{n}"), F.transform("v", lambda e: F.struct(e["g"].alias("g"), e["w"].alias("w"))).alias(f"v{n}")) for n in "ab")
+    return candidates(rows, cosine, block).join(x.hint("merge"), "a").join(y.hint("merge"), "b").mapInPandas(check, "a bigint, b bigint, s double")
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["s"] = [similarity(min(x, y), max(x, y)) for x, y in zip(pdf["x"], pdf["y"])]
-            yield pdf.loc[pdf["s"] >= least, ["a", "b", "s"]]
 
-    x, y = (spellings.select(F.col("id").alias(n), F.col("nome").alias(m)) for n, m in (("a", "x"), ("b", "y")))
-    return candidates(spellings, cosine).unionByName(neighbours(spellings)).distinct().join(x, "a").join(y, "b").mapInPandas(check, "a bigint, b bigint, s double")
+def nearest(links: DataFrame, n: int) -> DataFrame:
+    """The ``n`` nearest of each name by cosine (ties: the smaller id): (id, outro, s)."""
+    both = links.select(F.col("a").alias("id"), F.col("b").alias("outro"), "s").unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("outro"), "s"))
+    return both.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "outro"))).where(F.col("n") <= n).drop("n")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -509,18 +441,18 @@ def linked(nodes: DataFrame, links: DataFrame, least: float = LINK, most: int =
             now = _cut(now.join(gone.withColumnRenamed("id", "grupo"), "grupo", "left").select("id", F.coalesce("to", "grupo").alias("grupo")))
 
 
-def clusters(spellings: DataFrame, cosine: float = COSINE, least: float = LINK, most: int = COMPONENT) -> DataFrame:
-    """(id, nome, grupo) of every spelling: ``grupo`` is the id of one member of its cluster."""
+def alike(spellings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The spellings with their words as ``parts``, and one node (id, nome, palavras, n) for each distinct sequence of words."""
+    rows = cut(read(spellings).withColumn("parts", F.to_json("palavras")))
+    first = cut(rows.groupBy("parts").agg(F.min(F.struct("nome", "id", "palavras")).alias("first"), F.count("*").alias("n")))
+    return rows, first.select("first.id", "first.nome", "first.palavras", "n", "parts")
 
-    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(parts=[parts(t) for t in pdf["nome"]])
 
-    rows = cut(spellings.select("id", "nome").mapInPandas(told, "id bigint, nome string, parts string"))
-    alike = cut(rows.groupBy("parts").agg(F.min(F.struct("nome", "id")).alias("first"), F.count("*").alias("n")))
-    nodes = alike.select("first.id", "first.nome", "n")
-    groups = linked(nodes, cut(edges(nodes, cosine, 1 / UNITS)), least, most)
-    found = alike.select("parts", F.col("first.id").alias("first")).join(groups.withColumnRenamed("id", "first"), "first")
+def clusters(spellings: DataFrame, cosine: float = COSINE, least: float = LINK, most: int = COMPONENT, block: int = BLOCK) -> DataFrame:
+    """(id, nome, grupo) of every spelling: ``grupo`` is the id of one member of its cluster."""
+    rows, nodes = alike(spellings)
+    groups = linked(nodes.select("id", "nome", "n"), cut(edges(nodes, cosine, block)), least, most)
+    found = nodes.select("parts", F.col("id").alias("first")).join(groups.withColumnRenamed("id", "first"), "first")
     return rows.join(found, "parts").select("id", "nome", "grupo")
 
 

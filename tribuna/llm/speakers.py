@@ -25,6 +25,7 @@ ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -100,6 +101,12 @@ def alike(a: str, b: str) -> float:
     return similarity(a, b)
 
 
+def running(name: str) -> bool:
+    """Whether there is running text around a name: an article inside, or more than one word in lower case that is no particle."""
+    words = [w for w in TITLES_BEFORE.sub("", name, count=1).split() if not re.fullmatch(r"d[aeo]s?|e", w)]
+    return any(w in ("o", "a", "os", "as") for w in words) or sum(w[0].islower() for w in words) > 1
+
+
 def looks_like_name(name: str) -> bool:
     """Whether every word is capitalised or a particle, and there are two that are no title."""
     words = [w for w in re.split(r"[\s,]+", TITLES_BEFORE.sub("", name, count=1)) if w]
@@ -112,17 +119,19 @@ def labels(text: str, people: list[str]) -> list[Label]:
     found: list[Label] = []
     for m in FORMAL.finditer(text):
         found.append(Label(m.start(), m.end(), m["name"].strip(), m["inner"] or "", True, True))
-    taken = [(x.at, x.end) for x in found]
+    begun, ended = [x.at for x in found], [x.end for x in found]  # both ascend: the labels do not overlap
     for s in START.finditer(text):
         m = PLAIN.match(text, s.end())
-        if not m or any(a <= m.start() < b or m.start() <= a < m.end() for a, b in taken):
+        # The last formal label that begins before this one ends must have ended before it begins.
+        last = bisect_left(begun, m.end()) - 1 if m else -1
+        if not m or last >= 0 and ended[last] > m.start():
             continue
         if s["end"] and not ends(text, s.start("end"), s.end("end")):
             continue
         line = not s["end"]
         kind, name = person(m["name"], m["inner"] or "")
         if kind == "pessoa":
-            known = any(alike(name, p) >= LIKE for p in people)
+            known = not running(m["name"]) and any(alike(name, p) >= LIKE for p in people)
             if not known and not (line and looks_like_name(m["name"]) and not text[m.end() : m.end() + 1].islower()):
                 continue
         if text[m.end() : m.end() + 1].islower() and not line:
