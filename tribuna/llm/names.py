@@ -51,7 +51,7 @@ LINK = 0.27
 SLOTS = 1 << 20
 #: Spellings under one feature that are joined in one task.
 BLOCK = 2000
-COMPONENT = 3000
+COMPONENT = 1000
 #: A similarity of 1 in the whole units that are summed.
 UNITS = 10**9
 #: Rounds of merging between two looks whether a large component has come apart.
@@ -321,19 +321,21 @@ def candidates(rows: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> D
                 w = np.array([x["w"] for x in v])
                 left = np.sqrt((w * w)[::-1].cumsum()[::-1])  # norm from each feature on
                 keep = int((left >= cosine - 1e-9).sum())
-                rest = float(left[keep]) if keep < len(w) else 0.0
-                out += [(v[k]["g"], i, float(w[k]), rest) for k in range(keep)]
-            yield pd.DataFrame(out, columns=["g", "id", "w", "rest"])
+                out += [(v[k]["g"], i, float(w[k]), float(left[k]), float(left[k + 1]) if k + 1 < len(w) else 0.0) for k in range(keep)]
+            yield pd.DataFrame(out, columns=["g", "id", "w", "from", "behind"])
 
-    index = cut(rows.select("id", "v").mapInPandas(prefixes, "g int, id bigint, w double, rest double"))
+    index = cut(rows.select("id", "v").mapInPandas(prefixes, "g int, id bigint, w double, from double, behind double"))
     size = index.groupBy("g").agg(F.count("*").alias("m")).where("m > 1")
     # A feature alone joins nothing. One with many spellings is cut into blocks, and pairs of blocks are keys of their own.
     index = index.join(F.broadcast(size), "g").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("at", F.pmod(F.hash("id"), F.col("blocks"))).drop("m")
-    x = index.select("g", F.col("at").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.col("id").alias("a"), F.col("w").alias("wa"), F.col("rest").alias("ra"))
-    y = index.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("at").alias("j"), F.col("id").alias("b"), F.col("w").alias("wb"), F.col("rest").alias("rb"))
-    met = x.join(y.hint("merge"), ["g", "i", "j"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.first("ra").alias("ra"), F.first("rb").alias("rb"))
-    # Behind the shorter prefix everything is rest: it can add no more than that rest's norm against a whole vector.
-    return met.where(F.col("dot") + F.greatest("ra", "rb") >= cosine - 1e-9).select("a", "b")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = index.select("g", F.col("at").alias("i"), every.alias("j"), F.col("id").alias("a"), F.col("w").alias("wa"), F.col("from").alias("fa"), F.col("behind").alias("ra"))
+    y = index.select("g", every.alias("i"), F.col("at").alias("j"), F.col("id").alias("b"), F.col("w").alias("wb"), F.col("from").alias("fb"), F.col("behind").alias("rb"))
+    # From their first common feature on, two vectors share no more than the product of what is left of both. Those that
+    # pass are the first common features of a pair; what follows the last of them is bounded by the norms behind it.
+    met = x.join(y.hint("merge"), ["g", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("fa") * F.col("fb") >= cosine - 1e-9))
+    summed = met.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.min(F.col("ra") * F.col("rb")).alias("rest"))
+    return summed.where(F.col("dot") + F.col("rest") >= cosine - 1e-9).select("a", "b")
 
 
 def edges(nodes: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
@@ -413,13 +415,16 @@ def linked(nodes: DataFrame, links: DataFrame, least: float = LINK, most: int =
     links = links.join(ends[0], "a").join(ends[1], "b").withColumn("t", F.round(F.col("s") * UNITS).cast("bigint") * F.col("na") * F.col("nb")).drop("s")
     links, now, done = _cut(links), nodes.select("id", F.col("id").alias("grupo")), None
 
-    def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("nome", ignore_index=True)
-        at = pd.Series(left.index, left["grupo"])
-        total, a, b = np.zeros((len(left), len(left))), at.loc[right["a"]].to_numpy(), at.loc[right["b"]].to_numpy()
-        total[a, b] = total[b, a] = right["t"]
-        ids = left["grupo"].to_numpy()
-        return pd.DataFrame({"grupo": ids, "to": ids[merged(total, left["n"].to_numpy(), least)]})
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for ids, sizes, a, b, t in pdf[["ids", "sizes", "a", "b", "t"]].itertuples(index=False):
+                at = {x: i for i, x in enumerate(ids)}
+                total = np.zeros((len(ids), len(ids)))
+                for x, y, s in zip(a, b, t):
+                    total[at[x], at[y]] = total[at[y], at[x]] = s
+                out += [(x, ids[m]) for x, m in zip(ids, merged(total, np.array(sizes), least))]
+            yield pd.DataFrame(out, columns=["grupo", "to"])
 
     while True:
         # No groups merge but along links whose mean is high enough, now or after other merges.
@@ -428,8 +433,11 @@ def linked(nodes: DataFrame, links: DataFrame, least: float = LINK, most: int =
         comp = components(ends, live)
         named = _cut(comp.join(comp.groupBy("comp").agg(F.count("*").alias("k")), "comp").join(ends, "id").withColumnRenamed("id", "grupo"))
         inside = links.join(named.select(F.col("grupo").alias("a"), F.col("comp").alias("ca"), "k"), "a").join(named.select(F.col("grupo").alias("b"), "comp"), "b").where("ca = comp").drop("ca")
-        small = named.where(F.col("k") <= most).groupBy("comp").cogroup(inside.where(F.col("k") <= most).select("comp", "a", "b", "t").groupBy("comp"))
-        ready = small.applyInPandas(finish, "grupo bigint, to bigint")
+        # One row a component, of at most ``most`` groups, spread over all tasks.
+        members = named.where(F.col("k") <= most).groupBy("comp").agg(F.sort_array(F.collect_list(F.struct("nome", "grupo", "n"))).alias("m"))
+        bonds = inside.where(F.col("k") <= most).groupBy("comp").agg(*(F.collect_list(c).alias(c) for c in ("a", "b", "t")))
+        small = members.join(bonds, "comp").select("comp", F.col("m.grupo").alias("ids"), F.col("m.n").alias("sizes"), "a", "b", "t")
+        ready = small.repartition(int(small.sparkSession.conf.get("spark.sql.shuffle.partitions")), "comp").mapInPandas(finish, "grupo bigint, to bigint")
         large = named.where(F.col("k") > most).select("grupo")
         rest = now.join(large, "grupo", "left_anti").join(ready, "grupo", "left").select("id", F.coalesce("to", "grupo").alias("grupo"))
         done = rest if done is None else done.unionByName(rest)
