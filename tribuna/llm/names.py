@@ -45,7 +45,7 @@ from tribuna.llm.canon import distance, folded
 from tribuna.session import cut
 
 GRAM = 4
-COSINE = 0.35
+COSINE = 0.4
 LINK = 0.27
 #: Slots for hashed n-grams and words: the bound on the table of weights.
 SLOTS = 1 << 20
@@ -342,20 +342,31 @@ def edges(nodes: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataF
     """Pairs of names (id, nome, palavras) with at least this cosine that do not contradict each other: (a, b, s)."""
     rows = cut(vectors(nodes))
 
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            # All pairs of a batch at once: features keyed by pair and slot, both sides in one order.
+            n = np.arange(len(pdf), dtype=np.int64) * SLOTS
+            (ka, wa), (kb, wb) = ((np.concatenate([*pdf[g], []]).astype(np.int64) + np.repeat(n, pdf[g].map(len)), np.concatenate([*pdf[w], []])) for g, w in (("ga", "wa"), ("gb", "wb")))
+            order = np.argsort(ka)
+            ka, wa = ka[order], wa[order]
+            at = np.searchsorted(ka, kb)
+            met = at < len(ka)
+            met[met] = ka[at[met]] == kb[met]
+            s = np.bincount(kb[met] // SLOTS, weights=wa[at[met]] * wb[met], minlength=len(pdf))
+            yield pdf[["a", "b"]].assign(s=np.minimum(s, 1.0))[s >= cosine]
+
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                v = {x["g"]: x["w"] for x in r.va}
-                s = sum(v.get(x["g"], 0.0) * x["w"] for x in r.vb)
-                if s >= cosine:
-                    (x, rx), (y, ry) = sorted(((tuple(r.pa), tuple(r.qa)), (tuple(r.pb), tuple(r.qb))))
-                    if compatible(x, y, dict(zip((*x, *y), (*rx, *ry)))):
-                        out.append((r.a, r.b, min(1.0, s)))
-            yield pd.DataFrame(out, columns=["a", "b", "s"])
-
-    x, y = (rows.select(F.col("id").alias(n), F.col("palavras").alias(f"p{n}"), F.col("raro").alias(f"q{n}"), F.transform("v", lambda e: F.struct(e["g"].alias("g"), e["w"].alias("w"))).alias(f"v{n}")) for n in "ab")
-    return candidates(rows, cosine, block).join(x.hint("merge"), "a").join(y.hint("merge"), "b").mapInPandas(check, "a bigint, b bigint, s double")
+            keep = []
+            for pa, qa, pb, qb in pdf[["pa", "qa", "pb", "qb"]].itertuples(index=False):
+                (x, rx), (y, ry) = sorted(((tuple(pa), tuple(qa)), (tuple(pb), tuple(qb))))
+                keep.append(compatible(x, y, dict(zip((*x, *y), (*rx, *ry)))))
+            yield pdf[["a", "b", "s"]][np.array(keep, bool)]
+
+    x, y = (rows.select(F.col("id").alias(n), F.col("v.g").alias(f"g{n}"), F.col("v.w").alias(f"w{n}")) for n in "ab")
+    close = candidates(rows, cosine, block).join(x.hint("merge"), "a").join(y.hint("merge"), "b").mapInPandas(near, "a bigint, b bigint, s double")
+    x, y = (rows.select(F.col("id").alias(n), F.col("palavras").alias(f"p{n}"), F.col("raro").alias(f"q{n}")) for n in "ab")
+    return close.join(x.hint("merge"), "a").join(y.hint("merge"), "b").mapInPandas(check, "a bigint, b bigint, s double")
 
 
 def nearest(links: DataFrame, n: int) -> DataFrame:
