@@ -41,19 +41,39 @@ TYPED = [
 AFFILIATED = [("P CAM", 101), ("P.C.A.M.", 101), ("PCAM - MT", 101), ("Part. Campestre", 101), ("PARTIDO CAMPETSRE", 101), ("Bloco ALVO", 109), ("AlianÃ§a Voz OperÃ¡ria", 109), ("ponte", 112), ("da Ponte Larga", 112), ("Partido da Ponte Larga (PONTE)", 112), ("Soc./Outros", 121), ("SOCIEDDE/OUTROS", 121), ("PGHT", -1), ("-", -1), ("--RR", -1), ("FRENTE MISTA DA PESCA-PB", -1)]
 
 
+def chosen(entries, forms, readings):
+    hit = canon.first_hit(canon.Tree((f, i) for i, label, long in entries for f in forms(label, long)), readings)
+    return hit[3][0] if hit and len(hit[3]) == 1 else -1
+
+
 @pytest.mark.parametrize(("value", "want"), TYPED)
 def test_offices(value, want):
-    assert canon.choose(canon.Tree(canon.expand(OFFICES, canon.office_forms)), canon.office_readings(value))[0] == want
+    assert chosen(OFFICES, canon.office_forms, canon.office_readings(value)) == want
 
 
 @pytest.mark.parametrize(("value", "want"), AFFILIATED)
 def test_parties(value, want):
-    assert canon.choose(canon.Tree(canon.expand(PARTIES, canon.party_forms)), canon.party_readings(value))[0] == want
+    assert chosen(PARTIES, canon.party_forms, canon.party_readings(value)) == want
 
 
 def test_shards_agree(spark):
-    forms = canon.expand(OFFICES, canon.office_forms)
+    forms = canon.expand(spark.createDataFrame(OFFICES, "ref_id bigint, rotulo string, descricao string"), canon.office_forms)
     df = spark.createDataFrame([(v,) for v, _ in TYPED] + [(None,), (" ",), (TYPED[0][0],)], "valor string")
-    one, many = ({r.valor: r.ref_id for r in canon.match(df, "valor", forms, canon.office_readings, shard).collect()} for shard in (10_000, 7))
+    one, many = ({r.valor: r.ref_id for r in canon.match(df, "valor", forms, canon.office_readings, shard).collect()} for shard in (100_000, 400))
     assert one == many == dict(TYPED)
-    assert {r.ref_id for r in canon.match(df, "valor", [], canon.office_readings).collect()} == {-1}
+    assert {r.ref_id for r in canon.match(df, "valor", forms.limit(0), canon.office_readings).collect()} == {-1}
+    assert canon.match(df.limit(0), "valor", forms, canon.office_readings).collect() == []
+
+
+def test_shards_agree_on_ties(spark):
+    """Random short forms with many ties: any number of shards and buckets gives what one tree gives; a tie is -1."""
+    r = random.Random(9)
+    forms = sorted({("".join(r.choice("ab") for _ in range(r.randint(6, 8))), r.randint(1, 40)) for _ in range(70)})
+    values = sorted({"".join(r.choice("abc") for _ in range(r.randint(5, 9))) for _ in range(60)})
+    readings = lambda v: (v, v[1:], v[:-1])
+    tree = canon.Tree(forms)
+    want = {v: (h[3][0] if (h := canon.first_hit(tree, readings(v))) and len(h[3]) == 1 else -1) for v in values}
+    assert -1 in want.values() and len(set(want.values())) > 3
+    table, df = spark.createDataFrame(forms, "forma string, ref_id bigint"), spark.createDataFrame([(v,) for v in values], "valor string")
+    for shard, bucket in ((1000, 1000), (9, 7), (2, 1000)):
+        assert {x.valor: x.ref_id for x in canon.match(df, "valor", table, readings, shard, bucket).collect()} == want

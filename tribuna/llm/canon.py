@@ -5,10 +5,10 @@ synonyms) and held in a BK-tree under the unrestricted Damerau-Levenshtein
 distance, which is a true metric, so the triangle inequality prunes whole
 branches and a search returns every form within its radius. A list longer than
 ``SHARD`` forms becomes several trees; each value passes every shard and the
-winners merge by distance.
+winners merge, with the same result as one tree.
 
-Values are matched once each (distinct), in Arrow batches; the mapping then
-joins back to the rows, so a value that holds a third of all rows is matched once.
+Values are matched once each (distinct), in buckets; the mapping then joins back to
+the rows, so a value that holds a third of all rows is matched once.
 
 Defined results: null and blank values are left out; a value with no form within
 its radius has ref_id -1, and so has one that ties between two entries; values
@@ -26,7 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHARD = 50_000
+from tribuna.session import cut
+
+#: Forms in a tree, and values that pass it in one task.
+SHARD, BUCKET = 50_000, 100_000
 
 
 def distance(a: str, b: str) -> int:
@@ -127,44 +130,41 @@ def plain(s: str) -> str:
     return " ".join(re.sub(r"[^a-z0-9]+", " ", folded(s).replace(".", "").replace("ª", "a").replace("º", "o")).split())
 
 
-# What people call the offices besides their names, by the canonical label.
-OFFICE_FORMS = {
-    "Deputado(a)": "dep|deputado federal|deputada federal|dep federal|parlamentar deputado|parlamentar deputada|parlamentar",
-    "Senador(a)": "sen|senador da republica|senadora da republica",
-    "Vereador(a)": "ver|vereador municipal|vereadora municipal|edil",
-    "Ministro(a) de Estado": "min|ministro|ministra",
-    "Secretário(a) Municipal": "sec municipal|secr mun|sec mun|secr municipal|secretario do municipio|secretaria do municipio",
-    "Secretário(a) Estadual": "sec estadual|secr est|sec est|secr estadual|secretario de estado|secretaria de estado|secretario do estado|secretaria do estado",
-    "Professor(a) Universitário(a)": "prof|profa|professor|professora|prof universitario|profa universitaria|docente universitario|docente universitaria|docente",
-    "Pesquisador(a)": "pesq|pesquisador associado|pesquisadora associada|cientista pesquisador|cientista pesquisadora|cientista",
-    "Advogado(a)": "adv|advogado trabalhista|advogada trabalhista|causidico|causidica",
-    "Promotor(a) de Justiça": "promotor|promotora|prom justica|prom de justica",
-    "Defensor(a) Público(a)": "def publico|def publica|defensor|defensora|defensoria publica defensor|defensoria publica defensora|defensoria publica",
+# What people call the offices besides their names and the abbreviations of those, by the canonical label.
+SYNONYMS = {
+    "Deputado(a)": "deputado federal|deputada federal|dep federal|parlamentar deputado|parlamentar deputada|parlamentar",
+    "Senador(a)": "senador da republica|senadora da republica",
+    "Vereador(a)": "vereador municipal|vereadora municipal|edil",
+    "Ministro(a) de Estado": "ministro|ministra",
+    "Secretário(a) Municipal": "secretario do municipio|secretaria do municipio",
+    "Secretário(a) Estadual": "secretario de estado|secretaria de estado|secretario do estado|secretaria do estado",
+    "Professor(a) Universitário(a)": "prof|profa|professor|professora|docente universitario|docente universitaria|docente",
+    "Pesquisador(a)": "pesquisador associado|pesquisadora associada|cientista pesquisador|cientista pesquisadora|cientista",
+    "Advogado(a)": "advogado trabalhista|advogada trabalhista|causidico|causidica",
+    "Promotor(a) de Justiça": "promotor|promotora",
+    "Defensor(a) Público(a)": "defensor|defensora|defensoria publica defensor|defensoria publica defensora|defensoria publica",
     "Juiz(a) de Direito": "juiz|juiza|magistrado|magistrada",
-    "Médico(a)": "med|medico clinico|medica clinica|medico sanitarista|medica sanitarista",
-    "Enfermeiro(a)": "enf|enfa|enfermeiro chefe|enfermeira chefe",
-    "Engenheiro(a) Civil": "eng civil|enga civil|engenheiro|engenheira|eng|enga",
-    "Economista": "econ|economista chefe|economista senior",
-    "Jornalista": "jorn|reporter|jornalista responsavel",
-    "Presidente de Associação": "presidente da associacao|presidenta de associacao|presidenta da associacao|pres associacao|pres da assoc|pres de assoc|pres assoc|pres da associacao|pres de associacao",
-    "Diretor(a) de Sindicato": "dir sindicato|dir sind|dir de sindicato|dirigente sindical|diretor sindical|diretora sindical",
-    "Coordenador(a) de Projeto": "coord proj|coord de projeto|coord projeto|coordenador de projetos|coordenadora de projetos",
-    "Agricultor(a) Familiar": "agricultor|agricultora|pequeno agricultor|pequena agricultora|agric familiar",
-    "Empresário(a)": "empres|dono de empresa|dona de empresa",
-    "Estudante": "estud|aluno|aluna|estudante de graduacao",
-    "Líder Comunitário(a)": "lider da comunidade|lideranca comunitaria|lider comunitario|lider comunitaria",
-    "Delegado(a) de Polícia": "delegado|delegada|deleg policia|deleg de policia|del policia",
-    "Auditor(a) Fiscal": "aud fiscal|fiscal auditor|fiscal auditora|auditor|auditora",
-    "Analista de Sistemas": "anal sistemas|analista de sist|analista de ti|anal de sistemas",
-    "Assistente Social": "ass social|assist social",
-    "Psicólogo(a)": "psic|psicologo clinico|psicologa clinica",
-    "Motorista Profissional": "motorista|motorista prof|caminhoneiro|caminhoneira|mot profissional",
-    "Técnico(a) Esportivo(a)": "tec esportivo|tec esportiva|treinador|treinadora",
-    "Produtor(a) Cultural": "prod cultural|produtor de cultura|produtora de cultura",
-    "Procurador(a) da Fazenda": "proc fazenda|proc da fazenda|procurador|procuradora",
-    "Consultor(a) Legislativo(a)": "cons legislativo|cons legislativa",
-    "Nutricionista": "nutric|nutricionista escolar",
-    "Geólogo(a)": "geol|geologo de campo|geologa de campo",
+    "Médico(a)": "medico clinico|medica clinica|medico sanitarista|medica sanitarista",
+    "Enfermeiro(a)": "enfa|enfermeiro chefe|enfermeira chefe",
+    "Engenheiro(a) Civil": "enga civil|engenheiro|engenheira|eng|enga",
+    "Economista": "economista chefe|economista senior",
+    "Jornalista": "reporter|jornalista responsavel",
+    "Presidente de Associação": "presidenta de associacao",
+    "Diretor(a) de Sindicato": "dirigente sindical|diretor sindical|diretora sindical",
+    "Agricultor(a) Familiar": "agricultor|agricultora|pequeno agricultor|pequena agricultora",
+    "Empresário(a)": "dono de empresa|dona de empresa",
+    "Estudante": "aluno|aluna|estudante de graduacao",
+    "Líder Comunitário(a)": "lider da comunidade|lideranca comunitaria",
+    "Delegado(a) de Polícia": "delegado|delegada",
+    "Auditor(a) Fiscal": "fiscal auditor|fiscal auditora|auditor|auditora",
+    "Analista de Sistemas": "analista de ti",
+    "Psicólogo(a)": "psicologo clinico|psicologa clinica",
+    "Motorista Profissional": "motorista|caminhoneiro|caminhoneira",
+    "Técnico(a) Esportivo(a)": "treinador|treinadora",
+    "Produtor(a) Cultural": "produtor de cultura|produtora de cultura",
+    "Procurador(a) da Fazenda": "procurador|procuradora",
+    "Nutricionista": "nutricionista escolar",
+    "Geólogo(a)": "geologo de campo|geologa de campo",
 }
 # Other ways to write the affiliation of those without a party.
 CIVIL_FORMS = "sociedade outros|sociedade|outros|sociedade civil|soc civil|soc outros|outros sociedade|sociedade e outros|sociedade civil e outros"
@@ -178,11 +178,31 @@ DETAIL = re.compile(
 CUT = re.compile(r"\s*[/(,;]\s*|\s+[-–—]\s+|\s+(?=d[aeo]s?\s)")
 
 
+def shortened(form: str) -> set[str]:
+    """A form with each of its words whole or cut to its first 3 to 6 letters, and with its particles kept, changed or left out."""
+    done = {""}
+    for w in form.split():
+        if w in ("de", "do", "da", "dos", "das"):
+            ways = {"", "de", "do", "da"} if done != {""} else {w}
+        else:
+            ways = {w, *(w[:n] for n in (3, 4, 5, 6) if n < len(w) - 1)}
+            if w.endswith("s"):
+                ways.add(w[:-1])
+            elif len(w) > 4:
+                ways.add(w + "s")
+        done = {f"{x} {y}".strip() for x in done for y in ways}
+    return done
+
+
 def office_forms(label: str, _: str | None) -> list[str]:
-    """The label in either gender, and what else people call it."""
+    """The label in either gender, its abbreviations, and what else people call it."""
     male, female = re.sub(r"\(a\)", "", label), re.sub(r"(?<=r)\(a\)|(?<=z)\(a\)", "a", label)
     female = re.sub(r"o\(a\)", "a", female)
-    return [plain(x) for x in (male, female)] + OFFICE_FORMS.get(label, "").split("|")
+    own = {plain(x) for x in (male, female)}
+    other = {x for x in SYNONYMS.get(label, "").split("|") if x}
+    # The first word alone, where that is what people say, is abbreviated too.
+    own |= other & {x.split()[0] for x in own}
+    return sorted({y for x in own for y in shortened(x)} | other)
 
 
 def party_forms(label: str, long: str | None) -> list[str]:
@@ -243,46 +263,52 @@ def radius(reading: str) -> int:
     return 0 if len(reading) < 6 else 1 if len(reading) < 16 else 2
 
 
-def choose(trees: Tree, readings: Iterable[str]) -> tuple[int, int, int]:
-    """(entry, distance, rank of the reading) of the best form, or (-1, 99, 99): a reading that is a form first, then the nearest."""
+def first_hit(tree: Tree, readings: Iterable[str]) -> tuple[int, int, int, list[int]] | None:
+    """(0 exact or 1 near, rank of the reading, distance, entries) of the first reading with a form in the tree: exact ones first, then all within the radius."""
     listed = [x for x in dict.fromkeys(readings) if x]
-    for wide in (False, True):
+    for wide in (0, 1):
         for rank, reading in enumerate(listed):
-            found = trees.within(reading, radius(reading) if wide else 0)
+            found = tree.within(reading, radius(reading)) if wide else [(0, reading, tree.nodes[reading])] if reading in tree.nodes else []
             if found:
                 least = min(d for d, _, _ in found)
-                entries = set().union(*(e for d, _, e in found if d == least))
-                if len(entries) == 1:
-                    return entries.pop(), least, rank
-    return -1, 99, 99
-
-
-def match(values: DataFrame, column: str, forms: list[tuple[str, int]], readings: Callable[[str], Iterable[str]], shard: int = SHARD) -> DataFrame:
-    """The entry of each distinct non-blank value: (valor, ref_id)."""
-    distinct = values.select(F.col(column).alias("valor")).where(r"valor is not null and valor rlike '(?U)[^\\s\\x1c-\\x1f]'").distinct()
-    shards = [forms[i : i + shard] for i in range(0, len(forms), shard)] or [[]]
-
-    def search(part: list[tuple[str, int]]) -> DataFrame:
-        held = distinct.sparkSession.sparkContext.broadcast(part)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            tree = Tree(held.value)
-            for pdf in batches:
-                yield pd.DataFrame([(v, *choose(tree, readings(v))) for v in pdf["valor"]], columns=["valor", "ref_id", "d", "rank"])
-
-        return distinct.mapInPandas(run, "valor string, ref_id bigint, d int, rank int")
-
-    found = search(shards[0])
-    if len(shards) > 1:
-        for part in shards[1:]:
-            found = found.unionByName(search(part))
-        # Winners of the shards: the nearest; another entry at the same distance makes it a tie.
-        best = found.groupBy("valor").agg(F.min(F.struct(F.when(F.col("d") == 0, 0).otherwise(1), "rank", "d")).alias("best"), F.collect_set(F.struct("ref_id", "d", "rank")).alias("all"))
-        winners = F.array_distinct(F.transform(F.filter("all", lambda x: (x["d"] == F.col("best.d")) & (x["rank"] == F.col("best.rank"))), lambda x: x["ref_id"]))
-        found = best.select("valor", F.when(F.size(winners) == 1, winners[0]).otherwise(F.lit(-1)).alias("ref_id"))
-    return found.select("valor", "ref_id")
-
-
-def expand(entries: Iterable[tuple[int, str, str | None]], forms: Callable[[str, str | None], list[str]]) -> list[tuple[str, int]]:
-    """(form, entry) of all reference entries; a form that two entries share keeps both and so ties."""
-    return sorted({(f, i) for i, label, long in entries if label for f in forms(label, long) if f})
+                return wide, rank, least, sorted(set().union(*(e for d, _, e in found if d == least)))
+    return None
+
+
+def match(values: DataFrame, column: str, forms: DataFrame, readings: Callable[[str], Iterable[str]], shard: int = SHARD, bucket: int = BUCKET) -> DataFrame:
+    """The entry of each distinct non-blank value: (valor, ref_id); ``forms`` are (forma, ref_id).
+
+    Forms go to shards of about ``shard``, values to buckets of about ``bucket``, both by hash, and every bucket meets
+    every shard in a task of its own, so neither side passes the driver and no task holds either whole. A shard returns
+    all entries at the least distance of its first reading that hits; what ties is decided only over all shards.
+    """
+    spark = values.sparkSession
+    distinct = cut(values.select(F.col(column).alias("valor")).where(r"valor is not null and valor rlike '(?U)[^\\s\\x1c-\\x1f]'").distinct())
+    forms = cut(forms.select("forma", "ref_id").where("forma is not null and ref_id is not null").distinct())
+    shards = max(1, -(-forms.count() // shard))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() // bucket))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = distinct.withColumn("bucket", F.pmod(F.xxhash64("valor"), F.lit(buckets)).cast("int")).withColumn("shard", every(shards))
+    right = forms.withColumn("shard", F.pmod(F.xxhash64("forma"), F.lit(shards)).cast("int")).withColumn("bucket", every(buckets))
+
+    def search(vals: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        tree = Tree(zip(part["forma"], part["ref_id"])) if len(vals) else Tree([])
+        found = [(v, first_hit(tree, readings(v))) for v in vals["valor"]]
+        return pd.DataFrame([(v, *h) for v, h in found if h], columns=["valor", "perto", "vez", "d", "entradas"])
+
+    hits = left.groupBy("shard", "bucket").cogroup(right.groupBy("shard", "bucket")).applyInPandas(search, "valor string, perto int, vez int, d int, entradas array<bigint>")
+    best = hits.groupBy("valor").agg(F.min(F.struct("perto", "vez", "d")).alias("b"), F.collect_list(F.struct("perto", "vez", "d", "entradas")).alias("h"))  # one hit a shard
+    entries = F.array_distinct(F.flatten(F.transform(F.filter("h", lambda x: (x["perto"] == F.col("b.perto")) & (x["vez"] == F.col("b.vez")) & (x["d"] == F.col("b.d"))), lambda x: x["entradas"])))
+    decided = best.select("valor", F.when(F.size(entries) == 1, entries[0]).otherwise(F.lit(-1)).cast("bigint").alias("ref_id"))
+    return distinct.join(decided, "valor", "left").select("valor", F.coalesce("ref_id", F.lit(-1).cast("bigint")).alias("ref_id"))
+
+
+def expand(entries: DataFrame, forms: Callable[[str, str | None], list[str]]) -> DataFrame:
+    """(forma, ref_id) of all reference entries (ref_id, rotulo, descricao), made where they are; a form that two entries share keeps both and so ties."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(f, i) for i, label, long in zip(pdf["ref_id"], pdf["rotulo"], pdf["descricao"]) for f in forms(label, long if isinstance(long, str) else None) if f]
+            yield pd.DataFrame(rows, columns=["forma", "ref_id"])
+
+    return entries.where("ref_id is not null and rotulo is not null").select(F.col("ref_id").cast("bigint").alias("ref_id"), "rotulo", "descricao").mapInPandas(run, "forma string, ref_id bigint").distinct()

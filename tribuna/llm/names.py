@@ -45,7 +45,7 @@ from tribuna.llm.canon import distance, folded
 from tribuna.session import cut
 
 GRAM = 4
-COSINE = 0.4
+COSINE = 0.35
 LINK = 0.27
 #: Slots for hashed n-grams and words: the bound on the table of weights.
 SLOTS = 1 << 20

@@ -52,14 +52,13 @@ def p4_turnos(spark: SparkSession, folder: str) -> DataFrame:
 
 def _canonical(spark: SparkSession, folder: str) -> DataFrame:
     ref = table(spark, folder, "lista_canonica").where("ref_id is not null").select("campo", "ref_id", "rotulo", "descricao").dropDuplicates(["ref_id"])
-    entries = [r for r in ref.toLocalIterator()]
     person = table(spark, folder, "publichearingbr_lds").select(F.col("id").alias("id_audiencia"), F.explode("metadados.envolvidos").alias("e"))
     offices = person.select("id_audiencia", F.col("e.cargo").alias("valor"))
     parties = table(spark, folder, "base_posturas_classificadas").select("id_audiencia", F.col("filiacao_rede").alias("valor"))
     out = None
     for campo, rows, forms, readings in (("cargo", offices, canon.office_forms, canon.office_readings), ("filiacao_rede", parties, canon.party_forms, canon.party_readings)):
         rows = rows.where(r"valor is not null and valor rlike '(?U)[^\\s\\x1c-\\x1f]'").distinct()
-        expanded = canon.expand([(r.ref_id, r.rotulo, r.descricao) for r in entries if r.campo == campo], forms)
+        expanded = canon.expand(ref.where(F.col("campo") == campo), forms)
         part = rows.join(canon.match(rows, "valor", expanded, readings), "valor", "left").select(F.lit(campo).alias("campo"), "id_audiencia", "valor", F.coalesce("ref_id", F.lit(-1)).cast("bigint").alias("ref_id"))
         out = part if out is None else out.unionByName(part)
     return out
