@@ -4,12 +4,13 @@ Items are deduplicated per basket, ordered pairs (a < b) are emitted and counted
 with map-side combine, and lift and PMI follow from the marginals. Two exact
 devices keep hot baskets from exploding:
 
-* *Prefixes.* With a minimum of ``t`` shared baskets, order the baskets of every
-  item from small to large and set the last ``t - 1`` (the largest) aside. Two
-  items that share ``t`` baskets must share one that neither has set aside, so
-  pairs are emitted from the others only; the counts in the baskets set aside
-  are then added for the pairs found, by equi-joins on (item, basket), whose keys
-  are unique. Items in fewer than ``t`` baskets are left out before that.
+* *Prefixes.* Order all baskets from small to large and set the last ``k`` (the
+  largest) of every item aside. Of the ``t`` baskets that two items share, those
+  set aside by either are the last ones, ``k`` at most, so ``t - k`` or more lie
+  in what both have left: pairs are emitted from there only and dropped below
+  that; then the counts in the baskets set aside are added for the pairs that
+  remain, by equi-joins on (item, basket), whose keys are unique. Items in fewer
+  than ``t`` baskets are left out before that.
 * *Blocks.* A basket with more than ``block`` items is cut into blocks by hash,
   and every pair of blocks is a join key of its own.
 
@@ -28,14 +29,17 @@ from tribuna.session import cut
 BLOCK = 256
 
 
-def pairs(df: DataFrame, item: str, basket: str, least: int = 6, block: int = BLOCK) -> DataFrame:
+def pairs(df: DataFrame, item: str, basket: str, least: int = 6, block: int = BLOCK, aside: int | None = None) -> DataFrame:
     """Pairs a < b in at least ``least`` common baskets: a, b, n_ab, n_a, n_b, baskets, lift, pmi.
 
-    Counts are exact over all rows; ``baskets`` counts every basket, also those without a pair.
+    Counts are exact over all rows; ``baskets`` counts every basket, also those without a pair. ``aside``: how many of
+    its largest baskets each item sets aside (by default half of ``least``, at most ``least - 1``); any number gives the
+    same result: more make fewer rows from large baskets, fewer make a sharper bound.
     """
+    aside_ = min(least - 1, least // 2 if aside is None else aside)
     rows = df.select(F.col(item).alias("item"), F.col(basket).alias("basket")).where("item is not null and basket is not null")
     # Baskets by a 128-bit key: their texts would otherwise pass through every shuffle below.
-    key = F.concat_ws(":", F.xxhash64("basket").cast("string"), F.hash("basket").cast("string"))
+    key = F.struct(F.xxhash64("basket").alias("h"), F.xxhash64("basket", F.lit(1)).alias("l"))
     rows = cut(rows.select("item", key.alias("basket")).distinct())
     sizes = rows.groupBy("basket").agg(F.count("*").alias("size"))
     n_baskets = sizes.count()  # one number
@@ -44,7 +48,7 @@ def pairs(df: DataFrame, item: str, basket: str, least: int = 6, block: int = BL
     # The largest baskets of each item. The bound on the rank is applied before the shuffle, so an item
     # in a third of all baskets sends a few rows from each task, not all of them to one.
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("size"), F.desc("basket")))
-    aside = cut(kept.withColumn("rank", rank).where(F.col("rank") < least).select("item", "basket"))
+    aside = cut(kept.withColumn("rank", rank).where(F.col("rank") <= aside_).select("item", "basket"))
     prefix = kept.select("item", "basket", "n").join(aside, ["item", "basket"], "left_anti")
 
     # Emit pairs from the prefixes, blockwise.
@@ -54,8 +58,7 @@ def pairs(df: DataFrame, item: str, basket: str, least: int = 6, block: int = BL
     right = parted.select(F.col("item").alias("b"), F.col("n").alias("n_b"), "basket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("at").alias("j"))
     emitted = left.join(right, ["basket", "i", "j"]).where("a < b")
     counted = emitted.groupBy("a", "b").agg(F.count("*").alias("seen"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    # At most 2 * (least - 1) more can come from the baskets set aside.
-    candidates = cut(counted.where(F.col("seen") + 2 * (least - 1) >= least))
+    candidates = cut(counted.where(F.col("seen") >= least - aside_))
 
     # Add what the pairs share in the baskets that either has set aside.
     from_a = candidates.select("a", "b").join(aside.withColumnRenamed("item", "a"), "a").join(kept.select(F.col("item").alias("b"), "basket"), ["b", "basket"])

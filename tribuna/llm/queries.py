@@ -83,23 +83,23 @@ STANCES = ("A FAVOR", "CONTRA", "NEUTRO")
 FAILURE = "Erro: Falha persistente na API."
 
 
-def _together(spark: SparkSession, folder: str) -> DataFrame:
+def _together(spark: SparkSession, folder: str, least: int) -> DataFrame:
     rows = table(spark, folder, "base_posturas_classificadas").select("nome", "proposicao_alvo", "postura_final")
     name = F.upper(F.trim(F.regexp_replace("nome", r"(?U)[\s\x1c-\x1f]+", " ")))
     valid = rows.where(F.col("postura_final").isin(*STANCES) & F.col("proposicao_alvo").isNotNull() & (F.trim("proposicao_alvo") != FAILURE))
     valid = valid.select(F.nullif(name, F.lit("")).alias("nome"), F.concat_ws("\x1f", "postura_final", "proposicao_alvo").alias("cesta"))
-    return pairs.pairs(valid, "nome", "cesta", least=6)
+    return pairs.pairs(valid, "nome", "cesta", least)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Speakers who stand together in at least 6 baskets and 3 times as often as chance."""
-    found = _together(spark, folder).where("n_ab * baskets >= 3 * n_a * n_b")
+    found = _together(spark, folder, 6).where("n_ab * baskets >= 3 * n_a * n_b")
     return found.select(F.col("a").alias("nome_a"), F.col("b").alias("nome_b"))
 
 
 def p1_medidas(spark: SparkSession, folder: str) -> DataFrame:
-    """All pairs in at least 6 baskets with their counts, lift and PMI."""
-    out = _together(spark, folder).select(F.col("a").alias("nome_a"), F.col("b").alias("nome_b"), "n_ab", "n_a", "n_b", "baskets", "lift", "pmi")
+    """All pairs that stand together more than once, with their counts, lift and PMI."""
+    out = _together(spark, folder, 2).select(F.col("a").alias("nome_a"), F.col("b").alias("nome_b"), "n_ab", "n_a", "n_b", "baskets", "lift", "pmi")
     return out.withColumns({c: F.round(c, 6) for c in ("lift", "pmi")})
 
 
@@ -143,11 +143,11 @@ _TOGETHER = """with m as (
   where nome is not null and trim(regexp_replace(nome, '\\s+', ' ', 'g')) <> '' and postura_final in ('A FAVOR', 'CONTRA', 'NEUTRO')
     and proposicao_alvo is not null and trim(proposicao_alvo) <> 'Erro: Falha persistente na API.'),
 c as (select n, count(*) k from m group by n),
-p as (select x.n nome_a, y.n nome_b, count(*) n_ab from m x join m y on x.b = y.b and x.n < y.n group by all having count(*) >= 6),
+p as (select x.n nome_a, y.n nome_b, count(*) n_ab from m x join m y on x.b = y.b and x.n < y.n group by all having count(*) >= LEAST),
 w as (select p.*, ca.k n_a, cb.k n_b, (select count(distinct b) from m) baskets from p join c ca on ca.n = nome_a join c cb on cb.n = nome_b)
 """
 
 SQL: dict[str, str] = {
-    "p1_found": _TOGETHER + "select nome_a, nome_b from w where n_ab * baskets >= 3 * n_a * n_b",
-    "p1_medidas": _TOGETHER + "select nome_a, nome_b, n_ab, n_a, n_b, baskets, round(n_ab * baskets / (n_a * n_b), 6) lift, round(log2(n_ab * baskets / (n_a * n_b)), 6) pmi from w",
+    "p1_found": _TOGETHER.replace("LEAST", "6") + "select nome_a, nome_b from w where n_ab * baskets >= 3 * n_a * n_b",
+    "p1_medidas": _TOGETHER.replace("LEAST", "2") + "select nome_a, nome_b, n_ab, n_a, n_b, baskets, round(n_ab * baskets / (n_a * n_b), 6) lift, round(log2(n_ab * baskets / (n_a * n_b)), 6) pmi from w",
 }
