@@ -64,3 +64,14 @@ def test_documents(spark):
     whole = encode.Coder(PATH).bpe
     assert got == {i: whole.encode_ordinary(t) if t else [] for i, t, _ in rows}
     assert encode.encode(df.limit(0), "doc_id", "text").collect() == []
+
+
+def test_long_documents_at_the_default_sizes(spark):
+    """Plain, without blanks, one endless word; ids that come twice, with the same text or another, short or long."""
+    long = " ".join(texts(20))
+    rows = [(1, long * (1 + encode.PIECE * 3 // len(long))), (2, "abracadabra" * 4000), (3, "中文字符" * 9000), (4, "x" * (encode.PIECE * 3)), (5, "oi"), (5, "oi"), (6, long * 9 + "a"), (6, long * 9 + "a"), (6, long * 9 + "b"), (5, "outro")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    whole = encode.Coder(PATH).bpe
+    want = sorted((i, whole.encode_ordinary(t)) for i, t in rows)
+    assert sorted((r.key, list(r.ids)) for r in encode.encode(df, "doc_id", "text").collect()) == want
+    assert sorted((r.key, r.tokens) for r in encode.encode(df, "doc_id", "text", lengths=True).collect()) == sorted((i, len(x)) for i, x in want)

@@ -15,14 +15,14 @@ two pieces lies one of two kinds of joint:
   do is the encoding.
 
 Defined results: null and empty texts have an empty list; strings that look like
-special tokens are ordinary text; a document id that comes twice gives two equal
-rows unless the caller makes them distinct; other columns are ignored.
+special tokens are ordinary text; every row gives a row, whatever its length, so an
+id that comes twice gives two, each with the ids of its own text; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,14 +33,14 @@ from pyspark.sql import functions as F
 
 FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
-PIECE = 65536
+PIECE = 8192
 #: Words without white space that are longer than this are encoded as trees of halves.
 WORD = 2048
 #: Tokens on either side of a join that are encoded again at first.
 WINDOW = 8
 #: Fixed value: the public pattern that cuts text into words before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-JOINT = re.compile(r"(?<=\S)(?=\s)")
+JOINT = regex.compile(r"(?<=\S)(?=\s)")
 #: Where the pattern starts a new word whatever stands around: before white space, and behind a run of letters or digits.
 WORD_START = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\p{L}\s])|(?<=\p{N})(?=[^\p{N}\s])")
 
@@ -113,19 +113,21 @@ class Coder:
             a, b = a * (1 if agrees_left else 2), b * (1 if agrees_right else 2)
 
 
-def encode(df: DataFrame, key: str, text: str, folder: str = FOLDER, piece: int = PIECE, word: int = WORD) -> DataFrame:
-    """(key, ids array<int>) for every row of ``df``."""
+def encode(df: DataFrame, key: str, text: str, folder: str = FOLDER, piece: int = PIECE, word: int = WORD, lengths: bool = False) -> DataFrame:
+    """(key, ids array<int>) for every row of ``df``, or (key, tokens bigint) with ``lengths``."""
     path = f"{folder}/{VOCABULARY}"
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = Coder(path, word)
         for pdf in batches:
-            yield pd.DataFrame({"key": pdf["key"], "ids": [coder.text(t) if isinstance(t, str) else [] for t in pdf["text"]]})
+            ids = (coder.text(t) if isinstance(t, str) else [] for t in pdf["text"])
+            yield pd.DataFrame({"key": pdf["key"], **({"tokens": [len(x) for x in ids]} if lengths else {"ids": list(ids)})})
 
     kind = rows.schema["key"].dataType.simpleString()
-    small = rows.where(F.col("text").isNull() | (F.length("text") <= piece)).mapInPandas(run, f"key {kind}, ids array<int>")
-    return small.unionByName(_long(rows.where(F.length("text") > piece), path, kind, piece, word))
+    small = rows.where(F.col("text").isNull() | (F.length("text") <= piece)).mapInPandas(run, f"key {kind}, " + ("tokens bigint" if lengths else "ids array<int>"))
+    long = _long(rows.where(F.length("text") > piece), path, kind, piece, word)
+    return small.unionByName(long.select("key", F.size("ids").cast("bigint").alias("tokens")) if lengths else long)
 
 
 def cut_up(text: str, piece: int) -> Iterator[tuple[str, bool]]:
@@ -167,15 +169,15 @@ def _long(rows: DataFrame, path: str, kind: str, piece: int, word: int) -> DataF
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for key, text in zip(pdf["key"], pdf["text"]):
-                yield pd.DataFrame([(key, n, part, glued) for n, (part, glued) in enumerate(cut_up(text, piece))], columns=["key", "n", "part", "glued"])
+            for key, h, text in zip(pdf["key"], pdf["h"], pdf["text"]):
+                yield pd.DataFrame([(key, h, n, part, glued) for n, (part, glued) in enumerate(cut_up(text, piece))], columns=["key", "h", "n", "part", "glued"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = Coder(path, word)
         for pdf in batches:
             # A part that continues a word, or is continued, is bytes of one word.
             whole = [coder.halves(t.encode()) if w else coder.text(t) for t, w in zip(pdf["part"], pdf["of_word"])]
-            yield pd.DataFrame({"key": pdf["key"], "n": pdf["n"], "glued": pdf["glued"], "ids": whole})
+            yield pd.DataFrame({"key": pdf["key"], "h": pdf["h"], "n": pdf["n"], "copies": pdf["copies"], "glued": pdf["glued"], "ids": whole})
 
     def tree(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         coder, out = Coder(path, word), []
@@ -185,14 +187,15 @@ def _long(rows: DataFrame, path: str, kind: str, piece: int, word: int) -> DataF
                 out += coder.joined(level)
                 level = []
             level.append(list(ids))
-        return pd.DataFrame({"key": [key[0]], "ids": [out + coder.joined(level)]})
-
-    cut = rows.mapInPandas(parts, f"key {kind}, n int, part string, glued boolean")
-    # Equal copies of a row collapse here: their parts are equal.
-    spread = cut.groupBy("key", "n").agg(F.first("part").alias("part"), F.first("glued").alias("glued"))
-    nxt = F.lead("glued").over(Window.partitionBy("key").orderBy("n"))
-    marked = spread.withColumn("of_word", F.col("glued") | F.coalesce(nxt, F.lit(False))).repartition(F.xxhash64("key", "n"))
-    ids = marked.mapInPandas(run, f"key {kind}, n int, glued boolean, ids array<int>")
-    ids = ids.withColumn("trees", F.max("glued").over(Window.partitionBy("key")))
-    plain = ids.where("not trees").groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return plain.unionByName(ids.where("trees").select("key", "n", "glued", "ids").groupBy("key").applyInPandas(tree, f"key {kind}, ids array<int>"))
+        return pd.DataFrame({"key": [key[0]], "copies": [key[2]], "ids": [out + coder.joined(level)]})
+
+    cut = rows.withColumn("h", F.xxhash64("text")).mapInPandas(parts, f"key {kind}, h bigint, n int, part string, glued boolean")
+    # Copies of a row are encoded once and counted; texts that share an id are told apart by their hash.
+    spread = cut.groupBy("key", "h", "n").agg(F.first("part").alias("part"), F.first("glued").alias("glued"), F.count("*").alias("copies"))
+    nxt = F.lead("glued").over(Window.partitionBy("key", "h").orderBy("n"))
+    marked = spread.withColumn("of_word", F.col("glued") | F.coalesce(nxt, F.lit(False))).repartition(F.xxhash64("key", "h", "n"))
+    ids = marked.mapInPandas(run, f"key {kind}, h bigint, n int, copies bigint, glued boolean, ids array<int>")
+    ids = ids.withColumn("trees", F.max("glued").over(Window.partitionBy("key", "h")))
+    plain = ids.where("not trees").groupBy("key", "h", "copies").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"])).alias("ids")).drop("h")
+    trees = ids.where("trees").select("key", "h", "n", "copies", "glued", "ids").groupBy("key", "h", "copies").applyInPandas(tree, f"key {kind}, copies bigint, ids array<int>")
+    return plain.unionByName(trees).select("key", "ids", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).drop("col")

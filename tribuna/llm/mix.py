@@ -7,8 +7,8 @@ weights, until all fit. A source's repetitions are a whole part, used by all its
 documents, and a fraction, taken by documents in a seeded random order until its
 tokens are reached.
 
-Sizes are checkpointed once, so texts are encoded once. Only one number per
-targeted source reaches the driver (the weight table is checked to be small). The
+Sizes are checkpointed once, so texts are encoded once. Only sums over all sources
+reach the driver, a few rounds of them. The
 seeded order is a hash split into buckets: bucket sums say which bucket holds the
 end of the fraction, and only that bucket is ordered, so a source with a third of
 all documents is never sorted in one task.
@@ -22,51 +22,36 @@ an empty mix and a report of the other side; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tribuna.llm.encode import FOLDER, VOCABULARY, Coder
+from tribuna.llm.encode import FOLDER, encode
 from tribuna.session import cut
 
 BUCKETS = 4096
-MOST_SOURCES = 100_000
+#: Sources up to which their table is broadcast.
+FEW = 100_000
 
 
 def sizes(df: DataFrame, key: str, text: str, source: str, folder: str = FOLDER) -> DataFrame:
     """(doc, fonte, tokens), each document once."""
-    path = f"{folder}/{VOCABULARY}"
+    rows = df.select(F.col(key).alias("doc"), F.col(source).alias("fonte"), F.col(text).alias("text")).where("doc is not null")
+    counted = encode(rows, "doc", "text", folder, lengths=True).groupBy(F.col("key").alias("doc")).agg(F.min("tokens").alias("tokens"))
+    return rows.groupBy("doc").agg(F.min("fonte").alias("fonte")).join(counted, "doc").select("doc", "fonte", "tokens")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = Coder(path)
-        for pdf in batches:
-            yield pd.DataFrame({"doc": pdf["doc"], "fonte": pdf["fonte"], "tokens": [len(coder.text(t)) if isinstance(t, str) else 0 for t in pdf["text"]]})
 
-    rows = df.select(F.col(key).alias("doc"), F.col(source).alias("fonte"), F.col(text).alias("text")).where("doc is not null")
-    kind = rows.schema["doc"].dataType.simpleString()
-    counted = rows.mapInPandas(run, f"doc {kind}, fonte string, tokens bigint")
-    return counted.groupBy("doc").agg(F.min(F.struct("fonte", "tokens")).alias("x")).select("doc", "x.fonte", "x.tokens")
-
-
-def fill(weights: dict[str, float], caps: dict[str, float], total: float) -> dict[str, float]:
-    """Tokens of each source: proportional to the weights, clamped at the caps, the excess shared on."""
-    given: dict[str, float] = {}
-    open_ = {s: w for s, w in weights.items() if w > 0}
-    left = total
-    while open_:
-        unit = left / sum(open_.values())
-        full = [s for s, w in open_.items() if w * unit >= caps[s]]
-        if not full:
-            given |= {s: w * unit for s, w in open_.items()}
-            break
-        for s in full:
-            given[s] = caps[s]
-            left -= caps[s]
-            del open_[s]
-        left = max(left, 0.0)
-    return given
+def level(sources: DataFrame, total: float) -> float:
+    """The level of the water: sources (peso, limite) get ``peso * level`` or their limit, whichever is less, and together ``total``, or all their limits if that is not enough.
+
+    Every round clamps the sources that reach their limit and shares what they leave among the others; only sums reach the driver, so the number of sources has no bound.
+    """
+    at, clamped = 0.0, -1
+    while True:
+        full = F.col("peso") * at >= F.col("limite")
+        row = sources.agg(F.sum(F.when(full, F.col("limite"))).alias("used"), F.sum(F.when(~full, F.col("peso"))).alias("open"), F.count_if(full).alias("n")).first()
+        if not row["open"] or row["n"] == clamped:
+            return at
+        at, clamped = max(0.0, total - (row["used"] or 0.0)) / row["open"], row["n"]
 
 
 def mix(sized: DataFrame, targets: DataFrame, source: str, weight: str, most: str, total: float | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -74,26 +59,24 @@ def mix(sized: DataFrame, targets: DataFrame, source: str, weight: str, most: st
 
     ``total``: tokens wanted; by default those of all documents of targeted sources.
     """
-    spark = sized.sparkSession
     sized = cut(sized)
     want = targets.where(F.col(source).isNotNull()).groupBy(F.col(source).alias("fonte")).agg(F.max(F.struct(F.coalesce(weight, F.lit(0.0)).cast("double").alias("w"), F.greatest(F.coalesce(most, F.lit(0)), F.lit(0)).cast("bigint").alias("m"))).alias("x"))
     want = want.select("fonte", F.col("x.w").alias("peso"), F.col("x.m").alias("maximo"))
-    if want.count() > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources with a target")
     have = sized.groupBy("fonte").agg(F.sum("tokens").alias("tem"), F.count("*").alias("documentos"))
-    rows = want.join(have, "fonte", "left").collect()
-    weights = {r.fonte: r.peso for r in rows if r.peso > 0 and r.tem}
-    held = {r.fonte: r.tem for r in rows if r.tem}
-    caps = {r.fonte: float(r.tem * r.maximo) for r in rows if r.tem}
+    sources = cut(want.join(have, "fonte").where("peso > 0 and tem > 0").select("fonte", "peso", "tem", (F.col("tem") * F.col("maximo")).cast("double").alias("limite")))
+    whole = sources.agg(F.sum("tem").alias("tem"), F.sum("peso").alias("peso"), F.count("*").alias("n")).first()
     # Without a total in mind: as much as there is of the targeted sources.
-    total = float(sum(held[s] for s in weights)) if total is None else float(total)
-    given = fill(weights, caps, total)
-    kept = sum(weights.values()) or 1.0
-    plan = [(s, int(t // held[s]), t - (t // held[s]) * held[s], t >= caps[s] and t < weights[s] / kept * total) for s, t in given.items()]
-    plan = spark.createDataFrame(plan, "fonte string, inteiras bigint, resto double, falta boolean")
+    total = float(whole["tem"] or 0) if total is None else float(total)
+    at = level(sources, total)
+    given = F.least(F.col("peso") * at, F.col("limite"))
+    times = F.floor(given / F.col("tem"))
+    short = (given >= F.col("limite")) & (given < F.col("peso") / (whole["peso"] or 1.0) * total)
+    # One row a source: broadcast while there are few, joined by sorting beyond.
+    small = F.broadcast if whole["n"] <= FEW else (lambda x: x)
+    plan = cut(sources.select("fonte", times.cast("bigint").alias("inteiras"), (given - times * F.col("tem")).alias("resto"), short.alias("falta")))
 
     bucket = F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(BUCKETS))
-    docs = sized.join(F.broadcast(plan.drop("falta")), "fonte").withColumn("bucket", bucket)
+    docs = sized.join(small(plan.drop("falta")), "fonte").withColumn("bucket", bucket)
     sums = docs.groupBy("fonte", "bucket", "resto").agg(F.sum("tokens").alias("t"))
     upto = F.sum("t").over(Window.partitionBy("fonte").orderBy("bucket"))
     edges = sums.withColumn("antes", upto - F.col("t")).select("fonte", "bucket", "antes", (upto <= F.col("resto")).alias("inside"), (upto > F.col("resto")) & (F.col("antes") < F.col("resto")))
@@ -111,7 +94,7 @@ def mix(sized: DataFrame, targets: DataFrame, source: str, weight: str, most: st
 
     reached = mixed.groupBy("fonte").agg(F.sum(F.col("tokens") * F.col("copias")).alias("usados"))
     all_ = want.join(have, want.fonte.eqNullSafe(have.fonte), "full").select(F.coalesce(want.fonte, have.fonte).alias("fonte"), "peso", "maximo", F.coalesce("tem", F.lit(0)).alias("tem"), F.coalesce("documentos", F.lit(0)).alias("documentos"))
-    report = all_.join(reached, "fonte", "left").join(F.broadcast(plan.select("fonte", "falta")), "fonte", "left").withColumn("usados", F.coalesce("usados", F.lit(0)))
+    report = all_.join(reached, "fonte", "left").join(plan.select("fonte", "falta"), "fonte", "left").withColumn("usados", F.coalesce("usados", F.lit(0)))
     # One row a source, so the total over all of them is a window of that size.
     report = report.withColumn("todos", F.sum("usados").over(Window.partitionBy(F.lit(0))))
     share = F.coalesce(F.col("usados") / F.nullif(F.col("todos"), F.lit(0)), F.lit(0.0))

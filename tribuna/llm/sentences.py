@@ -9,16 +9,20 @@ The boundary rules are compiled into two layers:
    sentences), ``S`` (inside one) and one state for each kind of quotation or
    bracket that is open, so nothing inside a quotation ends the sentence.
 
+A quotation or bracket is open only if its closing mark stands anywhere behind it.
+
 Because the classes do not depend on the state, a chunk of a long document *is*
 a function from states to states. Long documents are therefore cut into chunks
 that are lexed in parallel; their functions are composed by a parallel prefix
 scan (within blocks, across block totals, back into blocks); and each chunk then
-emits its starts and ends from the state that reaches it.
+emits its starts and ends from the state that reaches it. A chunk ends inside
+running text only, where no mark reaches over and no look-around passes, and knows
+which closing marks stand behind it, so chunks of any size give the same units.
 
 Defined results: null and blank texts have no sentences; all non-blank text
 belongs to exactly one unit; offsets are code points from 0, the end exclusive;
-identical copies of a row count once (the first by key wins if they differ);
-columns other than the key and the text are ignored.
+identical copies of a row count once; a key with different texts has the units of
+each; columns other than the key and the text are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +34,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 16384
-#: Characters of context on either side of a chunk; all look-around stays below it.
-CONTEXT = 1024
+from tribuna.session import cut
+
+CHUNK = 4096
+#: Characters of context before a chunk: more than any mark that can reach over its start, or any look-behind.
+CONTEXT = 128
 #: Chunks in a block of the scan.
 BLOCK = 256
 
@@ -58,7 +64,6 @@ for _o, _c in PAIRS.items():
 CLOSED_BY['"'] = [KINDS['"']]
 B, S, Q = 0, 1, 2
 N_STATES = Q + len(KINDS)
-REACH = 600
 
 UPPER = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĪİŁŃŇŐŒŘŚŞŠŤŪŮŰŹŻŽΆ-ΫА-ЯЁЂ-Џ"
 TIME = r"[\[(<]\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?[\])>]"
@@ -165,14 +170,15 @@ def after_close(text: str, at: int) -> bool:
     return begins(text, after) in "U$dc" and not (near and near.isalnum())
 
 
-def lex(text: str, lines: bool = False) -> list[tuple[int, int, int, int]]:
-    """Tokens as (class, start, end, end of the unit if it ends here).
+def lex(text: str, lines: bool = False, later: str = "") -> list[tuple[int, int, int, int]]:
+    """Tokens as (class, start, end, end of the unit if it ends here); ``later``: closing marks that stand behind the text.
 
     Classes: 0 word, 1 terminator that ends, 2 note or time mark, 3 the same where it splits even an unfinished
     sentence, 4 line break that ends, 10+k opener of kind k, 50+k closer of kind k, 100+k closer that also ends the
     sentence, 150+k the same right behind a terminator that ends.
     """
     out, at, n, covered = [], 0, len(text), 0
+    closed: dict[str, int] = {}  # where each closing mark stands last
     for c in CANDIDATE.finditer(text):
         a = c.start()
         m = TOKEN.match(text, a) if a >= at else None
@@ -198,7 +204,10 @@ def lex(text: str, lines: bool = False) -> list[tuple[int, int, int, int]]:
             if lines and begins(text, b) in "U$c":
                 out.append((4, a, b, a))
         elif kind == "open" or kind == "plain" and (a == 0 or text[a - 1].isspace() or text[a - 1] in "([“«") and b < n and not text[b].isspace():
-            known = text.find(PAIRS.get(text[a], '"'), b, b + REACH) >= 0
+            mark = PAIRS.get(text[a], '"')
+            if mark not in closed:
+                closed[mark] = n if mark in later else text.rfind(mark)
+            known = closed[mark] >= b
             out.append((10 + KINDS[text[a]] if known else 0, a, b, b))
         else:
             kinds = CLOSED_BY.get(text[a])
@@ -303,30 +312,57 @@ def units(text: str | None, lines: bool = False) -> list[tuple[int, int]]:
 # -- long documents -------------------------------------------------------------------
 
 
-def clip(window: str, left: int, size: int, lines: bool) -> list[tuple[int, int, int, int]]:
-    """Tokens that begin in window[left:left+size], with word runs that reach in from the left cut there."""
+def clip(window: str, left: int, lines: bool, later: str) -> list[tuple[int, int, int, int]]:
+    """Tokens of a window from ``left`` on, with word runs that reach in from before cut there."""
     out = []
-    for cls, a, b, stop in trimmed(window, lex(window, lines)):
+    for cls, a, b, stop in trimmed(window, lex(window, lines, later)):
         if cls == 0 and a < left < b:
             word = NONBLANK.search(window, left, b)
             if not word:
                 continue
             a = word.start()
-        if cls == 0 and a < left + size < b:
-            b = left + size
-            while b > a and not NONBLANK.match(window, b - 1, b):
-                b -= 1
-        if left <= a < left + size:
+        if a >= left:
             out.append((cls, a, b, stop))
     return out
 
 
+#: What can stand in front of a chunk's end within the reach of a mark that could reach over it.
+REACHING = re.compile(r"[\[(（*]")
+
+
+def seams(text: str, size: int) -> list[int]:
+    """Where chunks begin: at least ``size`` characters apart, behind a letter and before a letter or blank, with no mark open around."""
+    out, at = [0], size
+    while at < len(text):
+        if text[at - 1].isalpha() and (text[at].isalpha() or text[at].isspace()):
+            marks = [m.start() for m in REACHING.finditer(text, max(0, at - CONTEXT + 16), at)]
+            if not marks:
+                out.append(at)
+                at += size
+                continue
+            at = marks[-1] + CONTEXT - 16
+        at += 1
+    return out
+
+
+def chunks(text: str, size: int) -> Iterator[tuple[int, str, int, str]]:
+    """(begin, window, characters of it before the chunk, closing marks behind it) of every chunk."""
+    starts = seams(text, size)
+    last = {m: text.rfind(m) for m in {*PAIRS.values(), '"'}}
+    for a, b in zip(starts, [*starts[1:], len(text)]):
+        first = max(0, a - CONTEXT)
+        yield a, text[first:b], a - first, "".join(sorted(m for m, at in last.items() if at >= b))
+
+
 def _windows(df: DataFrame, size: int) -> DataFrame:
-    """One row a chunk: key, k, window of text, characters of it before the chunk."""
-    k = F.explode(F.sequence(F.lit(0), ((F.length("text") - 1) / size).cast("int")))
-    rows = df.select("key", "text", k.alias("k"))
-    first = F.greatest(F.col("k") * size - CONTEXT, F.lit(0))
-    return rows.select("key", "k", F.substring(F.col("text"), first + 1, F.lit(size + CONTEXT) + F.col("k") * size - first).alias("window"), (F.col("k") * size - first).cast("int").alias("left"))
+    """One row a chunk: key, k, window of text, characters of it before the chunk, where the window begins, closing marks behind."""
+
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(key, k, w, x, a - x, later) for key, text in zip(pdf["key"], pdf["text"]) for k, (a, w, x, later) in enumerate(chunks(text, size))]
+            yield pd.DataFrame(rows, columns=["key", "k", "window", "left", "shift", "later"])
+
+    return df.mapInPandas(cut_up, "key string, k int, window string, left int, shift bigint, later string")
 
 
 def _scan(functions: DataFrame, block: int) -> DataFrame:
@@ -361,20 +397,20 @@ def _scan(functions: DataFrame, block: int) -> DataFrame:
 def _long(df: DataFrame, size: int, block: int, lines: bool) -> DataFrame:
     def lexed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf["f"] = [compose(clip(w, x, size, lines)) for w, x in zip(pdf["window"], pdf["left"])]
+            pdf["f"] = [compose(clip(w, x, lines, m)) for w, x, m in zip(pdf["window"], pdf["left"], pdf["later"])]
             yield pdf[["key", "k", "f"]]
 
     def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for key, k, window, left, state in zip(pdf["key"], pdf["k"], pdf["window"], pdf["left"], pdf["state"]):
-                tokens, shift = clip(window, left, size, lines), k * size - left
+            for key, k, window, left, shift, later, state in zip(*(pdf[c] for c in ("key", "k", "window", "left", "shift", "later", "state"))):
+                tokens = clip(window, left, lines, later)
                 starts, stops, _ = emit(tokens, int(state))
                 last = max((t[2] for t in tokens if t[0] != 4), default=-1)
                 rows.append((key, k, [x + shift for x in starts], [x + shift if x >= 0 else -1 for x in stops], last + shift if last >= 0 else -1))
             yield pd.DataFrame(rows, columns=["key", "k", "starts", "stops", "last"])
 
-    windows = _windows(df, size)
+    windows = cut(_windows(df, size))
     states = _scan(windows.mapInPandas(lexed, "key string, k int, f array<int>"), block)
     events = windows.join(states, ["key", "k"]).mapInPandas(emitted, "key string, k int, starts array<bigint>, stops array<bigint>, last bigint")
     # An end may need the last word of an earlier chunk; a unit may end in a later chunk than it starts in.
@@ -403,5 +439,8 @@ def sentences(df: DataFrame, key: str, text: str, chunk: int = CHUNK, block: int
             found = [(k, a, b) for k, t in zip(pdf["key"], pdf["text"]) for a, b in units(t, lines)]
             yield pd.DataFrame(found, columns=["key", "inicio", "fim"])
 
-    small = rows.where(F.length("text") <= chunk).mapInPandas(short, "key string, inicio bigint, fim bigint").distinct()
-    return small.unionByName(_long(rows.where(F.length("text") > chunk).groupBy("key").agg(F.min("text").alias("text")), chunk, block, lines))
+    small = rows.where(F.length("text") <= chunk).mapInPandas(short, "key string, inicio bigint, fim bigint")
+    # Copies of a long text are told by its hash, and differing texts under one key kept apart by it.
+    long = rows.where(F.length("text") > chunk).groupBy(F.concat(F.xxhash64("text").cast("string"), F.lit(":"), F.col("key")).alias("key")).agg(F.first("text").alias("text"))
+    found = _long(long, chunk, block, lines).withColumn("key", F.regexp_replace("key", "^[^:]*:", ""))
+    return small.unionByName(found).distinct()
