@@ -44,8 +44,11 @@ class Boundaries:
         self.lines = [a for a in starts if "\n" in text[text.rfind("\n", 0, a) : a] and not text[text.rfind("\n", 0, a) : a].strip()]
         self.sentences = starts
 
-    def longest(self) -> int:
-        return max((b - a for a, b in self.spans), default=0)
+    def around(self, cut: int) -> int:
+        """Length of the sentence that a cut falls inside, 0 at a boundary."""
+        i = bisect_left(self.spans, (cut,)) - 1
+        a, b = self.spans[i] if i >= 0 else (0, 0)
+        return b - a if a < cut < b else 0
 
     def best(self, low: int, high: int, target: int) -> tuple[int, int]:
         """The strongest cut in [low, high], the nearest to the target among equals, and its strength."""
@@ -69,11 +72,11 @@ def begin(text: str, cut: int, overlap: int, floor: int) -> int:
     return m.end() if m and m.end() < cut else at
 
 
-def plan(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[tuple[int, int, int, int]], int]:
-    """Pieces as (begin with overlap, begin of what is new, end, strength of the cut that opens it), and the longest sentence."""
+def plan(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int, int]]:
+    """Pieces as (begin with overlap, begin of what is new, end, strength of the cut that opens it, length of the sentence that this cut falls inside)."""
     size = len(text)
     if size <= limit:
-        return [(0, 0, size, 4)], size
+        return [(0, 0, size, 4, 0)]
     marks = Boundaries(text)
     overlap = min(overlap, limit // 2)
     n = 1 + math.ceil((size - limit) / (limit - overlap))
@@ -83,39 +86,38 @@ def plan(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[tu
         for i in range(1, n):
             target = round(share + (i - 1) * (share - overlap))
             # The rest must still fit into the pieces that are left.
-            low = max(new + 1, size - (n - i) * (limit - overlap), target - limit // 4)
-            high = min(start + limit, size - (n - i), target + limit // 4)
-            if low > high:
-                low, high = max(new + 1, size - (n - i) * (limit - overlap)), min(start + limit, size - (n - i))
+            low, high = max(new + 1, size - (n - i) * (limit - overlap)), min(start + limit, size - (n - i))
             if low > high:
                 break
-            cut, kind = marks.best(low, high, target)
-            pieces.append((start, new, cut, strength))
+            a, b = max(low, target - limit // 4), min(high, target + limit // 4)
+            cut, kind = marks.best(a, b, target) if a <= b else (0, 0)
+            if not kind:  # nothing near the target: anything natural the limits allow
+                cut, kind = marks.best(low, high, target)
+            pieces.append((start, new, cut, strength, marks.around(new)))
             start, new, strength = begin(text, cut, overlap, new), cut, kind
         else:
             if size - start <= limit:
-                pieces.append((start, new, size, strength))
-                return pieces, marks.longest()
+                pieces.append((start, new, size, strength, marks.around(new)))
+                return pieces
         n += 1
 
 
 def pieces(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, with_text: bool = True) -> DataFrame:
-    """Pieces of ``df[text]``: key, ordem, inicio (with the overlap), novo (without), fim, corte, maior_frase and, if wanted, texto."""
-    names = ["key", "ordem", "inicio", "novo", "fim", "corte", "maior_frase", "texto"]
+    """Pieces of ``df[text]``: key, ordem, inicio (with the overlap), novo (without), fim, corte, frase (length of the sentence that the cut is inside, 0 at a boundary) and, if wanted, texto."""
+    names = ["key", "ordem", "inicio", "novo", "fim", "corte", "frase", "texto"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for key, text in zip(pdf["key"], pdf["text"]):
-                cuts, longest = plan(text, limit, overlap)
-                rows += [(key, i, a, new, b, NAMES[s], longest, text[a:b] if with_text else None) for i, (a, new, b, s) in enumerate(cuts)]
+                rows += [(key, i, a, new, b, NAMES[s], inside, text[a:b] if with_text else None) for i, (a, new, b, s, inside) in enumerate(plan(text, limit, overlap))]
             yield pd.DataFrame(rows, columns=names)
 
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where(r"key is not null and text is not null and text rlike '(?U)[^\\s\\x1c-\\x1f]'")
-    return rows.mapInPandas(run, "key string, ordem bigint, inicio bigint, novo bigint, fim bigint, corte string, maior_frase bigint, texto string")
+    return rows.mapInPandas(run, "key string, ordem bigint, inicio bigint, novo bigint, fim bigint, corte string, frase bigint, texto string")
 
 
 def unavoidable(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """Keys of the texts in which a single sentence exceeds the limit, from the plans of cuts."""
-    # A text within the limit has no such sentence; the filter only spares its trip to Python.
-    return pieces(df.where(F.length(text) > limit), key, text, limit, overlap, with_text=False).where((F.col("maior_frase") > limit) & (F.col("ordem") == 0)).select("key").distinct()
+    """Keys of the texts whose plan cuts a sentence that no piece could hold: such a sentence is cut by every plan."""
+    # A text within the limit has no cut; the filter only spares its trip to Python.
+    return pieces(df.where(F.length(text) > limit), key, text, limit, overlap, with_text=False).where(F.col("frase") > limit).select("key").distinct()
