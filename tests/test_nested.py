@@ -43,6 +43,28 @@ def test_parents(spark):
     assert by["0.0"].variante == "fala(replicas:lista,texto:texto)" and by["0.0.0"].tabela == "replica"
 
 
+def test_states_route(spark):
+    """Table, subtype and typed columns follow from the state."""
+    people = [{"nome": "a", "filiacao": {"partido": "P", "uf": "SP", "historico": [{"partido": "Q", "ano": 2001}, "x"]}, "opinioes": [{"texto": "t", "trecho": {"inicio": 1, "fim": 5}}, "solta", {"conteudo": "c"}, 7]}, "nome só", {"nome": "b"}]
+    meta = {"assunto": "s", "envolvidos": people, "origem": {"comissao": {"sigla": "CE", "membros": ["m"]}}}
+    f = flat(spark, json.dumps({"id": 3, "metadados": meta}))
+    assert {(r.tabela, r.subtipo, r.caminho) for r in f.collect()} == {
+        ("audiencia", "proveniente", ""), ("participante", "filiada", "0"), ("participante", "nome_solto", "1"), ("participante", "nomeado", "2"),
+        ("opiniao", "recorte", "0.0"), ("opiniao", "texto_solto", "0.1"), ("opiniao", "fala", "0.2"), ("vinculo", "vinculo", "0/0"),
+    }
+    assert tuple(nested.subtype(f, "opiniao", "recorte").first()) == ("0", "0.0", "0", 0, "t", 1, 5)
+    assert tuple(nested.subtype(f, "vinculo", "vinculo").first()) == ("0", "0/0", "0", 0, "Q", 2001)
+    assert tuple(nested.subtype(f, "participante", "filiada").first()) == ("0", "0", "", 0, "a", None, "P", "SP")
+    assert tuple(nested.subtype(f, "audiencia", "proveniente").first()) == ("0", "", None, 0, "3", "s", "CE")
+
+
+def test_typed_states(spark):
+    df = spark.createDataFrame([("h", ("a", [("n", None, ["x", None])])), ("e", None)], "id string, m struct<assunto: string, envolvidos: array<struct<nome: string, cargo: string, opinioes: array<string>>>>")
+    got = {(r.tabela, r.subtipo, r.variante, r.caminho) for r in nested.flatten_typed(df, "id", "m").collect()}
+    raw = {(r.tabela, r.subtipo, r.variante, r.caminho) for r in flat(spark, json.dumps({"metadados": {"assunto": "a", "envolvidos": [{"nome": "n", "cargo": None, "opinioes": ["x", None]}]}}), json.dumps({"metadados": None})).collect()}
+    assert got == raw and ("participante", "pessoa", "pessoa(cargo:nulo,nome:texto,opinioes:lista)", "0") in got
+
+
 def test_depth(spark):
     x = {"texto": "fundo"}
     for _ in range(150):
