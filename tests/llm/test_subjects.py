@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
+import numpy as np
+
 from tribuna.llm import subjects
 
 TOPICS = {"saude": ["a fila de transplantes", "o leito de internação", "a vacinação infantil"], "esporte": ["o futebol feminino", "a pista de atletismo", "o torneio juvenil"], "energia": ["a usina eólica", "o painel solar", "o poço de petróleo"]}
@@ -25,7 +28,8 @@ def test_held_out(spark):
     r = random.Random(3)
     noisy = [(subjects.parts(t), a if r.random() > 0.1 else {r.choice(sorted(TOPICS))}, "s", "k") for _, t, a in train if a]
     model = subjects.fit(sorted(TOPICS), noisy)
-    right = sum(set(model.areas_of(subjects.parts(t), "s", "k")) == a for _, t, a in held)
+    found = model.areas_of([subjects.parts(t) for _, t, _ in held], ["s"] * len(held), ["k"] * len(held))
+    right = sum(set(got) == a for got, (_, _, a) in zip(found, held))
     assert right >= 0.97 * len(held)
 
 
@@ -49,3 +53,18 @@ def test_tables(spark):
     assert not {900, 901, 902} & set(got)
     for a, b in ((d.limit(0), labels), (d, labels.limit(0))):
         assert subjects.subject_areas(a, b, ref).collect() == []
+
+
+def test_beam_like_all_combinations():
+    """With a beam as wide as all combinations, the decoded one is the most probable."""
+    r = np.random.default_rng(4)
+    m, k = 3, 4
+    model = subjects.Model(["a", "b", "c"], chain=r.normal(size=(m, k + m)), calibration=np.stack([np.ones(m), r.normal(size=m)], axis=1))
+    x = r.normal(size=(40, m, k))
+    for got, xi in zip(model.decode(x), x):
+
+        def logp(y, xi=xi):
+            z = [model.chain[j, :k] @ xi[j] + model.calibration[j, 1] + sum(model.chain[j, k + i] * y[i] for i in range(j)) for j in range(m)]
+            return sum(-np.log1p(np.exp(-v if on else v)) for v, on in zip(z, y))
+
+        assert tuple(got) == max(itertools.product((0, 1), repeat=m), key=logp)

@@ -11,9 +11,8 @@
    and type of text carry the area, how many sentences there are, and the decisions
    for the areas before it, so that areas that go together or exclude each other are
    modelled. Its probabilities are calibrated on the part of the labels that was not
-   trained on. A beam search decodes the most probable combination.
-3. *Exact check.* Of the decoded areas those stay that the share rule admits (a share
-   of at least ``SHARE`` of the sentences that have an area).
+   trained on. A beam search decodes the most probable combination, which is the
+   result.
 
 The classifier is fitted on at most ``LABELLED`` labelled documents (those with the
 least hash; a documented bound that keeps the fit in one task). Everything else sees
@@ -28,7 +27,6 @@ sentence split it evenly.
 from __future__ import annotations
 
 import html
-import math
 import re
 import unicodedata
 import zlib
@@ -133,59 +131,53 @@ class Model:
         np.add.at(said, owner, self.weights[at[known]])
         return said
 
-    def shares(self, sentences: list[np.ndarray]) -> tuple[np.ndarray, float]:
-        """Share of each area among the sentences that have one, and their number.
+    def shares(self, docs: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Share of each area among the sentences of each document that have one (documents by areas), and their number.
 
         A sentence counts for its best area, split among ties, and for none where nothing stands out.
         """
-        said = self.scores(sentences)
-        if not said.size:
-            return np.zeros(len(self.areas)), 0.0
-        best = said.max(axis=1, keepdims=True)
-        top = (said >= best - 1e-9) & (best >= THRESHOLD)
-        p = (top / np.maximum(top.sum(axis=1, keepdims=True), 1)).sum(axis=0)
-        n = float(p.sum())
-        return (p / n if n else p), n
+        said = self.scores([s for d in docs for s in d])
+        p = np.zeros((len(docs), len(self.areas)))
+        if said.size:
+            best = said.max(axis=1, keepdims=True)
+            top = (said >= best - 1e-9) & (best >= THRESHOLD)
+            np.add.at(p, np.repeat(np.arange(len(docs)), [len(d) for d in docs]), top / np.maximum(top.sum(axis=1, keepdims=True), 1))
+        n = p.sum(axis=1)
+        return p / np.where(n > 0, n, 1)[:, None], n
 
     # -- documents --
 
-    def features(self, sentences: list[np.ndarray], source: str | None, kind: str | None) -> tuple[np.ndarray, np.ndarray]:
-        share, n = self.shares(sentences)
-        prior = self.sources.get(source or "", self.base) - self.base
-        form = self.kinds.get(kind or "", self.base) - self.base
-        size = np.full(len(self.areas), math.log1p(n))
-        return np.stack([np.ones(len(self.areas)), share, (share >= SHARE - 1e-9).astype(float), np.clip((share - SHARE) * 6, -1, 1), prior, form, size, np.full(len(self.areas), float(n > 0))], axis=1), share
+    def features(self, docs: list[list[np.ndarray]], sources: list[str | None], kinds: list[str | None]) -> np.ndarray:
+        """What the chain reads: documents by areas by features."""
+        share, n = self.shares(docs)
+        prior = np.array([self.sources.get(s or "", self.base) for s in sources]).reshape(share.shape) - self.base
+        form = np.array([self.kinds.get(k or "", self.base) for k in kinds]).reshape(share.shape) - self.base
+        size, some = (np.repeat(x[:, None], len(self.areas), axis=1) for x in (np.log1p(n), (n > 0).astype(float)))
+        return np.stack([np.ones(share.shape), share, (share >= SHARE - 1e-9).astype(float), np.clip((share - SHARE) * 6, -1, 1), np.clip((share - SHARE) * 60, -1, 1), prior, form, size, some], axis=2)
 
     def decode(self, x: np.ndarray) -> np.ndarray:
-        """The most probable combination of areas, by beam search along the chain.
-
-        The beam keeps the ``BEAM`` best beginnings, and of those the ones within a factor of 200 of the best.
-        """
-        m, k = len(self.areas), x.shape[1]
-        own = (self.calibration[:, 0] * (self.chain[:, :k] * x).sum(axis=1) + self.calibration[:, 1]).tolist()
-        after = (self.calibration[:, :1] * self.chain[:, k:]).tolist()
-        beam: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
+        """The most probable combination of areas of each document, by beam search along the chain: the ``BEAM`` best beginnings are kept."""
+        n, m, k = x.shape
+        own = self.calibration[:, 0] * np.einsum("nmk,mk->nm", x, self.chain[:, :k]) + self.calibration[:, 1]
+        after = self.calibration[:, :1] * self.chain[:, k:]
+        logp, on = np.zeros((n, 1)), np.zeros((n, 1, m))
         for j in range(m):
-            grown = []
-            for logp, on in beam:
-                z = own[j]
-                for i in on:
-                    z += after[j][i]
-                p = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-                if p > 1e-12:
-                    grown.append((logp + math.log(p), (*on, j)))
-                if p < 1 - 1e-12:
-                    grown.append((logp + math.log(1 - p), on))
-            least = max(grown)[0] - 5.3
-            beam = sorted((g for g in grown if g[0] > least), reverse=True)[:BEAM]
-        return np.isin(np.arange(m), beam[0][1]).astype(float)
-
-    def areas_of(self, sentences: list[np.ndarray], source: str | None = None, kind: str | None = None) -> list[str]:
-        if not len(self.slots):
-            return []
-        x, share = self.features(sentences, source, kind)
-        y = self.decode(x)
-        return [a for a, on, s in zip(self.areas, y, share) if on and s >= SHARE - 1e-9]
+            z = np.clip(own[:, j, None] + on @ after[j], -30, 30)
+            yes, no = on.copy(), on
+            yes[:, :, j] = 1
+            logp = np.concatenate([logp - np.log1p(np.exp(-z)), logp - np.log1p(np.exp(z))], axis=1)
+            on = np.concatenate([yes, no], axis=1)
+            best = np.argsort(-logp, axis=1, kind="stable")[:, :BEAM]
+            logp, on = np.take_along_axis(logp, best, 1), np.take_along_axis(on, best[:, :, None], 1)
+        return on[:, 0]
+
+    def areas_of(self, docs: list[list[np.ndarray]], sources: list[str | None], kinds: list[str | None]) -> list[list[str]]:
+        """The decoded areas of each document; one without any sentence about an area has none."""
+        if not len(self.slots) or not docs:
+            return [[] for _ in docs]
+        x = self.features(docs, sources, kinds)
+        y = self.decode(x) * x[:, :, -1]
+        return [[self.areas[j] for j in np.flatnonzero(r)] for r in y]
 
 
 THRESHOLD = 1.0
@@ -267,7 +259,7 @@ def fit(areas: list[str], docs: list[tuple[list[np.ndarray], set[str], str | Non
         for value in {d[k] for d in docs if d[k]}:
             rows = label[[i for i, d in enumerate(docs) if d[k] == value]]
             table[value] = (rows.sum(axis=0) + 20 * model.base) / (len(rows) + 20)
-    x = np.stack([model.features(d[0], d[2], d[3])[0] for d in docs])  # documents, areas, features
+    x = model.features([d[0] for d in docs], [d[2] for d in docs], [d[3] for d in docs])
     held = np.arange(len(docs)) % 5 == 4
     k = x.shape[2]
     model.chain, model.calibration = np.zeros((m, k + m)), np.tile([1.0, 0.0], (m, 1))
@@ -307,8 +299,8 @@ def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, key
 
         model = pickle.loads(held.value) if held.value else Model([])  # noqa: S301
         for pdf in batches:
-            found = [(i, a) for i, t, s, k in zip(pdf["key"], pdf["text"], pdf["source"], pdf["kind"]) for a in model.areas_of(parts(t), s, k)]
-            yield pd.DataFrame(found, columns=["key", "area"])
+            found = model.areas_of([parts(t) for t in pdf["text"]], pdf["source"].tolist(), pdf["kind"].tolist())
+            yield pd.DataFrame([(i, a) for i, areas_ in zip(pdf["key"], found) for a in areas_], columns=["key", "area"])
 
     type_ = rows.schema["key"].dataType.simpleString()
     return rows.mapInPandas(classify, f"key {type_}, area string").distinct()
