@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import http.server
 import itertools
+import json
 import random
+import threading
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tribuna import schema
-from tribuna.operators import flatten, graph, inference, stats, topics, turns
+from tribuna.operators import flatten, graph, inference, rows, stats, topics, turns
+from tribuna.sources import chat
 from tribuna.sources import hearings as sources
 from tribuna.streaming import hearings as streaming
 
@@ -108,7 +112,7 @@ def test_edge_classes(spark, c, d, n, kind, value):
 
 def test_crosstab_of_nothing(spark):
     out = stats.crosstab(stances(spark, [("p", "A", None, "X")]), "filiacao_rede", "postura_final")
-    assert [tuple(r) for r in out.collect()] in ([], [("TOTAL_GERAL", 0, 0, 0, 0, 0)])
+    assert [tuple(r) for r in out.collect()] in ([], [("TOTAL_GERAL", 0)])
 
 
 def test_mining_retries_and_sentinel():
@@ -124,7 +128,7 @@ def test_stance_failure_is_flagged(spark):
     pairs = spark.createDataFrame([("h", "o1", "p"), ("h", "o1", "p"), ("h", "o2", None)], "id_audiencia string, opiniao_limpa string, proposicao_alvo string")
 
     def model(prompt):
-        if "o2" in prompt:
+        if "o2" in prompt[1]:
             raise TimeoutError
         return "contra"
 
@@ -159,6 +163,63 @@ def test_dashboard(spark, tmp_path):
     assert "#CC0000" in page and "Aliados" in page and "A</script>" not in page
 
 
+def test_large_dashboard(spark, tmp_path):
+    """The page shows the widest edges, the rest is written whole."""
+    df = stances(spark, [("p", n, "A FAVOR", "PT") for n in "ABC"] + [("q", n, "CONTRA", "PT") for n in "AB"])
+    points, lines = graph.nodes(df, "linha_id"), graph.classify(graph.edges(df))
+    assert sources.write_dashboard(points, lines, str(tmp_path / "g.html"), most=1) == (2, 1)
+    assert spark.read.json(str(tmp_path / "g.html.data/edges")).count() == 3 and spark.read.json(str(tmp_path / "g.html.data/nodes")).count() == 3
+
+
+def test_dense_ids_and_zip(spark):
+    df = spark.createDataFrame([(i,) for i in (5, 3, 9, 3)], "k bigint")
+    assert [(r.k, r.linha) for r in rows.dense_id(df.repartition(3), ["k"]).orderBy("linha").collect()] == [(3, 0), (3, 1), (5, 2), (9, 3)]
+    assert rows.dense_id(df.limit(0), ["k"]).columns == ["k", "linha"] and rows.dense_id(df.limit(0), ["k"]).count() == 0
+    other = spark.createDataFrame([("b",), ("a",)], "x string")
+    assert sorted((r.linha, r.k, r.x) for r in rows.zip_rows(df, other, ["k"], ["x"]).collect()) == [(0, 3, "a"), (1, 3, "b"), (2, 5, None), (3, 9, None)]
+
+
+def test_crosstab_columns_from_the_data(spark):
+    df = stances(spark, [("p", "A", "OUTRA", "X"), ("p", "A", "CONTRA", "X"), ("p", "B", "CONTRA", None)])
+    out = stats.crosstab(df, "filiacao_rede", "postura_final")
+    assert out.columns == ["filiacao_rede", "CONTRA", "OUTRA", "TOTAL_GERAL"] and sorted(map(tuple, out.collect())) == [("TOTAL_GERAL", 1, 1, 2), ("X", 1, 1, 2)]
+
+
+def test_latest_rows_by_hash(spark):
+    """Turns of the latest version only, once even if it is stored twice; other hearings and nulls beside it."""
+    people = [("joão silva", None, None)]
+    old, new = ("O SR. JOÃO SILVA - Velho.", ("a", people)), ("O SR. JOÃO SILVA - Novo.", ("a", people))
+    stored = spark.createDataFrame([("h", *old, "2020-01-01"), ("h", *new, "2021-01-01"), ("h", *new, "2021-01-01"), ("g", *old, None), ("e", None, None, None)], HEARING + ", recebido_em string").withColumn("recebido_em", F.col("recebido_em").cast("timestamp"))
+    got = turns.extract_latest(stored, flatten.participants(flatten.latest(stored)))
+    assert sorted((r.id_audiencia, r.ordem_turno, r.texto_turno) for r in got.collect()) == [("g", 0, "Velho."), ("h", 0, "Novo.")]
+
+
+def test_chat_connector(monkeypatch):
+    """Against a server of its own: settings, both parts of the prompt, the key from the environment."""
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.headers["Authorization"], json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            body = json.dumps({"choices": [{"message": {"content": "PROP: a"}}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    for k, v in (("URL", f"http://127.0.0.1:{server.server_port}/v1"), ("MODEL", "m"), ("KEY", "k")):
+        monkeypatch.setenv(f"TRIBUNA_CHAT_{k}", v)
+    assert inference.ask(chat.from_environment(), inference.mining_prompt("s", "\n- x"), (), inference.has_propositions) == "PROP: a"
+    server.shutdown()
+    told, body = seen[0]
+    assert told == "Bearer k" and (body["model"], body["temperature"], body["max_tokens"]) == ("m", 0.0, 500)
+    assert [m["role"] for m in body["messages"]] == ["system", "user"] and "PROP: " in body["messages"][0]["content"] and body["messages"][1]["content"].endswith("- x")
+
+
 def test_stream_turns(spark, tmp_path):
     df = hearing(spark, ("h", "O SR. JOÃO SILVA - Oi.", meta(("joão silva", None, ["x"]))))
     df.write.json(str(tmp_path / "in"))

@@ -91,6 +91,7 @@ def contains_name(marker_tokens: Column, name_tokens: Column) -> Column:
 
 def affiliation(c: Column) -> Column:
     """Party in an office such as ``Deputado (PT-SP)``; everybody else belongs to the catch-all."""
+    # Fixed value: the form of an office with its party.
     party = F.nullif(F.regexp_extract(c, r"(?iU)(?:Deputad[ao]|Senador[a]?)\s*\(\s*([^-]+?)\s*-\s*[A-Za-z]{2}\s*\)", 1), F.lit(""))
     return F.coalesce(strip(F.upper(party)), F.lit(NO_PARTY))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tribuna.functions import text as T
@@ -16,6 +16,17 @@ def latest(df: DataFrame, key: str = "id", version: str = "recebido_em") -> Data
     return df.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(F.coalesce(version, F.lit("1900-01-01").cast("timestamp")), F.xxhash64(*others))).alias("x")).select(key, "x.*")
 
 
+def fingerprint(df: DataFrame, key: str = "id") -> Column:
+    """A hash of everything in a row but its key and maps."""
+    return F.xxhash64(*[c for c in df.columns if c != key])
+
+
+def newest(df: DataFrame, key: str = "id", version: str = "recebido_em", row: str = "linha") -> DataFrame:
+    """(key, row, n): which row of each key was delivered last, by its fingerprint, and how many rows are equal to it; no text moves."""
+    seen = df.select(key, F.coalesce(version, F.lit("1900-01-01").cast("timestamp")).alias("v"), row).groupBy(key, "v", row).agg(F.count("*").alias("n"))
+    return seen.groupBy(key).agg(F.max(F.struct("v", row, "n")).alias("x")).select(key, F.col(f"x.{row}").alias(row), "x.n")
+
+
 def participants(df: DataFrame) -> DataFrame:
     """One row a participant, in the order stored; the transcript stays with the hearing."""
     rows = df.select(F.col("id").alias("id_audiencia"), T.clean_text(F.col("metadados.assunto")).alias("assunto_audiencia"), F.posexplode("metadados.envolvidos").alias("part_ord", "e"))

@@ -37,8 +37,9 @@ def classes(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
     Two members of a class have the same edge with everybody, so edges between classes lose nothing. On a
     proposition that a third of all rows share, those who speak nowhere else fall into a few classes.
     """
-    key = counted.select("nome", F.struct(F.xxhash64("proposicao_alvo").alias("p"), "f", "c", "z").alias("x"))
-    members = key.groupBy("nome").agg(F.sha2(F.to_json(F.sort_array(F.collect_list("x"))), 256).alias("classe"))
+    # A profile as 128 bits that come out alike in any order, so no speaker's history is gathered in a row.
+    bits = [F.bit_xor(F.xxhash64("proposicao_alvo", "f", "c", "z", F.lit(seed))) for seed in (1, 2)]
+    members = counted.groupBy("nome").agg(F.concat_ws("-", F.hex(bits[0]), F.hex(bits[1]), F.count("*").cast("string")).alias("classe"))
     size = members.groupBy("classe").agg(F.count("*").alias("n"), F.min("nome").alias("primeiro"))
     profile = counted.withColumnRenamed("nome", "primeiro").join(size, "primeiro").select("classe", "n", F.xxhash64("proposicao_alvo").alias("p"), "f", "c", "z")
     return members, profile
@@ -69,6 +70,19 @@ def edges(df: DataFrame) -> DataFrame:
     return joined.where("a <> b or x < y").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), "concordancia", "discordancia", "neutro")
 
 
+def edges_between(members: DataFrame, profile: DataFrame) -> DataFrame:
+    """Edges between classes, each named by its first member: a <= b, n_a, n_b and the counters; a = b: among the members of one class."""
+    size = members.groupBy("classe").agg(F.count("*").alias("n"), F.min("nome").alias("de"))
+    a, b = (size.select(F.col("classe").alias(c), F.struct(F.col("de").alias("nome"), "n").alias(f"_{c}")) for c in "ab")
+    e = class_edges(profile).join(a, "a").join(b, "b").select(F.least("_a", "_b").alias("x"), F.greatest("_a", "_b").alias("y"), "concordancia", "discordancia", "neutro")
+    return e.select(F.col("x.nome").alias("a"), F.col("y.nome").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"), "concordancia", "discordancia", "neutro")
+
+
+def named(members: DataFrame) -> DataFrame:
+    """(nome, classe): every speaker with the first member of their class."""
+    return members.join(members.groupBy("classe").agg(F.min("nome").alias("de")), "classe").select("nome", F.col("de").alias("classe"))
+
+
 def edges_pairwise(df: DataFrame, order: str) -> DataFrame:
     """The same edges by forming all row pairs: the plain definition, for small tables and tests."""
     rows = valid(df).where("proposicao_alvo is not null and nome is not null").select("proposicao_alvo", "nome", "postura_final", F.col(order).alias("o"))
@@ -85,6 +99,7 @@ def classify(linked: DataFrame) -> DataFrame:
     ally, foe = (c > d) & (c >= n), (d > c) & (d >= n)
     pick = lambda a, b, z: F.when(ally, a).when(foe, b).otherwise(z)
     colours = [F.lit(schema.EDGE_COLOURS[k]) for k in ("aliados", "antagonistas", "neutro")]
+    # The titles.
     title = pick(
         F.format_string("Aliados (Concordaram: %d | Discordaram: %d | Neutros: %d)", c, d, n),
         F.format_string("Antagonistas (Discordaram: %d | Concordaram: %d | Neutros: %d)", d, c, n),

@@ -1,6 +1,6 @@
 """Proposition mining and stance detection with any model, called in Arrow batches.
 
-A model is a callable from a prompt to a text. It is called once for each distinct
+A model is a callable from a prompt, a pair (system, human), to a text, such as `sources.chat.Chat`. It is called once for each distinct
 input, from a thread pool inside each task, with bounded retries; what fails for
 good becomes a sentinel that is flagged. Results should be written before reuse,
 since a lost task asks again.
@@ -19,21 +19,44 @@ from pyspark.sql import functions as F
 from tribuna import schema
 from tribuna.functions import text as T
 
-Model = Callable[[str], str]
+Prompt = tuple[str, str]
+Model = Callable[[Prompt], str]
 THREADS = 10
 MINING_WAITS = (15, 30, 60)
 STANCE_WAITS = (4, 4)
 
 
-def mining_prompt(assunto: str, opinioes: str) -> str:
-    return f'Extraia de 1 a 3 proposições centrais, uma por linha, cada uma com o prefixo "PROP: ".\n\nAssunto da audiência: "{assunto}"\n\nOpiniões dos participantes:\n{opinioes}'
+# What a model is told. The prefix and the three answers are what the parsers below look for.
+MINING_RULES = """Você analisa debates de audiências públicas.
+Extraia de 1 a 3 proposições centrais: teses polêmicas sobre as quais os participantes se dividiram.
 
+Regras:
+- Uma proposição por linha, em português, direta e assertiva.
+- Toda linha começa exatamente com o prefixo "PROP: ".
+- Nada além dessas linhas: sem introdução, saudação ou explicação.
 
-def stance_prompt(proposicao: str, opiniao: str) -> str:
-    return f'Responda apenas A FAVOR, CONTRA ou NEUTRO.\n\nPROPOSIÇÃO ALVO: "{proposicao}"\n\nOPINIÃO DO ORADOR: "{opiniao}"\n\nPOSTURA:'
+Exemplo:
+PROP: A tarifa social deve valer para todos os bairros.
+PROP: O novo prazo inviabiliza as pequenas obras."""
+STANCE_RULES = """Você é um juiz imparcial de debates.
+Compare a opinião com a proposição: a opinião a apoia, a ataca ou é neutra em relação a exatamente essa proposição?
 
+Regras:
+- Responda com uma só destas respostas: A FAVOR, CONTRA ou NEUTRO.
+- Nada além dela: sem pontuação, explicação ou raciocínio."""
 
-def ask(model: Model, prompt: str, waits: tuple[float, ...], good: Callable[[str], bool], sleep: Callable[[float], None] = time.sleep) -> str | None:
+
+def mining_prompt(assunto: str, opinioes: str) -> tuple[str, str]:
+    """(system, human) for the propositions of a hearing."""
+    return MINING_RULES, f'Assunto da audiência: "{assunto}"\n\nOpiniões dos participantes:\n{opinioes}'
+
+
+def stance_prompt(proposicao: str, opiniao: str) -> tuple[str, str]:
+    """(system, human) for the stance of one opinion on one proposition."""
+    return STANCE_RULES, f'PROPOSIÇÃO ALVO: "{proposicao}"\n\nOPINIÃO DO ORADOR: "{opiniao}"\n\nPOSTURA:'
+
+
+def ask(model: Model, prompt: Prompt | str, waits: tuple[float, ...], good: Callable[[str], bool], sleep: Callable[[float], None] = time.sleep) -> str | None:
     """The first good answer, asking again after each wait; None if there is none."""
     for wait in (*waits, None):
         try:
@@ -98,13 +121,13 @@ def detect(pairs: DataFrame, model: Model, waits: tuple[float, ...] = STANCE_WAI
 # -- offline stand-ins, deterministic -------------------------------------------------
 
 
-def offline_miner(prompt: str) -> str:
+def offline_miner(prompt: Prompt) -> str:
     """The first, and if they differ the last, opinion of the prompt as propositions."""
-    said = [s[2:].strip() for s in prompt.split("\n") if s.startswith("- ")]
+    said = [s[2:].strip() for s in prompt[1].split("\n") if s.startswith("- ")]
     return "\n".join(f"PROP: {s.replace('|', '/')}" for s in dict.fromkeys((said[0], said[-1]))) if said else ""
 
 
-def offline_judge(prompt: str) -> str:
+def offline_judge(prompt: Prompt) -> str:
     """A keyword rule on the opinion."""
-    opinion = prompt.rpartition('OPINIÃO DO ORADOR: "')[2].lower()
+    opinion = prompt[1].rpartition('OPINIÃO DO ORADOR: "')[2].lower()
     return "A favor." if any(w in opinion for w in ("favorável", "defendo", "melhora")) else "Contra." if any(w in opinion for w in ("contra", "ninguém", "piorou")) else "Neutro."

@@ -26,8 +26,12 @@ def first_hearing(people: DataFrame, terms: list[str], order: list[str]) -> Data
     return with_all_terms(people, terms).orderBy(*order).limit(1).select("id_audiencia", "assunto_audiencia")
 
 
-def inspect(turned: DataFrame, people: DataFrame, terms: list[str], pattern: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Numbered turns (from 1) of the first hearing on a topic, and the distinct subjects like it as a fallback."""
+def on_topic(stored: DataFrame, people: DataFrame, terms: list[str], order: list[str], key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """The first hearing on a topic and its stored rows: it is found first, so that nothing is extracted from the others."""
     found = first_hearing(people, terms, order)
-    numbered = turned.join(F.broadcast(found), "id_audiencia").select("id_audiencia", "assunto_audiencia", (F.col("ordem_turno") + 1).alias("numero"), "orador_marcador", "texto_turno")
-    return numbered, like_any(people, pattern).select("id_audiencia", "assunto_audiencia").distinct()
+    return found, stored.join(F.broadcast(found.select(F.col("id_audiencia").alias(key))), key, "left_semi")  # one row
+
+
+def inspect(turned: DataFrame, found: DataFrame) -> DataFrame:
+    """The turns of the hearing found, numbered from 1."""
+    return turned.join(F.broadcast(found), "id_audiencia").select("id_audiencia", "assunto_audiencia", (F.col("ordem_turno") + 1).alias("numero"), "orador_marcador", "texto_turno")

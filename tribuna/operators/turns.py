@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tribuna import schema
 from tribuna.functions import text as T
+from tribuna.operators import flatten
 from tribuna.session import cut
 
 #: Fixed value: a marker is a form of address, a name of 2 to 100 characters, perhaps a bracket, and a hyphen.
 MARKER = r"(?iU)(\b(?:O\s+SR\.?|A\s+SRA\.?)\s+[^()\n-]{2,100}(?:\([^\n)]{1,140}\))?)\s*-\s*"
 
 
-def markers(hearings: DataFrame, key: str = "id", text: str = "transcricao") -> DataFrame:
+def markers(hearings: DataFrame, key: str = "id", text: str = "transcricao", by: tuple[str, ...] = ()) -> DataFrame:
     """Every marker of a transcript: start and end in code points, the marker and the name in it."""
-    texts = hearings.select(F.col(key).alias("id_audiencia"), F.col(text).alias("t")).where(T.strip(T.text_or_empty(F.col(text))) != "")
+    texts = hearings.select(F.col(key).alias("id_audiencia"), *by, F.col(text).alias("t")).where(T.strip(T.text_or_empty(F.col(text))) != "")
     gaps = F.transform(F.split("t", MARKER, -1), F.length)
     # From here on only markers and lengths move, not transcripts.
-    rows = texts.select("id_audiencia", F.length("t").alias("tamanho"), F.posexplode(F.arrays_zip(F.regexp_extract_all("t", F.lit(MARKER), F.lit(0)).alias("m"), gaps.alias("g"))).alias("i", "x")).where("x.m is not null")
-    rows = rows.select("id_audiencia", "tamanho", "i", F.col("x.m").alias("m"), F.col("x.g").alias("g"), F.length("x.m").alias("l"))
+    rows = texts.select("id_audiencia", *by, F.length("t").alias("tamanho"), F.posexplode(F.arrays_zip(F.regexp_extract_all("t", F.lit(MARKER), F.lit(0)).alias("m"), gaps.alias("g"))).alias("i", "x")).where("x.m is not null")
+    rows = rows.select("id_audiencia", *by, "tamanho", "i", F.col("x.m").alias("m"), F.col("x.g").alias("g"), F.length("x.m").alias("l"))
+    if by:  # stored rows that are equal in all have the same markers
+        rows = rows.dropDuplicates(["id_audiencia", *by, "i"])
     # A marker ends behind all gaps and markers up to and with it.
-    end = F.sum(F.col("g") + F.col("l")).over(Window.partitionBy("id_audiencia").orderBy("i"))
-    found = rows.withColumn("fim", end).select("id_audiencia", "tamanho", (F.col("fim") - F.col("l")).alias("inicio"), "fim", F.regexp_replace("m", rf"(?U){T.BLANK}*-{T.BLANK}*$", "").alias("marcador"))
+    end = F.sum(F.col("g") + F.col("l")).over(Window.partitionBy("id_audiencia", *by).orderBy("i"))
+    found = rows.withColumn("fim", end).select("id_audiencia", *by, "tamanho", (F.col("fim") - F.col("l")).alias("inicio"), "fim", F.regexp_replace("m", rf"(?U){T.BLANK}*-{T.BLANK}*$", "").alias("marcador"))
     return found.withColumn("orador_marcador", T.clean_marker(F.col("marcador")))
 
 
@@ -46,15 +49,23 @@ def accept(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.withColumn("norma", T.normalize_name(F.col("orador_marcador"))).join(ours.union(roles).distinct(), "norma", "left_semi")
 
 
-def turns(hearings: DataFrame, accepted: DataFrame, key: str = "id", text: str = "transcricao") -> DataFrame:
-    """Text from an accepted marker to the next one; a marker without text is dropped but still ends the turn before it."""
-    nxt = F.lead("inicio").over(Window.partitionBy("id_audiencia").orderBy("inicio"))
-    spans = accepted.withColumn("ate", F.coalesce(nxt, F.col("tamanho"))).select("id_audiencia", "inicio", "fim", "ate", "orador_marcador")
-    texts = hearings.select(F.col(key).alias("id_audiencia"), F.col(text).alias("t"))
-    rows = texts.join(spans, "id_audiencia")
-    said = rows.select("id_audiencia", "orador_marcador", T.clean_text(F.substring(F.col("t"), (F.col("fim") + 1).cast("int"), (F.col("ate") - F.col("fim")).cast("int"))).alias("texto_turno"), F.col("inicio").cast("bigint").alias("inicio_char"), F.col("ate").cast("bigint").alias("fim_char")).where("texto_turno <> ''")
-    order = F.row_number().over(Window.partitionBy("id_audiencia").orderBy("inicio_char")) - 1
-    return said.withColumn("ordem_turno", order.cast("bigint"))
+def turns(hearings: DataFrame, accepted: DataFrame, key: str = "id", text: str = "transcricao", by: tuple[str, ...] = ()) -> DataFrame:
+    """Text from an accepted marker to the next one; a marker without text is dropped but still ends the turn before it.
+
+    The markers of a hearing become one array, so a transcript meets one row and is cut up in it. ``by``: further
+    columns of both sides that a row of ``hearings`` is told by.
+    """
+    marks = F.sort_array(F.collect_list(F.struct("inicio", "fim", "orador_marcador")))
+    spans = accepted.groupBy("id_audiencia", *by).agg(marks.alias("m"), F.first("tamanho").alias("tamanho"))
+    texts = hearings.select(F.col(key).alias("id_audiencia"), *by, F.col(text).alias("t"))
+
+    def said(x: Column, i: Column) -> Column:
+        until = F.coalesce(F.get("m", i + 1)["inicio"], F.col("tamanho"))
+        whole = T.clean_text(F.substring(F.col("t"), (x["fim"] + 1).cast("int"), (until - x["fim"]).cast("int")))
+        return F.struct(x["orador_marcador"].alias("orador_marcador"), whole.alias("texto_turno"), x["inicio"].cast("bigint").alias("inicio_char"), until.cast("bigint").alias("fim_char"))
+
+    rows = texts.join(spans, ["id_audiencia", *by]).select("id_audiencia", F.filter(F.transform("m", said), lambda x: x["texto_turno"] != "").alias("x"))
+    return rows.select("id_audiencia", F.posexplode("x").alias("ordem_turno", "x")).select("id_audiencia", "x.*", F.col("ordem_turno").cast("bigint").alias("ordem_turno"))
 
 
 def attribute(turned: DataFrame, people: DataFrame, ordinal: str = "hearing") -> DataFrame:
@@ -71,8 +82,19 @@ def attribute(turned: DataFrame, people: DataFrame, ordinal: str = "hearing") ->
 
 
 def extract(hearings: DataFrame, people: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """All steps up to the turns; ``known`` overrides the names of the corpus.
+    """All steps up to the turns, for one row a hearing; ``known`` overrides the names of the corpus.
 
     Markers are short rows made by scanning every transcript, and are used twice, so they are kept.
     """
     return turns(hearings, accept(cut(markers(hearings)), known_names(people) if known is None else known))
+
+
+def extract_latest(stored: DataFrame, people: DataFrame, known: DataFrame | None = None, key: str = "id", version: str = "recebido_em") -> DataFrame:
+    """The same for stored rows of which the latest of each hearing counts: only keys and hashes decide which, and each transcript moves once at most, to its markers."""
+    told = stored.withColumn("linha", flatten.fingerprint(stored, key))
+    newest = cut(flatten.newest(told, key, version, "linha"))
+    rows = newest.select(F.col(key).alias("id_audiencia"), "linha")
+    found = cut(markers(told, by=("linha",)).join(rows, ["id_audiencia", "linha"], "left_semi"))
+    out = turns(told, accept(found, known_names(people) if known is None else known), by=("linha",))
+    # Rows that are equal in all, the version included, give equal turns.
+    return out.dropDuplicates(["id_audiencia", "ordem_turno"]) if newest.where("n > 1").limit(1).count() else out

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tribuna import schema
 from tribuna.functions import text as T
-from tribuna.operators import chunks, flatten, graph, inference, stats, topics, turns
+from tribuna.operators import chunks, flatten, graph, inference, rows, stats, topics, turns
 from tribuna.plans.catalog_sql import SQL  # noqa: F401
-from tribuna.session import cut, shared_folder, table
+from tribuna.session import shared_folder, table
 from tribuna.sources import hearings as sources
 from tribuna.streaming import hearings as streaming
 
@@ -160,9 +160,9 @@ def token_containment_join(spark, d):
 
 
 def _turned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    h = cut(_hearings(spark, d))
-    people = flatten.participants(h)
-    return turns.extract(h, people), people
+    stored = _ph(spark, d).select("id", "transcricao", "metadados", "recebido_em")
+    people = flatten.participants(_hearings(spark, d))
+    return turns.extract_latest(stored, people), people
 
 
 def turns_numbered(spark, d):
@@ -241,8 +241,37 @@ def group_volume(spark, d):
 
 
 def crosstab_margins(spark, d):
+    """One column for each stance that occurs."""
     out = stats.crosstab(_bp(spark, d), "filiacao_rede", "postura_final")
-    return out.select("filiacao_rede", F.col("A FAVOR").alias("a_favor"), F.col("CONTRA").alias("contra"), F.col("ERRO API").alias("erro_api"), F.col("NEUTRO").alias("neutro"), F.col(schema.TOTAL).alias("total_geral")).orderBy(F.desc("total_geral"), "filiacao_rede")
+    return out.toDF(*(c.lower().replace(" ", "_") for c in out.columns)).orderBy(F.desc(schema.TOTAL.lower()), "filiacao_rede")
+
+
+def crosstab_cells(spark, d):
+    return stats.crosstab_long(_bp(spark, d), "filiacao_rede", "postura_final")
+
+
+def dense_row_id(spark, d):
+    return rows.dense_id(_dt(spark, d).select("turno_id", "orador_marcador").distinct(), ["turno_id"])
+
+
+def positional_zip(spark, d):
+    """Turns beside hearings by position, the rest of the longer one beside nulls."""
+    return rows.zip_rows(_dt(spark, d).select("turno_id").distinct(), _ph(spark, d).select("id").distinct(), ["turno_id"], ["id"])
+
+
+def cast_string(spark, d):
+    """Numbers and moments as text."""
+    return _bp(spark, d).select("linha_id", F.col("linha_id").cast("string").alias("texto"), F.date_format("classificado_em", "yyyy-MM-dd HH:mm:ss").alias("momento"))
+
+
+def banner_repeat(spark, d):
+    return _bp(spark, d).select("postura_final").where("postura_final is not null").distinct().select("postura_final", F.concat(F.repeat(F.lit("="), 80), F.lit("\n"), "postura_final").alias("faixa"))
+
+
+def empty_frame(spark, d):
+    """An empty result keeps its columns through every step."""
+    none = _dt(spark, d).where("false")
+    return chunks.chunks(none, "texto_turno", ["turno_id"], ["turno_id"]).select("turno_id", "ordem_chunk", "chunks")
 
 
 # -- inference ------------------------------------------------------------------------
@@ -273,13 +302,27 @@ def edges_classified(spark, d):
     return graph.classify(graph.edges(_bp(spark, d)))
 
 
+def edges_pairwise(spark, d):
+    """The plain definition: all row pairs of a proposition."""
+    return graph.edges_pairwise(_bp(spark, d), "linha_id")
+
+
 def edges_between_classes(spark, d):
     """The compact form: edges between classes of speakers, with the sizes of both."""
-    members, profile = graph.classes(graph.counts(_bp(spark, d)))
-    size = members.groupBy("classe").agg(F.count("*").alias("n"))
-    e = graph.class_edges(profile)
-    a, b = size.withColumnRenamed("classe", "a").withColumnRenamed("n", "n_a"), size.withColumnRenamed("classe", "b").withColumnRenamed("n", "n_b")
-    return e.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "concordancia", "discordancia", "neutro")
+    return graph.edges_between(*graph.classes(graph.counts(_bp(spark, d))))
+
+
+def class_members(spark, d):
+    """Whose edges those are: every speaker with their class."""
+    return graph.named(graph.classes(graph.counts(_bp(spark, d)))[0])
+
+
+def graph_dashboard(spark, d):
+    """The page, written where results go, and what stands in it."""
+    b = _bp(spark, d)
+    points, lines = graph_nodes(spark, d).join(graph.connected(graph.nodes(graph.valid(b), "linha_id"), graph.counts(b)).select("nome"), "nome", "left_semi"), edges_classified(spark, d)
+    shown = sources.write_dashboard(points, lines, _place(spark))
+    return spark.createDataFrame([shown], "nos bigint, arestas bigint")
 
 
 def graph_connected_nodes(spark, d):
@@ -307,8 +350,9 @@ def topic_first_match(spark, d):
 
 
 def topic_turns(spark, d):
-    turned, people = _turned(spark, d)
-    return topics.inspect(turned, people, TERMS, PATTERN, ["id_audiencia", "part_ord"])[0]
+    people = flatten.participants(_hearings(spark, d))
+    found, stored = topics.on_topic(_ph(spark, d).select("id", "transcricao", "metadados", "recebido_em"), people, TERMS, ["id_audiencia", "part_ord"])
+    return topics.inspect(turns.extract_latest(stored, people), found)
 
 
 def topic_fallback(spark, d):
@@ -351,7 +395,7 @@ QUERIES = {
         scan_project, preview_head, constant_columns, json_flatten_one, json_flatten_two, outer_explode, struct_flatten, filter_nonblank, filter_in, filter_contains_all, filter_regex_ci, filter_quantifiers,
         clean_text, strip_text, title_case, fold_accents, normalize_name, clean_marker, affiliation, stance_normalize, parse_prefixed_lines, markers_positions, known_name_semi, token_containment_join,
         turns_numbered, turns_attributed, turns_speaker_ordinal, participants_without_turns, chunk_turns, chunk_attributed, group_concat_ordered, merge_inner, pair_opinions_propositions, lookup_left_default,
-        distinct_pairs, distinct_values, row_counts, top10_propositions, top10_speakers, group_volume, crosstab_margins, propose_offline, stance_detect_offline, graph_nodes, edges_algebraic,
-        edges_classified, edges_between_classes, graph_connected_nodes, graph_size, topic_first_match, topic_turns, topic_fallback, csv_roundtrip, jsonl_roundtrip, stream_opinions,
+        distinct_pairs, distinct_values, row_counts, top10_propositions, top10_speakers, group_volume, crosstab_margins, crosstab_cells, dense_row_id, positional_zip, cast_string, banner_repeat, empty_frame, propose_offline, stance_detect_offline, graph_nodes, edges_algebraic,
+        edges_classified, edges_pairwise, edges_between_classes, class_members, graph_dashboard, graph_connected_nodes, graph_size, topic_first_match, topic_turns, topic_fallback, csv_roundtrip, jsonl_roundtrip, stream_opinions,
     )
 }

@@ -43,6 +43,7 @@ def marker(x: str) -> str:
 
 
 def party(x: str) -> str:
+    # Fixed value: the form of an office with its party.
     found = rf"regexp_extract({x}, '(?i)(?:Deputad[ao]|Senador[a]?){W}*\({W}*([^-]+?){W}*-{W}*[A-Za-z]{{2}}{W}*\)', 1)"
     return f"coalesce({strip(f'upper(nullif({found}, {EMPTY}))')}, 'SOCIEDADE/OUTROS')"
 
@@ -65,6 +66,7 @@ def opinions(h: str) -> str:
 
 # Letters outside ASCII as x and blanks outside ASCII as blanks: same length, and \b and \s mean what they mean in Unicode.
 SHADOW = rf"regexp_replace(regexp_replace(t, '[\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\x1c-\x1f]', ' ', 'g'), '[\x{{aa}}\x{{b5}}\x{{ba}}\x{{c0}}-\x{{d6}}\x{{d8}}-\x{{f6}}\x{{f8}}-\x{{2c1}}\x{{370}}-\x{{1fff}}\x{{3040}}-\x{{9fff}}\x{{ac00}}-\x{{d7a3}}]', 'x', 'g')"
+# Fixed value: the form of a marker.
 RE = r"(?i)\b(?:O\s+SR\.?|A\s+SRA\.?)\s+[^()\n-]{2,100}(?:\([^\n)]{1,140}\))?\s*-\s*"
 MARKERS = f"""{LATEST},
 cut as (select id, t, regexp_extract_all(s, '{RE}') ms, regexp_split_to_array(s, '{RE}') gs from (select id, t, {SHADOW} s from hs where {strip("coalesce(t, '')")} <> '')),
@@ -94,6 +96,10 @@ edges as (select a.nome src, b.nome dst,
 COLOUR = "case {0} when 'PT' then '#CC0000' when 'PL' then '#222299' when 'NOVO' then '#FF6600' when 'PSOL' then '#FFCC00' when 'MDB' then '#009933' when 'SOCIEDADE/OUTROS' then '#888888' else '#AAAAAA' end"
 NODES = f"""{VALID}, nodes as (select nome, x.f "group", {COLOUR.format('x.f')} color, nome || chr(10) || '(' || coalesce(x.f, 'nan') || ')' label, nome || ' - ' || coalesce(x.f, 'nan') title, cast(15 as bigint) size
   from (select nome, arg_max(struct_pack(f := filiacao_rede), linha_id) x from v where nome is not null group by nome))"""
+CLASSES = """c as (select proposicao_alvo p, nome, count(*) filter (where postura_final = 'A FAVOR') f, count(*) filter (where postura_final = 'CONTRA') c, count(*) filter (where postura_final = 'NEUTRO') z
+  from base_posturas_classificadas where postura_final in ('A FAVOR', 'CONTRA', 'NEUTRO') and proposicao_alvo is not null and nome is not null group by 1, 2),
+said as (select nome, string_agg(p || chr(31) || f || ',' || c || ',' || z, chr(30) order by p) k from c group by nome),
+cl as (select k, min(nome) de, count(*) n from said group by k)"""
 NAMES = "names as (select distinct e.nome nome, e.cargo cargo from (select unnest(metadados.envolvidos) e from publichearingbr_lds))"
 FILE = "lower(coalesce(assunto_audiencia, '')) like '%debate%' and lower(coalesce(assunto_audiencia, '')) like '%sobre%'"
 REST = "replace(s, 'PROP:', '')"
@@ -150,6 +156,12 @@ SQL: dict[str, str] = {
     "top10_speakers": 'select nome, count(*) "count" from base_posturas_classificadas where nome is not null group by 1 order by 2 desc, 1 limit 10',
     "group_volume": 'select filiacao_rede, count(*) "count" from base_posturas_classificadas where filiacao_rede is not null group by 1',
     "crosstab_margins": "select case when grouping(filiacao_rede) = 1 then 'TOTAL_GERAL' else filiacao_rede end filiacao_rede, count(*) filter (where postura_final = 'A FAVOR') a_favor, count(*) filter (where postura_final = 'CONTRA') contra, count(*) filter (where postura_final = 'ERRO API') erro_api, count(*) filter (where postura_final = 'NEUTRO') neutro, count(*) total_geral from base_posturas_classificadas where filiacao_rede is not null and postura_final is not null group by rollup(filiacao_rede)",
+    "crosstab_cells": "select case when grouping(filiacao_rede) = 1 then 'TOTAL_GERAL' else filiacao_rede end filiacao_rede, case when grouping(postura_final) = 1 then 'TOTAL_GERAL' else postura_final end postura_final, count(*) linhas from base_posturas_classificadas where filiacao_rede is not null and postura_final is not null group by cube(filiacao_rede, postura_final)",
+    "dense_row_id": "select *, row_number() over (order by turno_id) - 1 linha from (select distinct turno_id, orador_marcador from df_turnos)",
+    "positional_zip": "select coalesce(a.linha, b.linha) linha, turno_id, id from (select turno_id, row_number() over (order by turno_id) - 1 linha from (select distinct turno_id from df_turnos)) a full join (select id, row_number() over (order by id) - 1 linha from (select distinct id from publichearingbr_lds)) b on a.linha = b.linha",
+    "cast_string": "select linha_id, cast(linha_id as varchar) texto, strftime(classificado_em, '%Y-%m-%d %H:%M:%S') momento from base_posturas_classificadas",
+    "banner_repeat": "select distinct postura_final, repeat('=', 80) || chr(10) || postura_final faixa from base_posturas_classificadas where postura_final is not null",
+    "empty_frame": "select turno_id, cast(0 as bigint) ordem_chunk, texto_turno chunks from df_turnos where false",
     "propose_offline": f"with {LATEST}, {opinions('hs')}, l as (select id_audiencia, list(opiniao_limpa order by part_ord, op_ord) o from ops group by id_audiencia, assunto_audiencia) select id_audiencia, replace(o[1], '|', '/') || case when o[len(o)] <> o[1] then ' | ' || replace(o[len(o)], '|', '/') else '' end proposicoes_audiencia, false erro from l",
     "stance_detect_offline": f"with {PAIRED} select id_audiencia, part_ord, op_ord, proposicao_alvo, case when regexp_matches(lower(opiniao_limpa), 'favorável|defendo|melhora') then 'A FAVOR' when regexp_matches(lower(opiniao_limpa), 'contra|ninguém|piorou') then 'CONTRA' else 'NEUTRO' end postura_final from paired",
     "graph_nodes": f"with {NODES} select * from nodes",
@@ -159,6 +171,12 @@ SQL: dict[str, str] = {
       case k when 1 then 'Aliados (Concordaram: ' || concordancia || ' | Discordaram: ' || discordancia || ' | Neutros: ' || neutro || ')'
         when 2 then 'Antagonistas (Discordaram: ' || discordancia || ' | Concordaram: ' || concordancia || ' | Neutros: ' || neutro || ')'
         else 'Contato Neutro (Neutros: ' || neutro || ' | Concordaram: ' || concordancia || ' | Discordaram: ' || discordancia || ')' end title, concordancia - discordancia peso from k""",
+    "edges_pairwise": f"with {EDGES} select * from edges",
+    "class_members": f"with {CLASSES} select nome, de classe from said join cl using (k)",
+    "edges_between_classes": f"""with {CLASSES}, pr as (select de, n, p, f, c, z from cl join c on nome = de)
+      select a.de a, b.de b, any_value(a.n) n_a, any_value(b.n) n_b, cast(sum(a.f * b.f + a.c * b.c) as bigint) concordancia, cast(sum(a.f * b.c + a.c * b.f) as bigint) discordancia,
+      cast(sum(a.z * (b.f + b.c + b.z) + (a.f + a.c + a.z) * b.z - a.z * b.z) as bigint) neutro from pr a join pr b on a.p = b.p and (a.de < b.de or a.de = b.de and a.n > 1) group by 1, 2""",
+    "graph_dashboard": f"with {EDGES} select (select count(*) from (select src from edges union select dst from edges)) nos, (select count(*) from edges) arestas",
     "graph_connected_nodes": f'with {NODES}, {EDGES.partition("," + chr(10))[2]} select nome, "group" from nodes where nome in (select src from edges union select dst from edges)',
     "graph_size": f"with {EDGES} select (select count(*) from (select src from edges union select dst from edges)) nos, (select count(*) from edges) arestas",
     "topic_first_match": f"with {LATEST}, {people('hs')} select id_audiencia, assunto_audiencia from people where {FILE} order by id_audiencia, part_ord limit 1",

@@ -5,6 +5,7 @@ from __future__ import annotations
 HEARING = "id string, transcricao string, metadados struct<assunto: string, envolvidos: array<struct<nome: string, cargo: string, opinioes: array<string>>>>"
 STANCE = "id_audiencia string, assunto_audiencia string, nome string, cargo string, opiniao_limpa string, filiacao_rede string, proposicoes_audiencia string, proposicao_alvo string, postura_final string"
 
+#: The stances, and the name of the totals.
 FOR, AGAINST, NEUTRAL, FAILED = "A FAVOR", "CONTRA", "NEUTRO", "ERRO API"
 VALID = (FOR, AGAINST, NEUTRAL)
 TOTAL = "TOTAL_GERAL"

@@ -7,6 +7,7 @@ import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tribuna import schema
 
@@ -48,16 +49,30 @@ c.onmousemove=m=>{c.title='';for(const n of nodes)if(Math.hypot(n.x-m.offsetX,n.
 </script></body></html>"""
 #: Fixed values of the layout.
 PHYSICS = {"node_distance": 180, "central_gravity": 0.15, "spring_length": 250, "spring_strength": 0.05, "damping": 0.09}
-MOST_NODES, MOST_EDGES = 20_000, 200_000
+MOST_EDGES = 100_000
 
 
-def write_dashboard(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """The graph as one page. A page is for looking at, so its size is bounded and checked before anything is collected."""
-    if nodes.limit(MOST_NODES + 1).count() > MOST_NODES or edges.limit(MOST_EDGES + 1).count() > MOST_EDGES:
-        raise ValueError(f"a page holds at most {MOST_NODES} nodes and {MOST_EDGES} edges; filter the graph first")
+def write_dashboard(nodes: DataFrame, edges: DataFrame, path: str, most: int = MOST_EDGES) -> tuple[int, int]:
+    """The graph as one page, and how many nodes and edges it shows.
+
+    A page is for looking at: of a graph with more than ``most`` edges it shows the ``most`` widest (ties: by names) and
+    the nodes they join; the whole graph is then written beside it as JSON lines, in ``<path>.data``.
+    """
+    if edges.limit(most + 1).count() > most:
+        for name, part in (("nodes", nodes), ("edges", edges)):
+            part.write.mode("overwrite").json(f"{path}.data/{name}")
+        edges = edges.orderBy(F.desc("value"), "src", "dst").limit(most)
+        ends = edges.select(F.explode(F.array("src", "dst")).alias("nome")).distinct()
+        nodes = nodes.join(F.broadcast(ends), "nome", "left_semi")  # at most two an edge shown
+    elif nodes.limit(2 * most + 1).count() > 2 * most:
+        nodes.write.mode("overwrite").json(f"{path}.data/nodes")
+        nodes = nodes.orderBy("nome").limit(2 * most)
     points = [{"id": n.nome, "label": n.label, "title": html.escape(n.title or ""), "color": n.color, "group": n.group, "size": n.size} for n in nodes.collect()]
     lines = [{"from": e.src, "to": e.dst, "color": e.color, "value": e.value, "title": e.title} for e in edges.collect()]
     text = PAGE
     for mark, value in (("__NODES__", points), ("__EDGES__", lines), ("__PHYSICS__", PHYSICS)):
         text = text.replace(mark, json.dumps(value, ensure_ascii=False).replace("</", "<\\/"))
-    Path(path).write_text(text, encoding="utf-8")
+    page = Path(path.removeprefix("file:"))
+    page.parent.mkdir(parents=True, exist_ok=True)
+    page.write_text(text, encoding="utf-8")
+    return len(points), len(lines)
