@@ -190,7 +190,7 @@ def test_latest_rows_by_hash(spark):
     people = [("joão silva", None, None)]
     old, new = ("O SR. JOÃO SILVA - Velho.", ("a", people)), ("O SR. JOÃO SILVA - Novo.", ("a", people))
     stored = spark.createDataFrame([("h", *old, "2020-01-01"), ("h", *new, "2021-01-01"), ("h", *new, "2021-01-01"), ("g", *old, None), ("e", None, None, None)], HEARING + ", recebido_em string").withColumn("recebido_em", F.col("recebido_em").cast("timestamp"))
-    got = turns.extract_latest(stored, flatten.participants(flatten.latest(stored)))
+    got = turns.extract_latest(stored, *turns.latest_people(stored))
     assert sorted((r.id_audiencia, r.ordem_turno, r.texto_turno) for r in got.collect()) == [("g", 0, "Velho."), ("h", 0, "Novo.")]
 
 

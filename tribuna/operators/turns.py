@@ -89,10 +89,15 @@ def extract(hearings: DataFrame, people: DataFrame, known: DataFrame | None = No
     return turns(hearings, accept(cut(markers(hearings)), known_names(people) if known is None else known))
 
 
-def extract_latest(stored: DataFrame, people: DataFrame, known: DataFrame | None = None, key: str = "id", version: str = "recebido_em") -> DataFrame:
-    """The same for stored rows of which the latest of each hearing counts: only keys and hashes decide which, and each transcript moves once at most, to its markers."""
+def latest_people(stored: DataFrame, key: str = "id", version: str = "recebido_em", text: str = "transcricao") -> tuple[DataFrame, DataFrame]:
+    """Which stored row of each hearing is the latest (key, linha, n), and its participants; transcripts are hashed where they are read."""
+    light = cut(stored.withColumn("linha", flatten.fingerprint(stored, key)).drop(text))
+    return cut(flatten.newest(light, key, version, "linha")), flatten.participants(flatten.latest(light, key, version))
+
+
+def extract_latest(stored: DataFrame, newest: DataFrame, people: DataFrame, known: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """The same for stored rows of which the latest of each hearing counts (see ``latest_people``): each transcript moves once at most, to its markers."""
     told = stored.withColumn("linha", flatten.fingerprint(stored, key))
-    newest = cut(flatten.newest(told, key, version, "linha"))
     rows = newest.select(F.col(key).alias("id_audiencia"), "linha")
     found = cut(markers(told, by=("linha",)).join(rows, ["id_audiencia", "linha"], "left_semi"))
     out = turns(told, accept(found, known_names(people) if known is None else known), by=("linha",))

@@ -161,8 +161,8 @@ def token_containment_join(spark, d):
 
 def _turned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     stored = _ph(spark, d).select("id", "transcricao", "metadados", "recebido_em")
-    people = flatten.participants(_hearings(spark, d))
-    return turns.extract_latest(stored, people), people
+    newest, people = turns.latest_people(stored)
+    return turns.extract_latest(stored, newest, people), people
 
 
 def turns_numbered(spark, d):
@@ -350,9 +350,10 @@ def topic_first_match(spark, d):
 
 
 def topic_turns(spark, d):
-    people = flatten.participants(_hearings(spark, d))
-    found, stored = topics.on_topic(_ph(spark, d).select("id", "transcricao", "metadados", "recebido_em"), people, TERMS, ["id_audiencia", "part_ord"])
-    return topics.inspect(turns.extract_latest(stored, people), found)
+    stored = _ph(spark, d).select("id", "transcricao", "metadados", "recebido_em")
+    newest, people = turns.latest_people(stored)
+    found, rows = topics.on_topic(stored, people, TERMS, ["id_audiencia", "part_ord"])
+    return topics.inspect(turns.extract_latest(rows, newest, people), found)
 
 
 def topic_fallback(spark, d):
