@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tribuna.session import cut
 
 #: Forms in a tree, and values that pass it in one task.
-SHARD, BUCKET = 50_000, 100_000
+SHARD, BUCKET = 50_000, 5_000
 
 
 def distance(a: str, b: str) -> int:
@@ -282,11 +282,10 @@ def match(values: DataFrame, column: str, forms: DataFrame, readings: Callable[[
     every shard in a task of its own, so neither side passes the driver and no task holds either whole. A shard returns
     all entries at the least distance of its first reading that hits; what ties is decided only over all shards.
     """
-    spark = values.sparkSession
     distinct = cut(values.select(F.col(column).alias("valor")).where(r"valor is not null and valor rlike '(?U)[^\\s\\x1c-\\x1f]'").distinct())
     forms = cut(forms.select("forma", "ref_id").where("forma is not null and ref_id is not null").distinct())
     shards = max(1, -(-forms.count() // shard))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() // bucket))
+    buckets = max(1, -(-distinct.count() // bucket))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = distinct.withColumn("bucket", F.pmod(F.xxhash64("valor"), F.lit(buckets)).cast("int")).withColumn("shard", every(shards))
     right = forms.withColumn("shard", F.pmod(F.xxhash64("forma"), F.lit(shards)).cast("int")).withColumn("bucket", every(buckets))
