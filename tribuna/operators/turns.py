@@ -40,13 +40,15 @@ def accept(found: DataFrame, known: DataFrame) -> DataFrame:
     Containment is an equi-join: each known name is looked up under its rarest word only, and the rest of its
     words is checked on the few pairs that meet there.
     """
-    seen = found.select(T.normalize_name(F.col("orador_marcador")).alias("norma")).distinct().withColumn("tem", T.tokens(F.col("norma")))
+    # Names are normalised once each, not once a marker.
+    spelled = found.select("orador_marcador").distinct().withColumn("norma", T.normalize_name(F.col("orador_marcador")))
+    seen = spelled.select("norma").distinct().withColumn("tem", T.tokens(F.col("norma")))
     words = known.select("conhecido", "palavras", F.explode("palavras").alias("w"))
     often = words.groupBy("w").agg(F.count("*").alias("n"))
     rarest = words.join(often, "w").groupBy("conhecido").agg(F.min(F.struct("n", "w")).alias("x"), F.first("palavras").alias("palavras")).select(F.col("x.w").alias("w"), "palavras")
     ours = seen.select("norma", "tem", F.explode("tem").alias("w")).join(rarest, "w").where(T.contains_name(F.col("tem"), F.col("palavras"))).select("norma").distinct()
     roles = seen.where(F.col("norma").isin(*schema.ROLES)).select("norma")
-    return found.withColumn("norma", T.normalize_name(F.col("orador_marcador"))).join(ours.union(roles).distinct(), "norma", "left_semi")
+    return found.join(spelled.join(ours.union(roles).distinct(), "norma", "left_semi"), "orador_marcador")
 
 
 def turns(hearings: DataFrame, accepted: DataFrame, key: str = "id", text: str = "transcricao", by: tuple[str, ...] = ()) -> DataFrame:
