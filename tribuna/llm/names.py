@@ -7,9 +7,10 @@
 2. A distributed sparse join finds all pairs with a cosine of ``COSINE`` or more.
    Features are ordered from rare to common; a spelling is indexed only under its
    *prefix*, the features before the rest has a norm below ``COSINE``: two unit
-   vectors that share no prefix feature cannot reach it. A feature with many
-   spellings is cut into blocks, and every pair of blocks is a join key of its own.
-   There is no cap on partners; ``nearest`` is the top-n view of the same pairs.
+   vectors that share no prefix feature cannot reach it. Spellings are dealt to
+   blocks; a task joins a pair of blocks, and candidates never leave it, so what is
+   moved is each vector once a block and the links. There is no cap on partners;
+   ``nearest`` is the top-n view of the same pairs.
 3. An exact check of the words follows and takes away pairs that contradict each
    other: words of both names that stand on the same side of the rarest shared word
    and match nothing. Words match if equal, a typing error or two apart, an initial,
@@ -30,14 +31,17 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +53,13 @@ COSINE = 0.35
 LINK = 0.27
 #: Slots for hashed n-grams and words: the bound on the table of weights.
 SLOTS = 1 << 20
-#: Spellings under one feature that are joined in one task.
-BLOCK = 2000
+#: Spellings of one block, the least number of blocks, and how far running sums may be off.
+BLOCK = 100_000
+BLOCKS = 4
+SLACK = 1e-5
+#: Meetings of two features, and spellings of one side, that are looked at at once.
+AT_ONCE = 1_000_000
+ROWS = 64
 COMPONENT = 1000
 #: A similarity of 1 in the whole units that are summed.
 UNITS = 10**9
@@ -311,62 +320,132 @@ def vectors(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "nome", "palavras").join(found, "id")
 
 
-def candidates(rows: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
-    """Pairs of ids (a < b) whose vectors can have at least this cosine: all that do, and the few the bound cannot tell."""
-
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for i, v in zip(pdf["id"], pdf["v"]):
-                w = np.array([x["w"] for x in v])
-                left = np.sqrt((w * w)[::-1].cumsum()[::-1])  # norm from each feature on
-                keep = int((left >= cosine - 1e-9).sum())
-                out += [(v[k]["g"], i, float(w[k]), float(left[k]), float(left[k + 1]) if k + 1 < len(w) else 0.0) for k in range(keep)]
-            yield pd.DataFrame(out, columns=["g", "id", "w", "from", "behind"])
-
-    index = cut(rows.select("id", "v").mapInPandas(prefixes, "g int, id bigint, w double, from double, behind double"))
-    size = index.groupBy("g").agg(F.count("*").alias("m")).where("m > 1")
-    # A feature alone joins nothing. One with many spellings is cut into blocks, and pairs of blocks are keys of their own.
-    index = index.join(F.broadcast(size), "g").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("at", F.pmod(F.hash("id"), F.col("blocks"))).drop("m")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    x = index.select("g", F.col("at").alias("i"), every.alias("j"), F.col("id").alias("a"), F.col("w").alias("wa"), F.col("from").alias("fa"), F.col("behind").alias("ra"))
-    y = index.select("g", every.alias("i"), F.col("at").alias("j"), F.col("id").alias("b"), F.col("w").alias("wb"), F.col("from").alias("fb"), F.col("behind").alias("rb"))
-    # From their first common feature on, two vectors share no more than the product of what is left of both. Those that
-    # pass are the first common features of a pair; what follows the last of them is bounded by the norms behind it.
-    met = x.join(y.hint("merge"), ["g", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("fa") * F.col("fb") >= cosine - 1e-9))
-    summed = met.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.min(F.col("ra") * F.col("rb")).alias("rest"))
-    return summed.where(F.col("dot") + F.col("rest") >= cosine - 1e-9).select("a", "b")
+class _Side:
+    """Vectors of some spellings as flat arrays: features ``g`` and weights ``w`` of ``row``, the norms from each feature on and behind it."""
+
+    def __init__(self, batches: list[pa.RecordBatch]) -> None:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        self.ids = t["id"].to_numpy()
+        self.words, self.rare = t["palavras"], t["raro"]
+        flat = lambda c, kind: np.concatenate([np.asarray(x.flatten(), kind) for x in t[c].chunks])
+        self.g, self.w = flat("g", np.int64), flat("w", float)
+        n = pc.list_value_length(t["g"]).to_numpy()
+        self.row, self.end = np.repeat(np.arange(len(n)), n), n.cumsum()
+        upto = (self.w * self.w).cumsum()
+        last = np.concatenate([upto, [0.0]])[np.repeat(self.end, n) - 1]
+        self.behind = np.sqrt(np.maximum(last - upto, 0))
+        self.norm = np.sqrt(last - upto + self.w * self.w)
+
+    def told(self, rows: np.ndarray) -> dict[int, tuple[tuple[str, ...], tuple[float, ...]]]:
+        """The words and how rare they are of some rows."""
+        rows = np.unique(rows)
+        return dict(zip(rows.tolist(), zip(map(tuple, self.words.take(rows).to_pylist()), map(tuple, self.rare.take(rows).to_pylist()))))
+
+
+def _cell(index: _Side, cosine: float, same: bool) -> Callable[[_Side], Iterator[pa.RecordBatch]]:
+    """The links of the spellings of a batch to those of ``index``; ``same``: both are of one block, each pair counts once."""
+    # Sums of squares are differences of running sums here; the exact cosine decides behind this.
+    low = cosine - SLACK
+    keep = np.flatnonzero(index.norm >= low)
+    # By feature and, in it, by falling norm from it on: who reaches the bound with another norm comes first.
+    keep = keep[np.argsort(2.0 * index.g[keep] + 1 - index.norm[keep])]
+    place, row, w, behind = 2.0 * index.g[keep] + 1 - index.norm[keep], index.row[keep], index.w[keep], index.behind[keep]
+    m = len(index.ids)
+    slots = np.unique(index.g)
+    wide = int(np.diff(index.end, prepend=0).max(initial=0))
+    at = np.arange(len(index.g)) - np.repeat(index.end - np.diff(index.end, prepend=0), np.diff(index.end, prepend=0))
+    # The vectors as a matrix, with a slot of weight 0 behind the last.
+    G, W = np.full((m, wide), len(slots), np.int32), np.zeros((m, wide))
+    G[index.row, at], W[index.row, at] = np.searchsorted(slots, index.g), index.w
+
+    def links(side: _Side) -> Iterator[pa.RecordBatch]:
+        use = np.flatnonzero(side.norm >= low)
+        lo = np.searchsorted(place, 2.0 * side.g[use])
+        hi = np.searchsorted(place, 2.0 * side.g[use] + 1 - low / side.norm[use] + SLACK, "right")
+        n = np.maximum(hi - lo, 0)
+        begin = 0
+        # So many rows at once as meet a bounded number of others, one at least.
+        met = np.concatenate([[0], np.bincount(side.row[use], weights=n, minlength=len(side.ids)).cumsum()])
+        most = max(1, min(ROWS, 4_000_000 // (len(slots) + 1)))
+        while begin < len(side.ids):
+            stop = min(max(begin + 1, int(np.searchsorted(met, met[begin] + AT_ONCE, "right")) - 1), begin + most, len(side.ids))
+            k = slice(*np.searchsorted(side.row[use], [begin, stop]))
+            i = np.repeat(use[k], n[k])
+            j = np.arange(len(i)) + np.repeat(lo[k] - (n[k].cumsum() - n[k]), n[k])
+            if same:
+                one = side.ids[side.row[i]] < index.ids[row[j]]
+                i, j = i[one], j[one]
+            # From their first common feature on, two vectors share no more than the product of what is left of both. Those that
+            # pass are the first common features of a pair; what follows the last of them is bounded by the norms behind it.
+            pair = side.row[i] * m + row[j]
+            order = np.argsort(pair)
+            pair, i, j = pair[order], i[order], j[order]
+            first = np.flatnonzero(np.diff(pair, prepend=-1))
+            if len(first):
+                sure = np.add.reduceat(side.w[i] * w[j], first) + np.minimum.reduceat(side.behind[i] * behind[j], first)
+                pair = pair[first][sure >= low]
+                yield from checked(side, begin, stop, pair // m, pair % m)
+            begin = stop
+
+    def checked(side: _Side, begin: int, stop: int, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own = np.flatnonzero((side.row >= begin) & (side.row < stop))
+        to = np.searchsorted(slots, side.g[own])
+        known = slots[np.minimum(to, len(slots) - 1)] == side.g[own]
+        dense = np.zeros((stop - begin, len(slots) + 1))
+        dense[side.row[own][known] - begin, to[known]] = side.w[own][known]
+        some = [slice(c, c + 20_000) for c in range(0, len(x), 20_000)]
+        s = np.concatenate([np.zeros(0), *((dense[x[c, None] - begin, G[y[c]]] * W[y[c]]).sum(1) for c in some)])
+        near = s >= cosine
+        x, y, s = x[near], y[near], np.minimum(s[near], 1.0)
+        p, q = side.told(x), index.told(y)
+        keep = []
+        for a, b in zip(x.tolist(), y.tolist()):
+            (u, ru), (v, rv) = sorted((p[a], q[b]))
+            keep.append(compatible(u, v, dict(zip((*u, *v), (*ru, *rv)))))
+        keep = np.array(keep, bool)
+        a, b = side.ids[x[keep]], index.ids[y[keep]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s[keep])], ["a", "b", "s"])
+
+    return links
+
+
+def _cells(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+    """Links of rows in the order of cells, the index of each before the rows that are held against it; one index is held at a time."""
+    now, held, links = None, [], None
+    for batch in batches:
+        cell, side = (batch.column(c).to_numpy() for c in ("cell", "side"))
+        edge = [0, *(np.flatnonzero(np.diff(cell) | np.diff(side)) + 1).tolist(), batch.num_rows]
+        for u, v in itertools.pairwise(edge):
+            if u == v:
+                continue
+            part = batch.slice(u, v - u)
+            if cell[u] != now:
+                now, held, links = cell[u], [], None
+            if side[u] == 0:
+                held.append(part)
+            elif held:
+                links = links or _cell(_Side(held), cosine, part.column("same")[0].as_py())
+                yield from links(_Side([part]))
 
 
 def edges(nodes: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
-    """Pairs of names (id, nome, palavras) with at least this cosine that do not contradict each other: (a, b, s)."""
-    rows = cut(vectors(nodes))
+    """Pairs of names (id, nome, palavras) with at least this cosine that do not contradict each other: (a, b, s).
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            # All pairs of a batch at once: features keyed by pair and slot, both sides in one order.
-            n = np.arange(len(pdf), dtype=np.int64) * SLOTS
-            (ka, wa), (kb, wb) = ((np.concatenate([*pdf[g], []]).astype(np.int64) + np.repeat(n, pdf[g].map(len)), np.concatenate([*pdf[w], []])) for g, w in (("ga", "wa"), ("gb", "wb")))
-            order = np.argsort(ka)
-            ka, wa = ka[order], wa[order]
-            at = np.searchsorted(ka, kb)
-            met = at < len(ka)
-            met[met] = ka[at[met]] == kb[met]
-            s = np.bincount(kb[met] // SLOTS, weights=wa[at[met]] * wb[met], minlength=len(pdf))
-            yield pdf[["a", "b"]].assign(s=np.minimum(s, 1.0))[s >= cosine]
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keep = []
-            for pa, qa, pb, qb in pdf[["pa", "qa", "pb", "qb"]].itertuples(index=False):
-                (x, rx), (y, ry) = sorted(((tuple(pa), tuple(qa)), (tuple(pb), tuple(qb))))
-                keep.append(compatible(x, y, dict(zip((*x, *y), (*rx, *ry)))))
-            yield pdf[["a", "b", "s"]][np.array(keep, bool)]
-
-    x, y = (rows.select(F.col("id").alias(n), F.col("v.g").alias(f"g{n}"), F.col("v.w").alias(f"w{n}")) for n in "ab")
-    close = candidates(rows, cosine, block).join(x.hint("merge"), "a").join(y.hint("merge"), "b").mapInPandas(near, "a bigint, b bigint, s double")
-    x, y = (rows.select(F.col("id").alias(n), F.col("palavras").alias(f"p{n}"), F.col("raro").alias(f"q{n}")) for n in "ab")
-    return close.join(x.hint("merge"), "a").join(y.hint("merge"), "b").mapInPandas(check, "a bigint, b bigint, s double")
+    Spellings are dealt to blocks, and each pair of blocks is a cell, in which all pairs are found, held against the
+    exact cosine and the words, and left out again: only links leave it. A pair that is not linked is never moved.
+    """
+    spark = nodes.sparkSession
+    blocks = max(BLOCKS, -(-nodes.count() // block))
+    cells = blocks * (blocks + 1) // 2
+    parts = min(cells, max(1000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = vectors(nodes).select("id", "palavras", "raro", F.col("v.g").alias("g"), F.col("v.w").alias("w"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("at"))
+    # Side 0 is the index: block j of the cells (i, j), i <= j.
+    to = lambda i, j, side: F.struct((j * (j + 1) / 2 + i).cast("int").alias("cell"), F.lit(side).alias("side"), (i == j).alias("same"))
+    at = F.col("at")
+    as_index = F.transform(F.sequence(F.lit(0), at), lambda i: to(i, at, 0))
+    as_row = F.transform(F.sequence(at, F.lit(blocks - 1)), lambda j: to(at, j, 1))
+    dealt = rows.withColumn("to", F.explode(F.concat(as_index, as_row))).select("to.*", "id", "palavras", "raro", "g", "w")
+    return dealt.repartitionById(parts, F.col("cell") % parts).sortWithinPartitions("cell", "side").mapInArrow(lambda x: _cells(x, cosine), "a bigint, b bigint, s double")
 
 
 def nearest(links: DataFrame, n: int) -> DataFrame:
