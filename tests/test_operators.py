@@ -104,6 +104,17 @@ def test_edges_like_brute_force(spark):
     assert a == b
 
 
+def _above(df):
+    """The plan above what is dealt to blocks: (first operator, whether pairs are moved or joined there)."""
+    above = df._jdf.queryExecution().optimizedPlan().toString().partition("Generate")[0]
+    return above.count("MapInArrow"), above.count("Repartition"), "Join" in above or "Aggregate" in above
+
+
+def test_edges_do_not_move(spark):
+    """An edge comes whole out of the task that meets its ends: nothing is joined or summed behind it."""
+    assert _above(graph.edges(stances(spark, [("p", n, "A FAVOR", "X") for n in "ABC"]))) == (1, 1, False)
+
+
 @pytest.mark.parametrize(("c", "d", "n", "kind", "value"), [(2, 1, 2, "Aliados", 2), (1, 2, 0, "Antagonistas", 2), (1, 1, 0, "Contato", 1), (2, 1, 3, "Contato", 3)])
 def test_edge_classes(spark, c, d, n, kind, value):
     r = graph.classify(spark.createDataFrame([("a", "b", c, d, n)], "src string, dst string, concordancia bigint, discordancia bigint, neutro bigint")).first()

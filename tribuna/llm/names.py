@@ -31,7 +31,6 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 from collections import Counter
@@ -46,6 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tribuna.llm.canon import distance, folded
+from tribuna.operators import cells
 from tribuna.session import cut
 
 GRAM = 4
@@ -53,9 +53,8 @@ COSINE = 0.35
 LINK = 0.27
 #: Slots for hashed n-grams and words: the bound on the table of weights.
 SLOTS = 1 << 20
-#: Spellings of one block, the least number of blocks, and how far running sums may be off.
+#: Spellings of one block, and how far running sums may be off.
 BLOCK = 100_000
-BLOCKS = 4
 SLACK = 1e-5
 #: Meetings of two features, and spellings of one side, that are looked at at once.
 AT_ONCE = 1_000_000
@@ -409,43 +408,19 @@ def _cell(index: _Side, cosine: float, same: bool) -> Callable[[_Side], Iterator
     return links
 
 
-def _cells(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
-    """Links of rows in the order of cells, the index of each before the rows that are held against it; one index is held at a time."""
-    now, held, links = None, [], None
-    for batch in batches:
-        cell, side = (batch.column(c).to_numpy() for c in ("cell", "side"))
-        edge = [0, *(np.flatnonzero(np.diff(cell) | np.diff(side)) + 1).tolist(), batch.num_rows]
-        for u, v in itertools.pairwise(edge):
-            if u == v:
-                continue
-            part = batch.slice(u, v - u)
-            if cell[u] != now:
-                now, held, links = cell[u], [], None
-            if side[u] == 0:
-                held.append(part)
-            elif held:
-                links = links or _cell(_Side(held), cosine, part.column("same")[0].as_py())
-                yield from links(_Side([part]))
-
-
 def edges(nodes: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """Pairs of names (id, nome, palavras) with at least this cosine that do not contradict each other: (a, b, s).
 
     Spellings are dealt to blocks, and each pair of blocks is a cell, in which all pairs are found, held against the
     exact cosine and the words, and left out again: only links leave it. A pair that is not linked is never moved.
     """
-    spark = nodes.sparkSession
-    blocks = max(BLOCKS, -(-nodes.count() // block))
-    cells = blocks * (blocks + 1) // 2
-    parts = min(cells, max(1000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    rows = vectors(nodes).select("id", "palavras", "raro", F.col("v.g").alias("g"), F.col("v.w").alias("w"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("at"))
-    # Side 0 is the index: block j of the cells (i, j), i <= j.
-    to = lambda i, j, side: F.struct((j * (j + 1) / 2 + i).cast("int").alias("cell"), F.lit(side).alias("side"), (i == j).alias("same"))
-    at = F.col("at")
-    as_index = F.transform(F.sequence(F.lit(0), at), lambda i: to(i, at, 0))
-    as_row = F.transform(F.sequence(at, F.lit(blocks - 1)), lambda j: to(at, j, 1))
-    dealt = rows.withColumn("to", F.explode(F.concat(as_index, as_row))).select("to.*", "id", "palavras", "raro", "g", "w")
-    return dealt.repartitionById(parts, F.col("cell") % parts).sortWithinPartitions("cell", "side").mapInArrow(lambda x: _cells(x, cosine), "a bigint, b bigint, s double")
+    rows = vectors(nodes).select("id", "palavras", "raro", F.col("v.g").alias("g"), F.col("v.w").alias("w"))
+
+    def make(held: list[pa.RecordBatch], same: bool) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+        links = _cell(_Side(held), cosine, same)
+        return lambda batch: links(_Side([batch]))
+
+    return cells.pairs(rows, "id", max(cells.BLOCKS, -(-nodes.count() // block)), make, "a bigint, b bigint, s double")
 
 
 def nearest(links: DataFrame, n: int) -> DataFrame:

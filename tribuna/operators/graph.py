@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import bisect
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tribuna import schema
+from tribuna.operators import cells
 
-BLOCK = 256
+#: Speakers or classes of one block, the least number of blocks, and pairs that are looked at at once.
+BLOCK = 100_000
+BLOCKS = 8
+AT_ONCE = 1 << 18
+EDGE = ["a", "b", "n_a", "n_b", "concordancia", "discordancia", "neutro"]
 
 
 def valid(df: DataFrame) -> DataFrame:
@@ -45,37 +56,95 @@ def classes(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, profile
 
 
-def _met(left: str, right: str) -> list[Column]:
-    """Counters of row pairs between two speakers on one proposition, without forming the pairs."""
-    f, c, z = (lambda k: (F.col(f"{left}.{k}"), F.col(f"{right}.{k}")))("f"), (F.col(f"{left}.c"), F.col(f"{right}.c")), (F.col(f"{left}.z"), F.col(f"{right}.z"))
-    ta, tb = f[0] + c[0] + z[0], f[1] + c[1] + z[1]
-    return [F.sum(f[0] * f[1] + c[0] * c[1]).alias("concordancia"), F.sum(f[0] * c[1] + c[0] * f[1]).alias("discordancia"), F.sum(z[0] * tb + ta * z[1] - z[0] * z[1]).alias("neutro")]
+class _Side:
+    """What some speakers or classes said as flat arrays: ``p``, ``f``, ``c`` and ``z`` of ``row``."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.names, self.n = table["classe"].combine_chunks(), table["n"].to_numpy()
+        self.p, self.f, self.c, self.z = (np.concatenate([x.flatten().to_numpy() for x in table[k].chunks]) for k in "pfcz")
+        self.row = np.repeat(np.arange(len(self.n)), pc.list_value_length(table["p"]).to_numpy())
+
+    def keys(self) -> list[bytes]:
+        return self.names.cast(pa.binary()).to_pylist()
+
+
+def _cell(held: list[pa.RecordBatch], same: bool, count: bool) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    """Edges of the rows of a batch to those of ``held``, or only how many between members."""
+    t = pa.Table.from_batches(held).combine_chunks()
+    index = _Side(t.take(pc.sort_indices(t["classe"].cast(pa.binary()))))  # by code points, like the names of an edge
+    keys, m = index.keys(), len(index.n)
+    order = np.argsort(index.p, kind="stable")
+    p, row, f, c, z = (x[order] for x in (index.p, index.row, index.f, index.c, index.z))
+
+    def met(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        side = _Side(pa.Table.from_batches([batch]))
+        names = pa.concat_arrays([index.names, side.names])
+        place = np.array([bisect.bisect_left(keys, k) for k in side.keys()])
+        lo, hi = np.searchsorted(p, side.p), np.searchsorted(p, side.p, "right")
+        n = hi - lo
+        for begin in range(0, len(side.n), some := max(1, AT_ONCE // m)):
+            stop = min(begin + some, len(side.n))
+            size = (stop - begin) * m
+            first, end = np.searchsorted(side.row, [begin, stop])
+            upto = np.concatenate([[0], n[first:end].cumsum()])
+            sums, u = [np.zeros(size) for _ in range(4)], 0
+            while u < end - first:  # so much of it at once as meets a bounded number of others, one at least
+                v = max(u + 1, int(np.searchsorted(upto, upto[u] + 4 * AT_ONCE, "right")) - 1)
+                x = np.repeat(np.arange(first + u, first + v), n[first + u : first + v])
+                y = np.arange(len(x)) + np.repeat(lo[first + u : first + v] - upto[u:v] + upto[u], n[first + u : first + v])
+                if same:
+                    up = row[y] >= place[side.row[x]]
+                    x, y = x[up], y[up]
+                at = (side.row[x] - begin) * m + row[y]
+                sums[3] += np.bincount(at, minlength=size)
+                if not count:
+                    # Counters of row pairs on one proposition, without forming the pairs.
+                    fa, ca, za, fb, cb, zb = side.f[x], side.c[x], side.z[x], f[y], c[y], z[y]
+                    for k, w in enumerate((fa * fb + ca * cb, fa * cb + ca * fb, za * (fb + cb + zb) + (fa + ca) * zb)):
+                        sums[k] += np.bincount(at, w, size)
+                u = v
+            hit = np.flatnonzero(sums[3])
+            r, j = hit // m + begin, hit % m
+            if same:
+                some_of = (j > place[r]) | (index.n[j] > 1)
+                hit, r, j = hit[some_of], r[some_of], j[some_of]
+            na, nb = side.n[r], index.n[j]
+            if count:
+                yield pa.RecordBatch.from_arrays([pa.array([int(np.where(same & (j == place[r]), na * (na - 1) // 2, na * nb).sum())])], ["arestas"])
+                continue
+            less = j < place[r]
+            src, dst = (names.take(pa.array(np.where(k, j, m + r))) for k in (less, ~less))
+            yield pa.RecordBatch.from_arrays([src, dst, pa.array(np.where(less, nb, na)), pa.array(np.where(less, na, nb)), *(pa.array(s[hit].astype(np.int64)) for s in sums[:3])], EDGE)
+
+    return met
+
+
+def _cells(profile: DataFrame, block: int, count: bool, schema: str) -> DataFrame:
+    said = profile.groupBy("classe", "n").agg(F.collect_list(F.struct("p", "f", "c", "z")).alias("x")).select("classe", "n", *(F.col(f"x.{k}").alias(k) for k in "pfcz"))
+    blocks = max(BLOCKS, -(-profile.select("classe").distinct().count() // block))
+    return cells.pairs(said, "classe", blocks, lambda held, same: _cell(held, same, count), schema)
 
 
 def class_edges(profile: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Edges between classes (a <= b; a = b: among the members of one class), blockwise where a proposition has many classes."""
-    size = profile.groupBy("p").agg(F.count("*").alias("m"))
-    parted = profile.join(size, "p").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("at", F.pmod(F.hash("classe"), F.col("blocks")))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = parted.select("p", F.col("at").alias("i"), every.alias("j"), "classe", "n", "f", "c", "z").alias("l")
-    right = parted.select("p", every.alias("i"), F.col("at").alias("j"), "classe", "n", "f", "c", "z").alias("r")
-    rows = left.join(right, ["p", "i", "j"]).where((F.col("l.classe") < F.col("r.classe")) | ((F.col("l.classe") == F.col("r.classe")) & (F.col("l.n") > 1)))
-    return rows.groupBy(F.col("l.classe").alias("a"), F.col("r.classe").alias("b")).agg(*_met("l", "r"))
+    """Edges between classes (a <= b; a = b: among the members of one class) with the sizes of both. Edges leave the task that finds them whole, so none is moved to be summed."""
+    return _cells(profile, block, False, "a string, b string, n_a bigint, n_b bigint, concordancia bigint, discordancia bigint, neutro bigint")
+
+
+def count_edges(profile: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(arestas): how many edges between speakers there are, of all classes."""
+    return _cells(profile, block, True, "arestas bigint").agg(F.coalesce(F.sum("arestas"), F.lit(0)).alias("arestas"))
 
 
-def edges(df: DataFrame) -> DataFrame:
-    """Edges between speakers (src < dst) with their counters, from the edges between classes and their members."""
-    members, profile = classes(counts(df))
-    joined = class_edges(profile).join(members.select(F.col("nome").alias("x"), F.col("classe").alias("a")), "a").join(members.select(F.col("nome").alias("y"), F.col("classe").alias("b")), "b")
-    return joined.where("a <> b or x < y").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), "concordancia", "discordancia", "neutro")
+def edges(df: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Edges between speakers (src < dst) with their counters: each speaker as a class of their own."""
+    alone = counts(df).select(F.col("nome").alias("classe"), F.lit(1).cast("bigint").alias("n"), F.xxhash64("proposicao_alvo").alias("p"), "f", "c", "z")
+    return class_edges(alone, block).select(F.col("a").alias("src"), F.col("b").alias("dst"), "concordancia", "discordancia", "neutro")
 
 
 def edges_between(members: DataFrame, profile: DataFrame) -> DataFrame:
     """Edges between classes, each named by its first member: a <= b, n_a, n_b and the counters; a = b: among the members of one class."""
-    size = members.groupBy("classe").agg(F.count("*").alias("n"), F.min("nome").alias("de"))
-    a, b = (size.select(F.col("classe").alias(c), F.struct(F.col("de").alias("nome"), "n").alias(f"_{c}")) for c in "ab")
-    e = class_edges(profile).join(a, "a").join(b, "b").select(F.least("_a", "_b").alias("x"), F.greatest("_a", "_b").alias("y"), "concordancia", "discordancia", "neutro")
-    return e.select(F.col("x.nome").alias("a"), F.col("y.nome").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"), "concordancia", "discordancia", "neutro")
+    first = members.groupBy("classe").agg(F.min("nome").alias("de"))
+    return class_edges(profile.join(first, "classe").select(F.col("de").alias("classe"), "n", "p", "f", "c", "z"))
 
 
 def named(members: DataFrame) -> DataFrame:
