@@ -115,6 +115,13 @@ def test_edges_do_not_move(spark):
     assert _above(graph.edges(stances(spark, [("p", n, "A FAVOR", "X") for n in "ABC"]))) == (1, 1, False)
 
 
+def test_classified_edges_do_not_move(spark):
+    """Classes, colours and titles are made where the edges are, and titles without a formatter for each edge."""
+    linked = graph.classify(graph.edges(stances(spark, [("p", "A", "A FAVOR", "X"), ("p", "B", "A FAVOR", "X")])))
+    assert _above(linked) == (1, 1, False) and "format_string" not in linked._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.title for r in linked.collect()] == ["Aliados (Concordaram: 1 | Discordaram: 0 | Neutros: 0)"]
+
+
 @pytest.mark.parametrize(("c", "d", "n", "kind", "value"), [(2, 1, 2, "Aliados", 2), (1, 2, 0, "Antagonistas", 2), (1, 1, 0, "Contato", 1), (2, 1, 3, "Contato", 3)])
 def test_edge_classes(spark, c, d, n, kind, value):
     r = graph.classify(spark.createDataFrame([("a", "b", c, d, n)], "src string, dst string, concordancia bigint, discordancia bigint, neutro bigint")).first()

@@ -168,11 +168,12 @@ def classify(linked: DataFrame) -> DataFrame:
     ally, foe = (c > d) & (c >= n), (d > c) & (d >= n)
     pick = lambda a, b, z: F.when(ally, a).when(foe, b).otherwise(z)
     colours = [F.lit(schema.EDGE_COLOURS[k]) for k in ("aliados", "antagonistas", "neutro")]
+    told = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
     # The titles.
     title = pick(
-        F.format_string("Aliados (Concordaram: %d | Discordaram: %d | Neutros: %d)", c, d, n),
-        F.format_string("Antagonistas (Discordaram: %d | Concordaram: %d | Neutros: %d)", d, c, n),
-        F.format_string("Contato Neutro (Neutros: %d | Concordaram: %d | Discordaram: %d)", n, c, d),
+        told("Aliados (Concordaram: ", c, " | Discordaram: ", d, " | Neutros: ", n, ")"),
+        told("Antagonistas (Discordaram: ", d, " | Concordaram: ", c, " | Neutros: ", n, ")"),
+        told("Contato Neutro (Neutros: ", n, " | Concordaram: ", c, " | Discordaram: ", d, ")"),
     )
     return linked.select("src", "dst", "concordancia", "discordancia", "neutro", pick(*colours).alias("color"), pick(c, d, F.greatest(n, F.lit(1))).cast("bigint").alias("value"), title.alias("title"), (c - d).alias("peso"))
 
