@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tribuna import schema
 from tribuna.operators import flatten, graph, inference, rows, stats, topics, turns
+from tribuna.plans import catalog
 from tribuna.sources import chat
 from tribuna.sources import hearings as sources
 from tribuna.streaming import hearings as streaming
@@ -122,6 +123,13 @@ def test_classified_edges_do_not_move(spark):
     assert [r.title for r in linked.collect()] == ["Aliados (Concordaram: 1 | Discordaram: 0 | Neutros: 0)"]
 
 
+def test_the_dashboard_query_tells_the_whole_graph(spark, tmp_path, monkeypatch):
+    """Also where the page shows less of it."""
+    monkeypatch.setattr(sources.write_dashboard, "__defaults__", (1,))
+    stances(spark, [("p", n, "A FAVOR", "PT") for n in "ABC"] + [("q", n, "CONTRA", "PT") for n in "AB"]).write.parquet(str(tmp_path / "base_posturas_classificadas.parquet"))
+    assert [tuple(r) for r in catalog.graph_dashboard(spark, str(tmp_path)).collect()] == [(3, 3)]
+
+
 @pytest.mark.parametrize(("c", "d", "n", "kind", "value"), [(2, 1, 2, "Aliados", 2), (1, 2, 0, "Antagonistas", 2), (1, 1, 0, "Contato", 1), (2, 1, 3, "Contato", 3)])
 def test_edge_classes(spark, c, d, n, kind, value):
     r = graph.classify(spark.createDataFrame([("a", "b", c, d, n)], "src string, dst string, concordancia bigint, discordancia bigint, neutro bigint")).first()

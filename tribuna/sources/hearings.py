@@ -56,16 +56,16 @@ def write_dashboard(nodes: DataFrame, edges: DataFrame, path: str, most: int = M
     """The graph as one page, and how many nodes and edges it shows.
 
     A page is for looking at: of a graph with more than ``most`` edges it shows the ``most`` widest (ties: by names) and
-    the nodes they join; the whole graph is then written beside it as JSON lines, in ``<path>.data``.
+    the nodes they join; the whole graph is then written beside it as JSON lines (gzip), in ``<path>.data``.
     """
     if edges.limit(most + 1).count() > most:
         for name, part in (("nodes", nodes), ("edges", edges)):
-            part.write.mode("overwrite").json(f"{path}.data/{name}")
+            part.write.mode("overwrite").json(f"{path}.data/{name}", compression="gzip")
         edges = edges.orderBy(F.desc("value"), "src", "dst").limit(most)
         ends = edges.select(F.explode(F.array("src", "dst")).alias("nome")).distinct()
         nodes = nodes.join(F.broadcast(ends), "nome", "left_semi")  # at most two an edge shown
     elif nodes.limit(2 * most + 1).count() > 2 * most:
-        nodes.write.mode("overwrite").json(f"{path}.data/nodes")
+        nodes.write.mode("overwrite").json(f"{path}.data/nodes", compression="gzip")
         nodes = nodes.orderBy("nome").limit(2 * most)
     points = [{"id": n.nome, "label": n.label, "title": html.escape(n.title or ""), "color": n.color, "group": n.group, "size": n.size} for n in nodes.collect()]
     lines = [{"from": e.src, "to": e.dst, "color": e.color, "value": e.value, "title": e.title} for e in edges.collect()]
