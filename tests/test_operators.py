@@ -130,6 +130,13 @@ def test_the_dashboard_query_tells_the_whole_graph(spark, tmp_path, monkeypatch)
     assert [tuple(r) for r in catalog.graph_dashboard(spark, str(tmp_path)).collect()] == [(3, 3)]
 
 
+def test_edges_between_classes_do_not_move(spark):
+    df = stances(spark, [("p", n, "A FAVOR", "X") for n in "ABC"] + [("p", "D", "CONTRA", "X")])
+    out = graph.edges_between(*graph.classes(graph.counts(df)))
+    assert _above(out) == (1, 1, False)
+    assert sorted(map(tuple, out.collect())) == [("A", "A", 3, 3, 1, 0, 0), ("A", "D", 3, 1, 0, 1, 0)]
+
+
 @pytest.mark.parametrize(("c", "d", "n", "kind", "value"), [(2, 1, 2, "Aliados", 2), (1, 2, 0, "Antagonistas", 2), (1, 1, 0, "Contato", 1), (2, 1, 3, "Contato", 3)])
 def test_edge_classes(spark, c, d, n, kind, value):
     r = graph.classify(spark.createDataFrame([("a", "b", c, d, n)], "src string, dst string, concordancia bigint, discordancia bigint, neutro bigint")).first()
