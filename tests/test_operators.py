@@ -9,6 +9,8 @@ import random
 import threading
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +132,54 @@ def test_edges_between_classes_do_not_move(spark):
     assert sorted(map(tuple, out.collect())) == [("A", "A", 3, 3, 1, 0, 0), ("A", "D", 3, 1, 0, 1, 0)]
 
 
+def test_classes_are_named_without_another_join(spark):
+    """Profiles know the first member, and propositions are hashed before they are moved to join them."""
+    df = stances(spark, [("p", n, "A FAVOR", "X") for n in "ABC"])
+    plan = graph.edges_between(*graph.classes(graph.counts(df)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "xxhash64(proposicao_alvo" in plan.partition("Join")[2]
+
+
+def _said(rows):
+    """A batch of (classe, n, {p: (f, c, z)})."""
+    ints = lambda k: pa.array([[x[k] for x in said.values()] for _, _, said in rows], pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([list(r[2]) for r in rows], pa.list_(pa.int64())), *map(ints, range(3))], ["classe", "n", *"pfcz"])
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_edges_of_tiles_like_brute_force(monkeypatch, same):
+    monkeypatch.setattr(graph, "TILE", 3)
+    monkeypatch.setattr(graph, "AT_ONCE", 4)
+    rnd = random.Random(3)
+    some = lambda k: [(f"{rnd.random()}", rnd.randint(1, 3), {p: (rnd.randint(0, 2), rnd.randint(0, 2), rnd.randint(1, 2)) for p in rnd.sample(range(6), rnd.randint(1, 2))}) for _ in range(k)]
+    held, other = some(20), some(17)
+    if same:
+        other = rnd.sample(held, 20)
+    want, members = [], 0
+    for x, y in itertools.combinations_with_replacement(held, 2) if same else itertools.product(held, other):
+        a, b = sorted((x, y), key=lambda r: r[0])
+        if not (shared := set(a[2]) & set(b[2])) or (a is b and a[1] == 1):
+            continue
+        members += a[1] * (a[1] - 1) // 2 if a is b else a[1] * b[1]
+        sums = [0, 0, 0]
+        for (fa, ca, za), (fb, cb, zb) in ((a[2][p], b[2][p]) for p in shared):
+            sums = [u + v for u, v in zip(sums, (fa * fb + ca * cb, fa * cb + ca * fb, za * (fb + cb + zb) + (fa + ca) * zb), strict=True)]
+        want.append((a[0], b[0], a[1], b[1], *sums))
+    found = [graph._cell([_said(held[:7]), _said(held[7:])], same, count) for count in (False, True)]
+    edges, counted = ([r for batch in (_said(other[:9]), _said(other[9:])) for out in work(batch) for r in out.to_pylist()] for work in found)
+    assert sorted(tuple(r.values()) for r in edges) == sorted(want)
+    assert sum(r["arestas"] for r in counted) == members
+
+
+def test_edges_between_classes_stay_small_in_files(tmp_path):
+    """Names and counters of an edge repeat those written shortly before it."""
+    rnd = random.Random(5)
+    many = lambda: _said([(f"{rnd.random()}", 1, {0: (rnd.randint(0, 2), rnd.randint(0, 2), rnd.randint(1, 2)), k: (1, 0, 0)}) for k in range(1, 1501)])
+    held, other = many(), many()
+    found = pa.Table.from_batches(graph._cell([held], False, False)(other))
+    pq.write_table(found, tmp_path / "edges.parquet", compression="snappy")
+    assert found.num_rows == 1500 * 1500 and (tmp_path / "edges.parquet").stat().st_size < 1.25 * found.num_rows
+
+
 def test_edges_are_counted_where_they_are_met(spark):
     """Only sums leave the tasks, one for each number of speakers looked at."""
     df = stances(spark, [("p", n, "A FAVOR", "X") for n in "ABCD"] + [("p", "E", "CONTRA", "X"), ("q", "F", "NEUTRO", "X"), ("q", "A", "NEUTRO", "X")])

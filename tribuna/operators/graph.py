@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import copy
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 from tribuna import schema
 from tribuna.operators import cells
 
-#: Speakers or classes of one block, the least number of blocks, and pairs that are looked at at once.
+#: Speakers or classes of one block, the least number of blocks, those of one tile, and edges that are given out at once.
 BLOCK = 100_000
 BLOCKS = 8
+TILE = 1024
 AT_ONCE = 1 << 18
 EDGE = ["a", "b", "n_a", "n_b", "concordancia", "discordancia", "neutro"]
 
@@ -43,7 +45,7 @@ def counts(df: DataFrame) -> DataFrame:
 
 
 def classes(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Speakers who said the same on the same propositions are one class: members (nome, classe) and profiles (classe, n, proposicao, f, c, z).
+    """Speakers who said the same on the same propositions are one class: members (nome, classe) and profiles (classe, n, first member, proposicao, f, c, z).
 
     Two members of a class have the same edge with everybody, so edges between classes lose nothing. On a
     proposition that a third of all rows share, those who speak nowhere else fall into a few classes.
@@ -52,8 +54,9 @@ def classes(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
     bits = [F.bit_xor(F.xxhash64("proposicao_alvo", "f", "c", "z", F.lit(seed))) for seed in (1, 2)]
     members = counted.groupBy("nome").agg(F.concat_ws("-", F.hex(bits[0]), F.hex(bits[1]), F.count("*").cast("string")).alias("classe"))
     size = members.groupBy("classe").agg(F.count("*").alias("n"), F.min("nome").alias("primeiro"))
-    profile = counted.withColumnRenamed("nome", "primeiro").join(size, "primeiro").select("classe", "n", F.xxhash64("proposicao_alvo").alias("p"), "f", "c", "z")
-    return members, profile
+    # Hashed before the join, which else moves the propositions themselves.
+    said = counted.select(F.col("nome").alias("primeiro"), F.xxhash64("proposicao_alvo").alias("p"), "f", "c", "z")
+    return members, said.join(size, "primeiro").select("classe", "n", "primeiro", "p", "f", "c", "z")
 
 
 class _Side:
@@ -67,54 +70,89 @@ class _Side:
     def keys(self) -> list[bytes]:
         return self.names.cast(pa.binary()).to_pylist()
 
+    def on(self, p: np.int64) -> np.ndarray:
+        """What each row said on one proposition."""
+        out, at = np.zeros((3, len(self.n)), np.int64), self.p == p
+        out[:, self.row[at]] = self.f[at], self.c[at], self.z[at]
+        return out
+
+    def take(self, rows: np.ndarray) -> _Side:
+        """Some of the rows, in the order that is told."""
+        out, first = copy.copy(self), np.searchsorted(self.row, rows)
+        n = np.searchsorted(self.row, rows, "right") - first
+        at = np.arange(n.sum()) + np.repeat(first - n.cumsum() + n, n)
+        out.names, out.n, out.row = self.names.take(pa.array(rows)), self.n[rows], np.repeat(np.arange(len(rows)), n)
+        out.p, out.f, out.c, out.z = (x[at] for x in (self.p, self.f, self.c, self.z))
+        return out
+
+
+def _tile(index: _Side, rank: np.ndarray, same: bool, count: bool) -> Callable[[_Side, np.ndarray], Iterator[pa.RecordBatch]]:
+    """Edges of a few rows to those of ``index``, row by row in the order of both; ``rank`` and ``place`` compare their names."""
+    order, m = np.argsort(index.p, kind="stable"), len(index.n)
+    p, row, f, c, z = (x[order] for x in (index.p, index.row, index.f, index.c, index.z))
+
+    def met(side: _Side, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        names = pa.concat_arrays([index.names, side.names])
+        lo, hi = np.searchsorted(p, side.p), np.searchsorted(p, side.p, "right")
+        n, size = hi - lo, len(side.n) * m
+        upto = np.concatenate([[0], n.cumsum()])
+        sums, u = [np.zeros(size) for _ in range(1 if count else 4)], 0
+        while u < len(n):  # so much of it at once as meets a bounded number of others, one at least
+            v = max(u + 1, int(np.searchsorted(upto, upto[u] + 4 * AT_ONCE, "right")) - 1)
+            x = np.repeat(np.arange(u, v), n[u:v])
+            y = np.arange(len(x)) + np.repeat(lo[u:v] - upto[u:v] + upto[u], n[u:v])
+            if same:
+                up = rank[row[y]] >= place[side.row[x]]
+                x, y = x[up], y[up]
+            at = side.row[x] * m + row[y]
+            sums[-1] += np.bincount(at, minlength=size)
+            if not count:
+                # Counters of row pairs on one proposition, without forming the pairs.
+                fa, ca, za, fb, cb, zb = side.f[x], side.c[x], side.z[x], f[y], c[y], z[y]
+                for k, w in enumerate((fa * fb + ca * cb, fa * cb + ca * fb, za * (fb + cb + zb) + (fa + ca) * zb)):
+                    sums[k] += np.bincount(at, w, size)
+            u = v
+        hit = np.flatnonzero(sums[-1])
+        r, j = hit // m, hit % m
+        if same:
+            some_of = (rank[j] > place[r]) | (index.n[j] > 1)
+            hit, r, j = hit[some_of], r[some_of], j[some_of]
+        na, nb = side.n[r], index.n[j]
+        if count:
+            yield pa.RecordBatch.from_arrays([pa.array([int(np.where(same & (rank[j] == place[r]), na * (na - 1) // 2, na * nb).sum())])], ["arestas"])
+            return
+        less = rank[j] < place[r]
+        apart = np.argsort(less, kind="stable")  # one end stays while the other passes
+        for some in (apart[k : k + AT_ONCE] for k in range(0, len(apart), AT_ONCE)):
+            k, at = less[some], hit[some]
+            src, dst = (names.take(pa.array(np.where(side_of, j[some], m + r[some]))) for side_of in (k, ~k))
+            yield pa.RecordBatch.from_arrays([src, dst, pa.array(np.where(k, nb[some], na[some])), pa.array(np.where(k, na[some], nb[some])), *(pa.array(s[at].astype(np.int64)) for s in sums[:3])], EDGE)
+
+    return met
+
 
 def _cell(held: list[pa.RecordBatch], same: bool, count: bool) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
-    """Edges of the rows of a batch to those of ``held``, or only how many between members."""
+    """Edges of the rows of a batch to those of ``held``, or only how many between members.
+
+    Both are cut up by name into tiles. In a tile those who said the same on the most common proposition follow each
+    other, so names and counters of edges repeat what was written shortly before, and files of them stay small.
+    """
     t = pa.Table.from_batches(held).combine_chunks()
     index = _Side(t.take(pc.sort_indices(t["classe"].cast(pa.binary()))))  # by code points, like the names of an edge
-    keys, m = index.keys(), len(index.n)
-    order = np.argsort(index.p, kind="stable")
-    p, row, f, c, z = (x[order] for x in (index.p, index.row, index.f, index.c, index.z))
+    keys, (ps, often) = index.keys(), np.unique(index.p, return_counts=True)
+    common = ps[often.argmax()]
+    ranks = np.split(order := np.lexsort((*index.on(common), np.arange(len(keys)) // TILE)), range(TILE, len(order), TILE))
+    tiles = [(rank.max(), _tile(index.take(rank), rank, same, count)) for rank in ranks]
 
     def met(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         side = _Side(pa.Table.from_batches([batch]))
-        names = pa.concat_arrays([index.names, side.names])
         place = np.array([bisect.bisect_left(keys, k) for k in side.keys()])
-        lo, hi = np.searchsorted(p, side.p), np.searchsorted(p, side.p, "right")
-        n = hi - lo
-        for begin in range(0, len(side.n), some := max(1, AT_ONCE // m)):
-            stop = min(begin + some, len(side.n))
-            size = (stop - begin) * m
-            first, end = np.searchsorted(side.row, [begin, stop])
-            upto = np.concatenate([[0], n[first:end].cumsum()])
-            sums, u = [np.zeros(size) for _ in range(4)], 0
-            while u < end - first:  # so much of it at once as meets a bounded number of others, one at least
-                v = max(u + 1, int(np.searchsorted(upto, upto[u] + 4 * AT_ONCE, "right")) - 1)
-                x = np.repeat(np.arange(first + u, first + v), n[first + u : first + v])
-                y = np.arange(len(x)) + np.repeat(lo[first + u : first + v] - upto[u:v] + upto[u], n[first + u : first + v])
-                if same:
-                    up = row[y] >= place[side.row[x]]
-                    x, y = x[up], y[up]
-                at = (side.row[x] - begin) * m + row[y]
-                sums[3] += np.bincount(at, minlength=size)
-                if not count:
-                    # Counters of row pairs on one proposition, without forming the pairs.
-                    fa, ca, za, fb, cb, zb = side.f[x], side.c[x], side.z[x], f[y], c[y], z[y]
-                    for k, w in enumerate((fa * fb + ca * cb, fa * cb + ca * fb, za * (fb + cb + zb) + (fa + ca) * zb)):
-                        sums[k] += np.bincount(at, w, size)
-                u = v
-            hit = np.flatnonzero(sums[3])
-            r, j = hit // m + begin, hit % m
-            if same:
-                some_of = (j > place[r]) | (index.n[j] > 1)
-                hit, r, j = hit[some_of], r[some_of], j[some_of]
-            na, nb = side.n[r], index.n[j]
-            if count:
-                yield pa.RecordBatch.from_arrays([pa.array([int(np.where(same & (j == place[r]), na * (na - 1) // 2, na * nb).sum())])], ["arestas"])
-                continue
-            less = j < place[r]
-            src, dst = (names.take(pa.array(np.where(k, j, m + r))) for k in (less, ~less))
-            yield pa.RecordBatch.from_arrays([src, dst, pa.array(np.where(less, nb, na)), pa.array(np.where(less, na, nb)), *(pa.array(s[hit].astype(np.int64)) for s in sums[:3])], EDGE)
+        order = np.lexsort((*side.on(common), place // TILE))
+        for rows in np.split(order, range(TILE, len(order), TILE)):
+            some, least = side.take(rows), place[rows].min()
+            for last, tile in tiles:
+                if not same or last >= least:
+                    yield from tile(some, place[rows])
 
     return met
 
@@ -141,10 +179,9 @@ def edges(df: DataFrame, block: int = BLOCK) -> DataFrame:
     return class_edges(alone, block).select(F.col("a").alias("src"), F.col("b").alias("dst"), "concordancia", "discordancia", "neutro")
 
 
-def edges_between(members: DataFrame, profile: DataFrame) -> DataFrame:
+def edges_between(_members: DataFrame, profile: DataFrame) -> DataFrame:
     """Edges between classes, each named by its first member: a <= b, n_a, n_b and the counters; a = b: among the members of one class."""
-    first = members.groupBy("classe").agg(F.min("nome").alias("de"))
-    return class_edges(profile.join(first, "classe").select(F.col("de").alias("classe"), "n", "p", "f", "c", "z"))
+    return class_edges(profile.select(F.col("primeiro").alias("classe"), "n", "p", "f", "c", "z"))
 
 
 def named(members: DataFrame) -> DataFrame:
